@@ -1,7 +1,8 @@
 """Toxicity of documents by weak supervision.
 
-Voters are a seed lexicon and mined patterns: whole words and word beginnings that
-labelled toxic texts hold far more often than others. A generative label model estimates by EM how often
+Voters are a seed lexicon, mined patterns (whole words and word beginnings that are far more
+frequent in labelled toxic texts than in others) and thresholds on how many words of a
+text, and how large a part of it, the patterns match. A generative label model estimates by EM how often
 each voter speaks in toxic and in other texts; voters whose votes are correlated given
 the class are joined, so that the same evidence isn't counted twice. Its posteriors are
 the labels of a linear classifier over the voters, which scores every text.
@@ -22,18 +23,21 @@ from segmentry.shared import stored
 #: A fixed list of common insults, each a voter from the start.
 SEEDS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "garbage", "filth", "dumb", "retard", "imbecile", "vermin", "jerk")
 #: Lengths in bytes of the word beginnings that are tried as patterns.
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled rows that voters and classifier are fitted on at most, and voters at most.
 SAMPLE, VOTERS = 40_000, 512
+#: A pattern is sure or likely from these ratios of its frequencies in toxic and other texts.
+SURE, LIKELY = 30.0, 5.0
+#: One text counts as so many uses of a pattern at most, when patterns are mined.
+USES = 4
+#: Voters on matched words: (likely ones count, words at least, part of the text at least).
+DENSITIES = tuple((wide, least, part) for wide in (False, True) for least in (1, 2, 3) for part in (0.0, 0.004, 0.007, 0.01, 0.014, 0.03))
 
 
-def _units(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, unit) of all words and beginnings of the texts of a block; words are runs of letters."""
+def _units(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each word, words of each row, units: the word and its beginnings by line, 0 where it is shorter)."""
     h, counts, *parts = hash_words(data, offs, table, PREFIXES)
-    row = np.repeat(np.arange(offs.size - 1), counts)
-    units = np.concatenate([h, *parts])
-    rows = np.tile(row, 1 + len(parts))
-    return rows[units != 0], units[units != 0]
+    return np.repeat(np.arange(offs.size - 1), counts), counts, np.stack([h, *parts])
 
 
 def _table() -> np.ndarray:
@@ -47,51 +51,63 @@ def seed_units() -> np.ndarray:
 
 
 def _counted(labelled: DataFrame) -> DataFrame:
-    """unit, texts that hold it and toxic ones; counted in each task before the shuffle."""
+    """unit, toxic texts that hold it, uses in toxic and in other texts; unit 0 has the words. Counted in each task before the shuffle."""
 
     def flush(held: list) -> pa.RecordBatch:
-        units, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
+        units, texts, toxic, other = (np.concatenate(x) for x in zip(*held, strict=True))
         keys, at = np.unique(units, return_inverse=True)
-        n, t = np.bincount(at, minlength=keys.size), np.bincount(at, weights=toxic, minlength=keys.size)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], ["unit", "n", "t"])
+        sums = [np.bincount(at, weights=x, minlength=keys.size).astype(np.int64) for x in (texts, toxic, other)]
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["unit", "texts", "toxic", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = _table(), [], 0
         for batch in batches:
             y = batch.column(1).to_numpy()
-            for lo, _, data, offs in text_blocks(batch.column(0)):
-                rows, units = _units(data, offs, table)
+            for lo, hi, data, offs in text_blocks(batch.column(0)):
+                row, counts, units = _units(data, offs, table)
+                own = y[lo:hi]
+                held.append((np.zeros(hi - lo, np.uint64), own, counts * own, counts * (1 - own)))
+                rows, units = np.tile(row, len(units))[units.ravel() != 0], units.ravel()[units.ravel() != 0]
                 order = np.lexsort((units, rows))
                 rows, units = rows[order], units[order]
-                new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (units[1:] != units[:-1]))) if rows.size else np.zeros(0, bool)
-                held.append((units[new], y[lo + rows[new]]))
-                size += int(new.sum())
+                new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (units[1:] != units[:-1])))) if rows.size else np.zeros(0, int)
+                uses, toxic = np.minimum(np.diff(np.append(new, rows.size)), USES), own[rows[new]]
+                held.append((units[new], toxic, uses * toxic, uses * (1 - toxic)))
+                size += new.size
                 if size > 2_000_000:
                     yield flush(held)
                     held, size = [], 0
         if held:
             yield flush(held)
 
-    parts = labelled.select("text", "y").mapInArrow(run, "unit long, n long, t long")
-    return parts.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    parts = labelled.select("text", "y").mapInArrow(run, "unit long, texts long, toxic long, other long")
+    return parts.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "other")))
 
 
-def _votes(texts: DataFrame, units: np.ndarray, kept: tuple[str, ...], kind: str) -> DataFrame:
-    """Columns ``kept`` and ``hits``: places in ``units`` (sorted) of those that a text holds."""
+def _votes(texts: DataFrame, units: np.ndarray, sure: np.ndarray, kept: str, kind: str) -> DataFrame:
+    """Columns ``kept``, ``hits`` (places in the sorted ``units`` of those in a text), its words that match a sure unit, any unit, and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table()
         for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch.column(len(kept))):
-                rows, found = _units(data, offs, table)
-                at = np.searchsorted(units, found)
-                ok = units[np.minimum(at, units.size - 1)] == found if units.size else np.zeros(found.size, bool)
-                pairs = np.unique(rows[ok] * max(units.size, 1) + at[ok])
-                edge = np.searchsorted(pairs, np.arange(hi - lo + 1) * max(units.size, 1))
-                hits = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((pairs % max(units.size, 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(kept))), hits], [*kept, "hits"])
+            for lo, hi, data, offs in text_blocks(batch.column(1)):
+                row, counts, found = _units(data, offs, table)
+                at = np.minimum(np.searchsorted(units, found), units.size - 1)
+                ok = units[at] == found
+                pairs = np.unique(np.broadcast_to(row, found.shape)[ok] * units.size + at[ok])
+                edge = np.searchsorted(pairs, np.arange(hi - lo + 1) * units.size)
+                hits = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((pairs % units.size).astype(np.int32)))
+                matched = [np.bincount(row[m.any(axis=0)], minlength=hi - lo) for m in (ok & sure[at], ok)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), hits, *(pa.array(x.astype(np.int32)) for x in (*matched, counts))], [kept, "hits", "sure", "any", "words"]
+                )
 
-    return texts.select(*kept, "text").mapInArrow(run, f"{kind}, hits array<int>")
+    return texts.select(kept, "text").mapInArrow(run, f"{kept} {kind}, hits array<int>, sure int, any int, words int")
+
+
+def density_votes(sure: np.ndarray, likely: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One column for each of ``DENSITIES``."""
+    return np.column_stack([((k := likely if wide else sure) >= least) & (k >= part * words) for wide, least, part in DENSITIES])
 
 
 @dataclass
@@ -143,10 +159,13 @@ class LabelModel:
             out[:, g] = votes[:, group == g].any(axis=1)
         return out
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+        """Probability of toxic; labels that are given are one more voter, right 19 times of 20."""
         x = self.joined(votes, self.group)
         logs = np.log(self.rates), np.log1p(-self.rates)
         d = x @ (logs[0][1] - logs[0][0]) + (1 - x) @ (logs[1][1] - logs[1][0]) + np.log(self.share / (1 - self.share))
+        if given is not None:
+            d = np.clip(d, -3, 3) + np.log(19) * (2 * given - 1)
         return 1 / (1 + np.exp(-np.clip(d, -50, 50)))
 
 
@@ -163,12 +182,17 @@ def linear(votes: np.ndarray, goal: np.ndarray, rounds: int = 600) -> tuple[np.n
     return w, b
 
 
-def mine(counts: DataFrame, toxic: int, others: int, voters: int = VOTERS, least: int = 3, purity: float = 0.6) -> np.ndarray:
-    """The units with the surest excess among toxic texts, ``voters`` at most."""
-    rate, other = (F.col("t") + 0.5) / F.lit(toxic + 1.0), (F.col("n") - F.col("t") + 0.5) / F.lit(others + 1.0)
-    odds = counts.where((F.col("t") >= least) & (F.col("t") >= purity * F.col("n"))).withColumn("score", F.col("t") * F.log(rate / other))
-    rows = odds.orderBy(F.desc("score"), "unit").limit(voters).select("unit").collect()
-    return np.array([r.unit for r in rows], np.int64).view(np.uint64)
+def mine(counts: DataFrame, voters: int = VOTERS, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(units, whether each is sure): those with the surest excess among toxic texts, ``voters`` at most.
+
+    The frequency among toxic texts is taken lower, and the other higher, by a deviation.
+    """
+    words = counts.where("unit = 0").first()
+    toxic, other = max(words.toxic if words else 0, 1), max(words.other if words else 0, 1)
+    ratio = ((F.col("toxic") - F.sqrt("toxic")) / toxic) / ((F.col("other") + F.sqrt("other") + 1) / other)
+    odds = counts.where((F.col("unit") != 0) & (F.col("texts") >= least)).withColumn("ratio", ratio).where(F.col("ratio") >= LIKELY)
+    rows = odds.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "unit").limit(voters).select("unit", "ratio").collect()
+    return np.array([r.unit for r in rows], np.int64).view(np.uint64), np.array([r.ratio >= SURE for r in rows], bool)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, voters: int = VOTERS) -> DataFrame:
@@ -184,19 +208,25 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     # The sample has at most ``sample`` rows of two numbers, so its broadcast is bounded.
     known = stored(texts.join(F.broadcast(marks), "id").select("text", "y"), "labelled")
-    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    units = np.unique(np.concatenate([seed_units(), mine(_counted(known), sizes.get(1, 0), sizes.get(0, 0), voters)]))
-
-    rows = _votes(known, units, ("y",), "y int").collect()
+    seeds = np.unique(seed_units())
+    mined, sure = mine(_counted(known), voters)
+    units = np.concatenate([seeds, mined[~np.isin(mined, seeds)]])
+    order = np.argsort(units)
+    sure = np.concatenate([np.ones(seeds.size, bool), sure[~np.isin(mined, seeds)]])[order]
+    units = units[order]
+
+    rows = _votes(known, units, sure, "y", "int").collect()
     y = np.array([r.y for r in rows], np.float64)
-    votes = np.zeros((len(rows), units.size), np.float32)
+    votes = np.zeros((len(rows), units.size + len(DENSITIES)), np.float32)
     for i, r in enumerate(rows):
         votes[i, r.hits] = 1
-    if sizes.get(1, 0) and sizes.get(0, 0):
-        goal = LabelModel.fit(votes, y).posterior(votes)
+    if 0 < y.sum() < y.size:
+        sums = np.array([(r.sure, r["any"], r.words) for r in rows])
+        votes[:, units.size :] = density_votes(*sums.T)
+        goal = LabelModel.fit(votes, y).posterior(votes, y)
         weights, bias = linear(votes, goal)
     else:
-        weights, bias = np.append(np.ones(units.size), 2.0), -2.0
+        weights, bias = np.append(np.ones(votes.shape[1]), 2.0), -2.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +234,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id
             sizes = np.diff(hits.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), sizes)
             z = np.bincount(row, weights=weights[hits.flatten().to_numpy()], minlength=batch.num_rows) + bias + weights[-1] * (sizes > 0)
+            z = z + density_votes(*(batch.column(i).to_numpy() for i in (2, 3, 4))) @ weights[units.size : -1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["id", "score"])
 
-    scored = _votes(texts, units, ("id",), "id long").mapInArrow(score, "id long, score double")
+    scored = _votes(texts, units, sure, "id", "long").mapInArrow(score, "id long, score double")
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(~training_part(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= flag_at).cast("int").alias("predicted")
     )
