@@ -7,9 +7,9 @@ of the first round that reaches a bin is kept; so every coordinate fills. Equal
 bands make buckets. Links are confirmed on the full sets.
 
 No bucket is expanded into all pairs. Documents of equal sets are one class. In each
-bucket the members are first compared with its smallest document; only members
-that still lie in different components are then compared with each other, which
-finds what links the first round can't show.
+bucket the members are first compared with its smallest document; then those that
+still lie outside its largest component are compared with all its members of other
+components, in blocks, which finds what links the first round can't show.
 """
 
 from collections.abc import Iterator
@@ -110,6 +110,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _block_links(words: int, percent: int):
+    """Links of the queries and rows of one block of a bucket, from an index of the rows' shingles."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out: tuple[list, list] = ([], [])
+        if queries.num_rows and rows.num_rows:
+            sets = [s for _, found in shingle_sets(rows["text"], words) for s in found]
+            size, ids, parts = np.array([s.size for s in sets]), rows["id"].to_numpy(), rows["part"].to_numpy()
+            key, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            asked = [s for _, found in shingle_sets(queries["text"], words) for s in found]
+            for s, a, part in zip(asked, queries["id"].to_pylist(), queries["part"].to_pylist(), strict=True):
+                lo, hi = np.searchsorted(key, s, "left"), np.searchsorted(key, s, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+                both = np.bincount(owner[at], minlength=len(sets))
+                for b in ids[(100 * both >= percent * (s.size + size - both)) & (parts != part)]:
+                    out[0].append(max(a, b))
+                    out[1].append(min(a, b))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+#: Buckets up to this size give their open pairs as rows; larger ones are compared in blocks of so many.
+SMALL, BLOCK = 16, 512
+
+
+def _links_left(live: DataFrame, parts: DataFrame, done: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of a bucket that lie in different components.
+
+    The members outside a bucket's largest component are held against all its members of other
+    components: as pairs in small buckets, where there are few, else in blocks of
+    bounded size that emit links only.
+    """
+    named = live.join(parts, live.id == parts.node, "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("part"))
+    shares = named.groupBy("bucket", "part").agg(F.count("*").alias("k"))
+    mixed = shares.groupBy("bucket").agg(F.sum("k").alias("size"), F.max_by("part", F.struct("k", "part")).alias("main"), F.max("k").alias("k"))
+    mixed = mixed.where("k < size").select("bucket", "size", "main", (F.col("size") - F.col("k")).alias("asked"))
+    open_rows = stored(named.join(mixed, "bucket"), "open")
+
+    few = open_rows.where(F.col("size") <= SMALL)
+    x = few.where("part <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
+    y = few.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"))
+    near = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    pairs = x.join(y, "bucket").where((F.col("px") != F.col("py")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
+
+    many = open_rows.where(F.col("size") > SMALL).join(texts, "id").select("bucket", "id", "part", "text", "size", "asked", F.col("part") != F.col("main"))
+    many = many.toDF("bucket", "id", "part", "text", "size", "asked", "asks")
+    blocks = lambda of: F.ceil(F.col(of) / BLOCK)
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), blocks(of) - 1))
+    held = many.withColumn("row_block", F.pmod(F.xxhash64("id"), blocks("size"))).withColumn("ask_block", every("asked"))
+    ask = many.where("asks").withColumn("ask_block", F.pmod(F.xxhash64("id", F.lit(1)), blocks("asked"))).withColumn("row_block", every("size"))
+    keys = ["bucket", "ask_block", "row_block"]
+    kept = [*keys, "id", "part", "text"]
+    ask = ask.select(kept).toDF("of", "ask", "row", "id", "part", "text")
+    found = ask.groupBy("of", "ask", "row").cogroup(held.select(kept).groupBy(keys)).applyInArrow(_block_links(words, percent), "a long, b long")
+    return stored(_verified(pairs, texts, words, percent).unionByName(found).distinct(), "links")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -134,19 +196,11 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = stored(texts.join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    near_size = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     first = stored(live.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     links = stored(_verified(first, texts, words, percent), "links")
     parts = connected_components(links)
 
-    named = live.join(parts, live.id == parts.node, "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("part"))
-    mixed = named.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket")
-    open_rows = stored(named.join(mixed, "bucket"), "open")
-    x = open_rows.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    y = open_rows.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    rest = y.join(x, "bucket").where((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & near_size("na", "nb"))
-    rest = rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, texts, words, percent), "links")
+    more = _links_left(live, parts, first, texts, words, percent)
     parts = connected_components(links.unionByName(more))
 
     out = members.join(parts, members.rep == parts.node, "left")
