@@ -4,7 +4,7 @@ Every window of ``window`` words picks one anchor, the smallest hash of ``seed``
 words in turn (the last of equal ones), so equal windows pick equal anchors
 and no repeat of that length goes unseen. Anchors that occur once only are dropped.
 Around the others the match is extended both ways, up to all windows that
-pick the anchor, and compared by 128-bit hashes; overlapping matches
+pick the anchor, and compared by 96-bit hashes; overlapping matches
 merge into maximal repeats.
 
 Both exchanges are pre-aggregated in the tasks: of a key seen in several documents
@@ -54,8 +54,12 @@ def _anchors(window: int, seed: int):
         last = np.append(first[1:], key.size) - 1
         many = doc[first] != doc[last]
         shared = np.repeat(many, last - first + 1)
-        # Places that are known to count travel by document, with key null.
-        keys = np.concatenate((key, key[first[many]])).view(np.int64)
+        witnesses = key[first[many]]
+        # Back in the order of the texts, in which ids and places compress well.
+        back = np.argsort(order)
+        key, doc, fp, pos, shared = key[back], doc[back], fp[back], pos[back], shared[back]
+        # Places that are known to count travel by document.
+        keys = np.concatenate((key, witnesses)).view(np.int64)
         known = np.concatenate((shared, np.zeros(int(many.sum()), bool)))
         witness = np.arange(keys.size) >= key.size
         pad = np.zeros(int(many.sum()), np.int64)
@@ -107,17 +111,20 @@ def _windows(window: int, seed: int):
         head = np.concatenate(([True], (kd[1:] != kd[:-1]) | (kf[1:] != kf[:-1]) | (ks[1:] != ks[:-1] + 1))) if kd.size else np.zeros(0, bool)
         run_at = np.flatnonzero(head)
         length = np.diff(np.append(run_at, kd.size))
-        one = ~known
+        # The others in the order of the texts, in which ids and places compress well.
+        left = order[~known]
+        rank = np.argsort(left)
+        one = np.flatnonzero(~known)[rank]
         cat = lambda x, y, kind: pa.array(np.concatenate((x[one], y)).astype(kind))
         return pa.RecordBatch.from_arrays(
             [
                 cat(h1.view(np.int64), mix(kd[run_at].view(np.uint64)).view(np.int64), np.int64),
-                cat(h2.view(np.int64), mix(ks[run_at].view(np.uint64)).view(np.int64), np.int64),
+                cat(h2.view(np.int64) >> 32, ks[run_at], np.int32),
                 cat(doc, kd[run_at], np.int64),
                 cat(fp, kf[run_at], np.int32),
                 cat(start, ks[run_at], np.int32),
-                pa.array(np.concatenate((np.ones(int(one.sum()), np.int32), length.astype(np.int32)))),
-                pa.array(np.arange(int(one.sum()) + run_at.size) >= one.sum()),
+                pa.array(np.concatenate((np.ones(one.size, np.int32), length.astype(np.int32)))),
+                pa.array(np.arange(one.size + run_at.size) >= one.size),
             ],
             ["h1", "h2", "id", "fp", "start", "length", "known"],
         )
@@ -195,7 +202,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str
 
     dealt = base.repartition(n, "id", "fp")
     runs = dealt.join(places, ["id", "fp"]).select("id", "fp", "text", "places").mapInArrow(
-        _windows(window, seed), "h1 long, h2 long, id long, fp int, start int, length int, known boolean"
+        _windows(window, seed), "h1 long, h2 int, id long, fp int, start int, length int, known boolean"
     )
     first = F.min("id").over(Window.partitionBy("h1", "h2"))
     gone = runs.withColumn("first", first).where("known or id > first")
