@@ -101,8 +101,10 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     urls = judged.groupBy("id").agg(F.min("ruled").alias("ruled"), F.count("*").alias("pages"))
     fold = F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("int") % 5 == 0
     urls = stored(urls.withColumn("text", F.regexp_replace("id", r"^(?s:.*?)://", "")).withColumn("fold", fold), "urls")
-    taught = urls.where("ruled is not null and not fold").select(F.explode(_runs(F.col("text"), order)).alias("run"), (F.col("ruled") == "allow").alias("accepted"))
-    scores = stored(_scores(urls.where("ruled is null or fold").select("id", "text"), _model(taught, order), order), "scores")
+    # A url's few bytes become a hundred runs and more, so they are spread before that.
+    spread = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    taught = spread.where("ruled is not null and not fold").select(F.explode(_runs(F.col("text"), order)).alias("run"), (F.col("ruled") == "allow").alias("accepted"))
+    scores = stored(_scores(spread.where("ruled is null or fold").select("id", "text"), _model(taught, order), order), "scores")
 
     # Balanced accuracy of the cut "score >= bin" over at most 4,001 bins of calibration scores.
     tried = scores.join(urls.where("ruled is not null").select("id", "ruled"), "id")
