@@ -14,10 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.llm.blocks import row_blocks, searched
+from segmentry.llm.blocks import searched
 from segmentry.shared import stored
 
 
+#: Rows of a part that meet the queries in one task, on average.
+PART_BLOCK = 8192
+
+
 def bisected(graph: np.ndarray, levels: int) -> np.ndarray:
     """Balanced parts 0 .. 2**levels - 1 of a symmetric weighted graph."""
     part = np.zeros(len(graph), np.int64)
@@ -138,7 +142,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, levels: int = 4, samp
     index = stored(base.mapInArrow(routed, f"id long, v {kind}, parts array<int>"), "index")
     sizes = {r.p: r.n for r in index.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}
     # A part has at most 2**levels or as many keys as there are dimensions; its rows are dealt into blocks.
-    blocks = F.create_map(*(F.lit(x) for p, n in sizes.items() for x in (p, max(1, row_blocks(n))))) if sizes else None
+    blocks = F.create_map(*(F.lit(x) for p, n in sizes.items() for x in (p, max(1, -(-n // PART_BLOCK))))) if sizes else None
     count = lambda p: F.coalesce(blocks[p], F.lit(1)) if sizes else F.lit(1)
     part = lambda p, b: F.concat_ws(":", p, b)
     held = index.withColumn("p", F.col("parts")[0]).withColumn("part", part("p", F.pmod(F.xxhash64("id"), count(F.col("p"))))).select("id", "v", "part")
