@@ -200,7 +200,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str
     counted = seeds.withColumn("seen", F.sum(F.when(F.col("known") | F.col("id").isNull(), 2).otherwise(1)).over(Window.partitionBy("key")))
     places = stored(counted.where("seen > 1 and id is not null").groupBy("id", "fp").agg(F.collect_set("pos").alias("places")), "places")
 
-    dealt = base.repartition(n, "id", "fp")
+    # Both joins below read this one exchange; the filter is the one that an inner join adds.
+    dealt = named.where("fp is not null").repartition(n, "id", "fp")
     runs = dealt.join(places, ["id", "fp"]).select("id", "fp", "text", "places").mapInArrow(
         _windows(window, seed), "h1 long, h2 int, id long, fp int, start int, length int, known boolean"
     )
@@ -208,5 +209,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str
     gone = runs.withColumn("first", first).where("known or id > first")
     covered = gone.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
     out = dealt.join(covered, ["id", "fp"], "left").select("id", "text", "runs.start", "runs.length")
+    nameless = base.where("id is null").select("id", "text", *(F.lit(None).cast("array<int>").alias(c) for c in ("start", "length")))
+    out = out.unionByName(nameless)
     out = out.mapInArrow(_kept(window), "id long, kept_text binary, n_words long, n_removed long")
     return out.select(F.col("id").alias(id_col), F.col("kept_text").cast("string").alias("kept_text"), "n_words", "n_removed")
