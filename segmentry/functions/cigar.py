@@ -1,6 +1,6 @@
 """Column expressions over CIGAR strings, bases and tags."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INT = "int"
@@ -88,3 +88,28 @@ def mode(lt: Column, rt: Column) -> Column:
 
 def link_type(kind: Column, mode1: Column, mode2: Column) -> Column:
     return F.when(kind == "TDUP", "ICRL").when(kind == "INV", "ICTL").when((kind == "TRA") & (mode1 == mode2), "ITTL").when(kind == "TRA", "ITPL").otherwise("NA")
+
+
+def longest_insertion(start: Column, cigar: Column) -> Column:
+    """(len, at) of the longest insertion, the first of equal ones; before an intron it stands at the intron's end. Length 0 if there is none."""
+    kind = "struct<at:bigint,last:string,best:struct<len:int,at:bigint>>"
+    zero = F.struct(start.cast("bigint").alias("at"), F.lit("").alias("last"), F.struct(F.lit(0).alias("len"), start.cast("bigint").alias("at")).alias("best")).cast(kind)
+
+    def step(acc, o):
+        to = acc["at"] + F.when(o["op"].isin("M", "D", "N"), o["len"]).otherwise(0)
+        best = acc["best"]
+        longer = F.when((o["op"] == "I") & (o["len"] > best["len"]), F.struct(o["len"].alias("len"), acc["at"].alias("at")))
+        moved = F.when((o["op"] == "N") & (acc["last"] == "I") & (best["at"] == acc["at"]), F.struct(best["len"].alias("len"), to.alias("at")))
+        return F.struct(to.alias("at"), o["op"].alias("last"), F.coalesce(longer, moved, best).alias("best")).cast(kind)
+
+    return F.aggregate(operations(cigar), zero, step, lambda a: a["best"])
+
+
+def cs_stats(df: DataFrame, cs: str, long: int) -> DataFrame:
+    """Add ``ref_len``, and per reference base the substitutions ``subs`` and the insertions and deletions of ``long`` or more."""
+    items = lambda pattern: F.regexp_extract_all(F.col(cs), F.lit(pattern), F.lit(1))
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+    x = df.withColumn("_m", F.aggregate(items(r":(\d+)"), F.lit(0), lambda a, n: a + n.cast(INT))).withColumn("_s", F.size(items(r"\*([a-z]{2})")))
+    x = x.withColumn("_i", items(r"\+([a-z]+)")).withColumn("_d", items(r"-([a-z]+)")).withColumn("ref_len", F.col("_m") + F.col("_s") + size(F.col("_d")))
+    many = lambda c: F.size(F.filter(F.col(c), lambda t: F.length(t) >= long)) / F.col("ref_len")
+    return x.withColumn("subs", F.col("_s") / F.col("ref_len")).withColumn("long_ins", many("_i")).withColumn("long_del", many("_d")).drop("_m", "_s", "_i", "_d")

@@ -1,6 +1,6 @@
 """Range joins by bins: every pair once, as an equi-join."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,27 @@ def range_join(left: DataFrame, right: DataFrame, on: Column, key: tuple[str, st
     first = F.col("_lb") == F.greatest("_lb_lo", "_rb_lo")
     out = x.join(y, (F.col(key[0]) == F.col(key[1])) & (F.col("_lb") == F.col("_rb")) & first & on)
     return out.drop("_lb", "_rb", "_lb_lo", "_rb_lo")
+
+
+def union(df: DataFrame, key: str, start: str, end: str, touch: int = 0) -> DataFrame:
+    """Unions of the intervals of each key: the next joins if it starts at the largest end so far plus ``touch`` at most."""
+    w = Window.partitionBy(key).orderBy(start, end)
+    top = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = df.withColumn("_new", F.when(F.col(start) <= top + touch, 0).otherwise(1))
+    x = x.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(key, "_island").agg(F.min(start).alias("u_start"), F.max(end).alias("u_end"), F.count("*").alias("n")).drop("_island")
+
+
+def near_pairs(df: DataFrame, keys: list[str], item: str, start: str, end: str, tolerance: int) -> DataFrame:
+    """Pairs (item1 < item2) of equal keys whose starts and ends differ by ``tolerance`` at most.
+
+    One side is repeated for the nine neighbouring bins of start and end, the other is
+    in one, so every pair is found once by an equi-join.
+    """
+    width = tolerance + 1
+    at = lambda c, d=0: F.floor(F.col(c) / width) + d
+    x = df.select(*keys, F.col(item).alias(f"{item}1"), F.col(start).alias("_s1"), F.col(end).alias("_e1"), at(start).alias("_bs"), at(end).alias("_be"))
+    y = df.select(*keys, F.col(item).alias(f"{item}2"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
+    y = y.withColumn("_bs", F.explode(F.array(*(at("_s2", d) for d in (-1, 0, 1))))).withColumn("_be", F.explode(F.array(*(at("_e2", d) for d in (-1, 0, 1)))))
+    close = (F.abs(F.col("_s1") - F.col("_s2")) <= tolerance) & (F.abs(F.col("_e1") - F.col("_e2")) <= tolerance)
+    return x.join(y, [*keys, "_bs", "_be"]).where(close & (F.col(f"{item}1") < F.col(f"{item}2"))).select(*keys, f"{item}1", f"{item}2")

@@ -1,4 +1,4 @@
-"""Alignments, exons, genome and reads derived from the star-schema tables.
+"""Alignments, exons and genome derived from the star-schema tables.
 
 An order is a long read and its line items are the segments that tile it. Reads of one
 locus family share segments; families have at most 128 order keys each, so they grow in number with
@@ -41,12 +41,22 @@ from (select *, cast(floor(p_partkey / 8) as bigint) as fam, p_partkey % 4 as lo
 cross join (select 0 as i union all select 1 union all select 2) e
 """
 
-READS = """
-select o.read_id, o.q_len,
-  rpad(translate(lower(d.text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), o.q_len, 'ACGT') as raw_seq
-from (select distinct read_id, q_len from alignments) o
-join documents d on d.doc_id = o.read_id % (select count(*) from documents)
+# Each document is a locus family; its whole text, as bases, is laid out in chunks of 5,000 that begin 100 before a locus.
+_GENOME = """
+select concat('chr', cast(1 + (doc_id * 3 + p * 5 * (doc_id % 2)) % 22 as int)) as chrom, cast(20 + 20 * doc_id + p as bigint) as chunk_no,
+  rpad(regexp_replace(translate(substring(text, cast(5000 * p + 1 as int), 5000), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N'GLOBAL), 5000, 'N') as seq
+from (select doc_id, text, EXPLODE as p from documents where length(text) > 0) d
 """
+_LAST = "cast(floor((length(text) - 1) / 5000) as int)"
+#: For the oracle; Spark's form differs in how rows are made of a range.
+GENOME = _GENOME.replace("GLOBAL", ", 'g'").replace("EXPLODE", f"unnest(generate_series(0, {_LAST}))")
+
+
+def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrom, chunk_no and bases; a chunk begins at 5,000 * chunk_no - 100."""
+    text = _GENOME.replace("GLOBAL", "").replace("EXPLODE", f"explode(sequence(0, {_LAST}))").replace("from documents", "from {documents}")
+    return spark.sql(text, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
