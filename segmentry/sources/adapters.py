@@ -74,3 +74,39 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return exons(spark, sf_dir).groupBy("gene", "chrom").agg(F.min("e_start").alias("g_start"), F.max("e_end").alias("g_end"))
+
+
+#: Read sequences: bases made of the read's own digest, repeated to its length.
+READS = """
+select read_id, q_len, rpad(b, q_len, b) as bases
+from (select read_id, q_len, translate(md5(cast(read_id as string)), '0123456789abcdef', 'ACGTACGTACGTACGT') as b
+  from (select distinct read_id, q_len from alignments) a) d
+"""
+
+# Eight parts are nodes of one locus; tens of their sizes vary inner ends, and first and last exons may be missing.
+NODES = """
+select node_id, fam, chrom, strand, ident, genuine, e.i as i,
+  cast(100000 + 100000 * fam + 800 * e.i + case when e.i = lo then 4 * (size % 3) else 0 end as bigint) as e_start,
+  cast(100000 + 100000 * fam + 800 * e.i + 100 + case when e.i = hi then 4 * (size % 4) else 10 * (lot % 2) end as bigint) as e_end
+from (select p_partkey as node_id, cast(floor(p_partkey / 8) as bigint) as fam, p_size as size, cast(floor(p_size / 10) as int) as lot,
+    concat('chr', cast(1 + (cast(floor(p_partkey / 8) as bigint) * 3) % 22 as int)) as chrom,
+    case when floor(p_partkey / 8) % 2 = 0 then '+' else '-' end as strand,
+    case when p_partkey % 3 = 0 then 'HEAD' when p_partkey % 3 = 1 then 'MID' else 'TAIL' end as ident, p_size % 2 = 0 as genuine,
+    case when p_partkey % 5 = 0 then 1 when p_partkey % 7 = 0 then 2 else 0 end as lo, case when p_partkey % 11 = 0 and p_partkey % 7 <> 0 then 1 else 2 end as hi
+  from part) n
+join (select 0 as i union all select 1 union all select 2) e on e.i between n.lo and n.hi
+"""
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of each read."""
+    return spark.sql(READS.replace("from alignments", "from {a}"), a=alignments(spark, sf_dir))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of a locus: chrom, strand, identity, whether its end is genuine, and its exons in order."""
+    from pyspark.sql import functions as F
+
+    x = spark.sql(NODES.replace("from part)", "from {part})"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    exon = F.struct(F.col("e_start").alias("start"), F.col("e_end").alias("end"))
+    return x.groupBy("node_id", "fam", "chrom", "strand", "ident", "genuine").agg(F.array_sort(F.collect_list(exon)).alias("exons"))
