@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from segmentry.operators import junctions as J
+from segmentry.plans.junction_queries import letter_id, numeric_id
+from segmentry.sources.gtf import parse_gtf
 from segmentry.functions import cigar as C
 from segmentry.operators.components import connected_components
 from segmentry.operators.ranges import range_join
@@ -55,3 +58,21 @@ def test_range_join_meets_each_pair_once(spark):
     got = range_join(x, y, on, ("k", "k2"), ("s", "e"), ("s2", "e2"), width=10).collect()
     want = x.join(y, on).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_stable_ids(spark):
+    key = "chr16-84995921-85011535---m64135_220623_212714/123471672/ccs"
+    assert one(spark, key, numeric_id(F.col("cigar"))) == "7236494217"
+    assert one(spark, "Hello World!", letter_id(F.col("cigar"))) == "a" + __import__("hashlib").sha256(b"Hello World!").hexdigest()[1:16]
+
+
+def test_affix_length(spark):
+    size = lambda a, b, right: one(spark, a, J.affix_length(F.col("cigar"), F.lit(b), right))
+    assert [size("ACGT", "ACGA", False), size("ACGT", "ACGT", False), size("ACGT", "TCGT", True), size("ACGT", "ACGT", True), size("", "A", True)] == [3, 0, 3, 4, 0]
+
+
+def test_gtf(spark):
+    lines = ["#x", 'chr1\ts\texon\t10\t20\t.\t-\t.\tgene_id "g"; gene "B"; gene "C";', 'chr_1\ts\texon\t1\t2\t.\t+\t.\tgene "a";', "short", "", 'chr2\ts\tgene\t1\t2\t.\t+\t.\t']
+    rows = {r.chrom: r for r in parse_gtf(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    assert set(rows) == {"chr1", "chr2"}
+    assert (rows["chr1"].start, rows["chr1"].end, rows["chr1"].gene, rows["chr2"].gene) == (9, 20, "B", None)
