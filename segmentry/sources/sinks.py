@@ -27,3 +27,28 @@ def graph_json(edges: DataFrame) -> DataFrame:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.text(path)
+
+
+def parse_graph_json(lines: DataFrame) -> DataFrame:
+    """Edges (src, dst, sr) of lines as ``graph_json`` makes them; lines that are no such JSON give none."""
+    x = lines.select(F.from_json("line", "src string, edges array<struct<dst:string,sr:bigint>>").alias("x"))
+    return x.select("x.src", F.explode("x.edges").alias("e")).select("src", "e.dst", "e.sr")
+
+
+def nodelink_json(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """One graph per key as JSON: its nodes and its links with their support, in order."""
+    n = nodes.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col("node").alias("id")))).alias("nodes"))
+    e = edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "sr"))).alias("links"))
+    none = F.array().cast("array<struct<source:string,target:string,sr:bigint>>")
+    return n.join(e, key, "left").select(F.to_json(F.struct(F.lit(True).alias("directed"), F.col(key).alias("graph"), "nodes", F.coalesce("links", none).alias("links"))).alias("line"))
+
+
+def tsg_lines(nodes: DataFrame, edges: DataFrame, paths: DataFrame, key: str) -> DataFrame:
+    """Records of graphs by tabs: H (version), G (nodes of a graph), N, E with support, and P with the reads of a path."""
+    line = lambda *cs: F.concat_ws("\t", *(F.lit(c) if len(c) == 1 or ":" in c else F.col(c).cast("string") for c in cs)).alias("line")
+    tag = lambda name, c: F.concat(F.lit(f"{name}:i:"), F.col(c).cast("string")).alias(name)
+    out = nodes.select(key).distinct().select(line("H", "VN:Z:1", key))
+    out = out.unionByName(nodes.groupBy(key).agg(F.count("*").alias("n_nodes")).select(line("G", key, "n_nodes"))).unionByName(nodes.select(line("N", key, "node")))
+    out = out.unionByName(edges.withColumn("tag", tag("sr", "sr")).select(line("E", key, "src", "dst", "tag")))
+    steps = paths.withColumn("steps", F.replace("path", F.lit("|"), F.lit(","))).withColumn("tag", tag("ptc", "reads"))
+    return out.unionByName(steps.select(line("P", key, "path_id", "steps", "tag")))
