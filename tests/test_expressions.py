@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmentry.operators import junctions as J
+from segmentry.operators.rescue import rebased
 from segmentry.plans.junction_queries import letter_id, numeric_id
 from segmentry.sources.gtf import parse_gtf
 from segmentry.functions import cigar as C
@@ -76,3 +77,8 @@ def test_gtf(spark):
     rows = {r.chrom: r for r in parse_gtf(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
     assert set(rows) == {"chr1", "chr2"}
     assert (rows["chr1"].start, rows["chr1"].end, rows["chr1"].gene, rows["chr2"].gene) == (9, 20, "B", None)
+
+
+def test_rebased(spark):
+    own = rebased((F.lit(5), F.lit(10), F.lit(2)), F.lit(True), F.lit("+"), F.lit("+"), F.col("cigar"))
+    assert [one(spark, "1S2M1S", own[k]) for k in ("lt", "rt", "cigar")] == [1, 12, "2S2M13S"]
