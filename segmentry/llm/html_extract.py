@@ -2,10 +2,10 @@
 
 A page is read as blocks of text with the containers that they stand in. Containers whose
 element, role or class names them as menus, headers, footers, sidebars, notices, adverts,
-forms or comments are left out. If a page marks its article, that is its main text. In
-all other pages what is boilerplate is decided by repetition: the host's blocks are token streams,
-suffixes are grouped by their first ``run`` tokens, as neighbours in a suffix array with so long a
-common prefix are; a group on several distinct pages of the host is a repeated substring.
+forms or comments veto their blocks; a marked article protects its own. In all
+other blocks what is boilerplate is decided by repetition: the host's blocks, of all marks, are token
+streams, suffixes are grouped by their first ``run`` tokens, as neighbours in a suffix array with so
+long a common prefix are; a group on several distinct pages of the host is a repeated substring.
 Tokens that repeats cover are removed, unique runs stay.
 """
 
@@ -31,6 +31,8 @@ NAMES = frozenset(
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
+#: Marks of blocks: in an article, in no container that says anything, in an unwanted one.
+PROTECTED, OPEN, VETOED = 1, 0, -1
 
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -49,10 +51,9 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def page_blocks(page: str) -> tuple[list[str], bool]:
-    """(blocks, whether they are a marked article): text outside unwanted containers, white space made single."""
-    main: list[str] = []
-    rest: list[str] = []
+def marked_blocks(page: str) -> list[tuple[int, str]]:
+    """(mark, block) in page order, white space made single."""
+    out: list[tuple[int, str]] = []
     text: list[str] = []
     inside, skipped, depth, at = 0, "", 0, 0
 
@@ -60,16 +61,20 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
         block = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if block:
-            (main if inside else rest).append(block)
+            out.append((VETOED if skipped else PROTECTED if inside else OPEN, block))
 
     for m in _TAG.finditer(page):
-        if not skipped and m.start() > at:
+        if m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         end = bool(m[2])
+        if tag not in INLINE or tag == skipped:
+            close()
+        elif tag == "br":
+            text.append(" ")
         if skipped:
             if tag in MAIN and not end:  # an unwanted container that was never closed
                 skipped = ""
@@ -78,10 +83,6 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
                 if depth == 0:
                     skipped = ""
                 continue
-        if tag not in INLINE:
-            close()
-        elif tag == "br":
-            text.append(" ")
         if end:
             inside = max(0, inside - (tag in MAIN))
         elif tag in VOID or m[4].endswith("/"):
@@ -91,18 +92,24 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
             skipped, depth = tag, 1
         else:
             inside += tag in MAIN
-    if not skipped:
-        text.append(page[at:])
+    text.append(page[at:])
     close()
-    return (main, True) if main else (rest, False)
+    return out
+
+
+def page_blocks(page: str) -> tuple[list[str], bool]:
+    """(blocks, whether they are a marked article): those of the article, else those that no container vetoes."""
+    found = marked_blocks(page)
+    main = [b for mark, b in found if mark == PROTECTED]
+    return (main, True) if main else ([b for mark, b in found if mark == OPEN], False)
 
 
 def _unique_runs(pages: DataFrame, run: int, least_pages: int) -> DataFrame:
-    """``pages``: id, host, blocks. id and text: the blocks without the words that runs on several pages of the host cover."""
-    words = pages.select("id", "host", F.posexplode("blocks").alias("block", "text"))
-    words = words.select("id", "host", "block", F.posexplode(F.split("text", " ")).alias("i", "word"))
+    """``pages``: id, host, blocks. id and text: protected blocks, and open ones without the words that runs on several pages of the host cover."""
+    words = pages.select("id", "host", F.posexplode("blocks").alias("block", "of"))
+    words = words.select("id", "host", "block", "of.mark", F.posexplode(F.split("of.text", " ")).alias("i", "word"))
     # Order in the page: block and place; suffixes of each page by a window over it alone.
-    streams = words.groupBy("id", "host").agg(F.array_sort(F.collect_list(F.struct("block", "i", "word"))).alias("tokens"))
+    streams = words.groupBy("id", "host").agg(F.array_sort(F.collect_list(F.struct("block", "i", "word", "mark"))).alias("tokens"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("tokens") - run + 1, F.lit(1)))
     suffixes = streams.where(F.size("tokens") >= run).select("id", "host", "tokens.word", F.explode(starts).alias("at"))
     suffixes = suffixes.select("id", "host", "at", F.xxhash64(F.slice("word", F.col("at"), F.lit(run))).alias("h"), F.hash(F.slice("word", F.col("at"), F.lit(run))).alias("h2"))
@@ -111,7 +118,7 @@ def _unique_runs(pages: DataFrame, run: int, least_pages: int) -> DataFrame:
     covered = suffixes.join(repeated, ["host", "h", "h2"]).groupBy("id").agg(F.collect_set("at").alias("starts"))
     kept = streams.join(covered, "id", "left").select("id", F.posexplode("tokens").alias("p", "token"), "starts")
     free = F.coalesce(~F.exists("starts", lambda s: (s <= F.col("p") + 1) & (F.col("p") + 1 < s + run)), F.lit(True))
-    lines = kept.where(free).groupBy("id", "token.block").agg(F.array_sort(F.collect_list("token")).alias("t"))
+    lines = kept.where((F.col("token.mark") == PROTECTED) | (F.col("token.mark") == OPEN) & free).groupBy("id", "token.block").agg(F.array_sort(F.collect_list("token")).alias("t"))
     lines = lines.select("id", "block", F.array_join(F.transform("t", lambda x: x["word"]), " ").alias("line"))
     return lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
@@ -119,22 +126,27 @@ def _unique_runs(pages: DataFrame, run: int, least_pages: int) -> DataFrame:
 def main_text(pages: DataFrame, run: int = 8, least_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, ``text``, ``n_chars``.
 
-    Blocks stand in page order, joined by one line end. A null or empty page has an empty text and 0
+    Blocks stand in page order, joined by one line end. Repeats are looked for in the blocks of
+    all pages of the host, of any mark; they decide the open blocks only. A null or empty page has an empty text and 0
     characters; a null url is the host ''. Rows that repeat an id count as one page
     when repeats are looked for, and each gets its text.
     """
 
     def run_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page_blocks(x or "") for x in batch.column(2).to_pylist()]
-            text = pa.array(["\n".join(b) if sure or not b else None for b, sure in found], pa.string())
-            blocks = pa.array([None if sure or not b else b for b, sure in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, blocks], ["page", "url", "text", "blocks"])
+            found = [[{"mark": mark, "text": block} for mark, block in marked_blocks(x or "")] for x in batch.column(2).to_pylist()]
+            blocks = pa.array(found, pa.list_(pa.struct([("mark", pa.int32()), ("text", pa.string())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blocks], ["page", "url", "blocks"])
 
     read = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    read = stored(read.mapInArrow(run_pages, "page long, url string, text string, blocks array<string>"), "blocks")
-    sure = read.where("blocks is null").select("page", "url", F.coalesce("text", F.lit("")).alias("text"))
-    asked = read.where("blocks is not null").withColumn("id", F.xxhash64("page", "url", "blocks"))
-    unique = _unique_runs(asked.dropDuplicates(["id"]).select("id", host_of(F.col("url")).alias("host"), "blocks"), run, least_pages)
-    rest = asked.join(unique.withColumnRenamed("text", "found"), "id", "left").select("page", "url", F.coalesce("found", F.lit("")).alias("text"))
+    read = stored(read.mapInArrow(run_pages, "page long, url string, blocks array<struct<mark:int,text:string>>"), "blocks")
+    read = read.withColumn("host", host_of(F.col("url"))).withColumn("asks", F.exists("blocks", lambda b: b["mark"] == OPEN))
+    protected = F.transform(F.filter("blocks", lambda b: b["mark"] == PROTECTED), lambda b: b["text"])
+    sure = read.where(~F.col("asks")).select("page", "url", F.array_join(protected, "\n").alias("text"))
+    # Where no page of a host has an open block, its repeats decide nothing. Stored, so that few hosts are broadcast and the pages stay where they are.
+    hosts = stored(read.where("asks").select("host").distinct(), "hosts")
+    told = read.join(hosts, "host", "left_semi").withColumn("id", F.xxhash64("page", "url", "blocks"))
+    unique = _unique_runs(told.select("id", "host", "blocks").dropDuplicates(["id"]), run, least_pages)
+    asked = told.where("asks").select("id", "page", "url")
+    rest = asked.join(unique, "id", "left").select("page", "url", F.coalesce("text", F.lit("")).alias("text"))
     return sure.unionByName(rest).select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

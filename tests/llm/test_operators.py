@@ -166,6 +166,17 @@ def test_main_text(spark):
     assert page_blocks("<nav>never closed<article>x</article>") == (["x"], True)
 
 
+def test_marks_protect_or_veto_only(spark):
+    shared = "subscribe to our weekly letter now and get nine free gifts today"
+    story = "<article><p>this very story was posted on all pages of the host again</p></article>"
+    pages = [(i, "http://a.com/", f"<div>{shared}</div>{story}<div>n{i} an open block of page {i}</div>") for i in range(3)]
+    # Runs in unwanted containers and articles count for open blocks of other pages.
+    pages += [(10, "http://b.com/", f"<div>{shared}</div><p>own</p>"), (11, "http://b.com/", f"<nav>{shared}</nav>"), (12, "http://b.com/", f"<article>{shared}</article>")]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    kept = "this very story was posted on all pages of the host again"
+    assert got == {i: f"{kept}\nn{i} an open block of page {i}" for i in range(3)} | {10: "own", 11: "", 12: shared}
+
+
 def test_url_verdicts(spark):
     urls = ["http://a.com/x", "https://WWW.example.com/en/1", "http://b.example.com/en/", "http://x.net/es/1?q", "http://x.net/de/", "net/es/", None, "", "http://net/fr/#t", "ftp://u.org"]
     pages = spark.createDataFrame([(i, u, 0) for i, u in enumerate(urls)], "page_id long, url string, id int")
