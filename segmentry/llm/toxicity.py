@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.llm.quality import training_part
-from segmentry.llm.wordhash import byte_values, hash_words, text_blocks
+from segmentry.llm.wordhash import byte_values, hash_words, mix, text_blocks
 from segmentry.shared import stored
 
 #: A fixed list of common insults, each a voter from the start.
 SEEDS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "garbage", "filth", "dumb", "retard", "imbecile", "vermin", "jerk")
 #: Lengths in bytes of the word beginnings that are tried as patterns.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Labelled rows that voters and classifier are fitted on at most, and voters at most.
+#: Labelled ids that label model and classifier are fitted on at most, and mined units with a voter of their own at most (the driver holds their votes on the sample).
 SAMPLE, VOTERS = 40_000, 512
+#: Bits of the filter that keeps most texts without a label out of the join; bounds its memory, not the result.
+FILTER_BITS = 1 << 23
 #: A pattern is sure or likely from these ratios of its frequencies in toxic and other texts.
 SURE, LIKELY = 30.0, 5.0
 #: One text counts as so many uses of a pattern at most, when patterns are mined.
@@ -84,19 +86,43 @@ def _counted(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "other")))
 
 
-def _votes(texts: DataFrame, units: np.ndarray, sure: np.ndarray, kept: str, kind: str) -> DataFrame:
-    """Columns ``kept``, ``hits`` (places in the sorted ``units`` of those in a text), its words that match a sure unit, any unit, and all."""
+def _maybe_labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose id isn't among ``marks``."""
+    place = lambda ids: (mix(ids.to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            held[place(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], ["bits"])
+
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in marks.select("id").repartition(4).mapInArrow(mark, "bits binary").collect():
+        packed |= np.frombuffer(r.bits, np.uint8)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(held[place(batch.column(0))]))
+
+    return texts.where("id is not null").mapInArrow(keep, "id long, text binary")
+
+
+def _votes(texts: DataFrame, units: np.ndarray, sure: np.ndarray, own: np.ndarray, kept: str, kind: str) -> DataFrame:
+    """Columns ``kept``, ``hits`` (places among the ``own`` of the sorted ``units`` of those in a text), its words that match a sure unit, any unit, and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table()
+        table, n = _table(), int(own.sum())
+        place = np.cumsum(own) - 1
         for batch in batches:
             for lo, hi, data, offs in text_blocks(batch.column(1)):
                 row, counts, found = _units(data, offs, table)
                 at = np.minimum(np.searchsorted(units, found), units.size - 1)
                 ok = units[at] == found
-                pairs = np.unique(np.broadcast_to(row, found.shape)[ok] * units.size + at[ok])
-                edge = np.searchsorted(pairs, np.arange(hi - lo + 1) * units.size)
-                hits = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((pairs % units.size).astype(np.int32)))
+                voted = ok & own[at]
+                pairs = np.unique(np.broadcast_to(row, found.shape)[voted] * n + place[at[voted]])
+                edge = np.searchsorted(pairs, np.arange(hi - lo + 1) * n)
+                hits = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((pairs % n).astype(np.int32)))
                 matched = [np.bincount(row[m.any(axis=0)], minlength=hi - lo) for m in (ok & sure[at], ok)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), hits, *(pa.array(x.astype(np.int32)) for x in (*matched, counts))], [kept, "hits", "sure", "any", "words"]
@@ -182,8 +208,8 @@ def linear(votes: np.ndarray, goal: np.ndarray, rounds: int = 600) -> tuple[np.n
     return w, b
 
 
-def mine(counts: DataFrame, voters: int = VOTERS, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(units, whether each is sure): those with the surest excess among toxic texts, ``voters`` at most.
+def mine(counts: DataFrame, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(units, whether each is sure): all with an excess among toxic texts, the surest first.
 
     The frequency among toxic texts is taken lower, and the other higher, by a deviation.
     """
@@ -191,38 +217,42 @@ def mine(counts: DataFrame, voters: int = VOTERS, least: int = 3) -> tuple[np.nd
     toxic, other = max(words.toxic if words else 0, 1), max(words.other if words else 0, 1)
     ratio = ((F.col("toxic") - F.sqrt("toxic")) / toxic) / ((F.col("other") + F.sqrt("other") + 1) / other)
     odds = counts.where((F.col("unit") != 0) & (F.col("texts") >= least)).withColumn("ratio", ratio).where(F.col("ratio") >= LIKELY)
-    rows = odds.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "unit").limit(voters).select("unit", "ratio").collect()
+    rows = odds.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "unit").select("unit", "ratio").collect()
     return np.array([r.unit for r in rows], np.int64).view(np.uint64), np.array([r.ratio >= SURE for r in rows], bool)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, voters: int = VOTERS) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` (0 to 1), ``predicted``.
 
-    Voters and classifier are fitted on at most ``sample`` labelled rows of the training part, chosen by
-    a hash of the id; every text is scored whole. Null and empty texts have no votes. Null
+    Patterns are counted in all labelled rows of the training part; label model and classifier are
+    fitted on at most ``sample`` of their ids, chosen by a hash; every text is scored whole. The ``voters`` best
+    mined units vote each on its own; the sure ones of the others count in the votes on matched words. Null and empty texts have no votes. Null
     labels teach nothing; ids that repeat are scored row by row; a null id is scored and
     not held out. Without labelled rows only the seed lexicon speaks.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(training_part())
-    marks = marks.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
+    marks = stored(marks, "marks")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    # The sample has at most ``sample`` rows of two numbers, so its broadcast is bounded.
-    known = stored(texts.join(F.broadcast(marks), "id").select("text", "y"), "labelled")
+    known = stored(_maybe_labelled(texts, marks).join(marks, "id").select("id", "text", "y"), "labelled")
     seeds = np.unique(seed_units())
-    mined, sure = mine(_counted(known), voters)
+    mined, sure = mine(_counted(known))
+    own = np.arange(mined.size) < voters
+    mined, sure, own = (x[own | sure] for x in (mined, sure, own))
     units = np.concatenate([seeds, mined[~np.isin(mined, seeds)]])
     order = np.argsort(units)
-    sure = np.concatenate([np.ones(seeds.size, bool), sure[~np.isin(mined, seeds)]])[order]
-    units = units[order]
+    sure, own = (np.concatenate([np.ones(seeds.size, bool), x[~np.isin(mined, seeds)]])[order] for x in (sure, own))
+    units, n = units[order], int(own.sum())
 
-    rows = _votes(known, units, sure, "y", "int").collect()
+    # At most ``sample`` ids, so their broadcast is bounded.
+    chosen = marks.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = _votes(known.join(F.broadcast(chosen), "id", "left_semi"), units, sure, own, "y", "int").collect()
     y = np.array([r.y for r in rows], np.float64)
-    votes = np.zeros((len(rows), units.size + len(DENSITIES)), np.float32)
+    votes = np.zeros((len(rows), n + len(DENSITIES)), np.float32)
     for i, r in enumerate(rows):
         votes[i, r.hits] = 1
     if 0 < y.sum() < y.size:
         sums = np.array([(r.sure, r["any"], r.words) for r in rows])
-        votes[:, units.size :] = density_votes(*sums.T)
+        votes[:, n:] = density_votes(*sums.T)
         goal = LabelModel.fit(votes, y).posterior(votes, y)
         weights, bias = linear(votes, goal)
     else:
@@ -234,10 +264,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id
             sizes = np.diff(hits.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), sizes)
             z = np.bincount(row, weights=weights[hits.flatten().to_numpy()], minlength=batch.num_rows) + bias + weights[-1] * (sizes > 0)
-            z = z + density_votes(*(batch.column(i).to_numpy() for i in (2, 3, 4))) @ weights[units.size : -1]
+            z = z + density_votes(*(batch.column(i).to_numpy() for i in (2, 3, 4))) @ weights[n:-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["id", "score"])
 
-    scored = _votes(texts, units, sure, "id", "long").mapInArrow(score, "id long, score double")
+    scored = _votes(texts, units, sure, own, "id", "long").mapInArrow(score, "id long, score double")
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(~training_part(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= flag_at).cast("int").alias("predicted")
     )

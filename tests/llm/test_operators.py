@@ -200,6 +200,16 @@ def test_classifiers_hold_out(spark, score, label, least):
     assert score(odd.where("false"), labels).count() == 0
 
 
+def test_toxic_words_are_counted_beyond_the_sample(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("bcdfgklmnprst", k=9))
+    plain, bad = [word() for _ in range(200)], [word() for _ in range(40)]
+    rows = [(i, " ".join([*rnd.choices(plain, k=30), *([bad[i // 3 % 40]] * 2 if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(1200)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity_scores(known.select("doc_id", "text"), known.select("doc_id", "toxic"), sample=60).join(known, "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.98
+
+
 def test_held_out_rule(docs, spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
     for r in quality_scores(docs, labels).collect():
