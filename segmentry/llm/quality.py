@@ -81,16 +81,17 @@ def _line_table() -> np.ndarray:
     return t
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``id`` and ``x``, the statistics of each whole text."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Columns ``id``, ``row`` (null without ``row_col``) and ``x``, the statistics of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch.column(1)):
+            for lo, hi, data, offs in text_blocks(batch.column(2)):
                 x = text_statistics(data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], ["id", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(list(x), pa.list_(pa.float64()))], ["id", "row", "x"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, x array<double>")
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    return docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, row long, x array<double>")
 
 
 @dataclass
@@ -157,24 +158,25 @@ def training_part(column: str = "id"):
     return F.crc32(F.col(column).cast("string")) % 4 != 2
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, keep_at: float = 0.7, shrink: float = 0.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """One row per document: id, ``held_out``, ``score`` (0 to 1), ``predicted``.
+def quality_scores(docs: DataFrame, labels: DataFrame, keep_at: float = 0.7, shrink: float = 0.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
+    """One row per document: id, ``held_out``, ``score`` (0 to 1), ``predicted``; with ``row_col`` that column too.
 
     Learns from labelled rows of the training part only, from the text only. Null and
     empty texts are scored as texts without words. Null labels teach nothing; ids
     that repeat are scored row by row; a null id is scored, never held out and
     teaches nothing. Without any labels all rows get the same score, one half.
     """
-    stats = stored(statistics(docs, id_col, text_col), "statistics")
+    stats = stored(statistics(docs, id_col, text_col, row_col), "statistics")
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y in (0, 1)").where(training_part())
     model = fit(stats.join(marks, "id"), shrink)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["id", "score"])
+            x = batch.column(2).flatten().to_numpy().reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(x))], ["id", "row", "score"])
 
-    scored = stats.mapInArrow(run, "id long, score double")
+    scored = stats.mapInArrow(run, "id long, row long, score double")
     return scored.select(
+        *([F.col("row").alias(row_col)] if row_col else []),
         F.col("id").alias(id_col), F.coalesce(~training_part(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= keep_at).cast("int").alias("predicted")
     )
