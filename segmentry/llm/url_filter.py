@@ -4,11 +4,13 @@ Rules name a host and a path. URLs that a rule decides also teach: those allowed
 the accepted class, those blocked the rejected one. For each class a variable-order
 Markov model of the URL's characters is smoothed by Witten-Bell interpolation. The
 log-ratio of a character after its context is written as a sum of differences
-between orders, so a URL's score is a plain sum over its character runs, divided by
-its length. The cut is calibrated on a fold of the rule-decided URLs that the models haven't
+between orders. A known context gives the ratio of the classes' escape weights wherever it stands, and a
+known run the difference to that, so a URL's score is a plain sum over its character
+runs, new ones too, divided by its length. The cut is calibrated on a fold of the rule-decided URLs that the models haven't
 seen. All of it is DataFrame operations.
 """
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +26,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
+#: Stands before a text.
+_START = "\u0002"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,19 +52,21 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 def _runs(text: Column, order: int) -> Column:
     """All runs of 1 to order + 1 characters that end at each character, the text between marks."""
-    chars = F.concat(F.array(*[F.lit("\u0002")] * order), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("\u0003")))
+    chars = F.concat(F.array(*[F.lit(_START)] * order), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("\u0003")))
     ends = F.sequence(F.lit(order + 1), F.size(chars))
     return F.flatten(F.transform(ends, lambda i: F.array(*(F.array_join(F.slice(chars, i - k, F.lit(k + 1)), "") for k in range(order + 1)))))
 
 
-def _model(runs: DataFrame, order: int) -> DataFrame:
-    """``runs``: columns run and accepted. Columns run and delta: what the run adds to a score."""
+def _model(runs: DataFrame, order: int) -> tuple[DataFrame, float, float]:
+    """``runs``: columns run and accepted. (columns run and delta: what it adds to a sum as a run and as the context of what follows; what each
+    character adds, also an unseen one; what the start of a text adds)."""
     counts = runs.groupBy("run").agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum((~F.col("accepted")).cast("long")).alias("r"))
     counts = stored(counts.withColumn("k", F.length("run") - 1), "runs")
     marks = counts.where("k = 0").agg(F.count("*").alias("v"), F.sum("a").alias("na"), F.sum("r").alias("nr")).first()
     v, na, nr = marks.v or 1, marks.na or 0, marks.nr or 0
     level = counts.where("k = 0").select("run", ((F.col("a") + 1) / F.lit(float(na + v))).alias("pa"), ((F.col("r") + 1) / F.lit(float(nr + v))).alias("pr"))
-    out = level.select("run", (F.log("pa") - F.log("pr")).alias("delta"))
+    unseen = math.log((nr + v) / (na + v))
+    out = level.select("run", (F.log("pa") - F.log("pr") - F.lit(unseen)).alias("delta"))
     for k in range(1, order + 1):
         # substr(1, k) is the context, substr(2) the run one order lower.
         at = counts.where(F.col("k") == k).withColumn("context", F.substring("run", 1, k)).withColumn("lower", F.expr("substring(run, 2)"))
@@ -70,18 +76,24 @@ def _model(runs: DataFrame, order: int) -> DataFrame:
         below = level.select(F.col("run").alias("lower"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
         # A class without the context keeps the lower order's probability.
         p = lambda n, t, total, q: (F.col(n) + F.greatest(t, F.lit(1)) * F.col(q)) / (F.col(total) + F.greatest(t, F.lit(1)))
+        weight = lambda t, total: F.log(F.greatest(t, F.lit(1)) / (F.col(total) + F.greatest(t, F.lit(1))))
+        contexts = contexts.withColumn("escape", weight("ta", "na") - weight("tr", "nr"))
         joined = at.join(contexts, "context").join(below, "lower")
-        level = stored(joined.select("run", p("a", "ta", "na", "qa").alias("pa"), p("r", "tr", "nr", "qr").alias("pr"), "qa", "qr"), "level")
-        out = out.unionByName(level.select("run", (F.log("pa") - F.log("pr") - F.log("qa") + F.log("qr")).alias("delta")))
-    return out
+        level = stored(joined.select("run", "context", "escape", p("a", "ta", "na", "qa").alias("pa"), p("r", "tr", "nr", "qr").alias("pr"), "qa", "qr"), "level")
+        out = out.unionByName(level.select("run", (F.log("pa") - F.log("pr") - F.log("qa") + F.log("qr") - F.col("escape")).alias("delta")))
+        out = out.unionByName(level.groupBy("context").agg(F.first("escape").alias("delta")).withColumnRenamed("context", "run"))
+    model = stored(out.groupBy("run").agg(F.sum("delta").alias("delta")), "model")
+    # The marks before a text are contexts of its first character, but no runs of it.
+    start = model.where(F.col("run").isin([_START * k for k in range(1, order + 1)])).agg(F.sum("delta")).first()[0] or 0.0
+    return model, unseen, start
 
 
-def _scores(urls: DataFrame, model: DataFrame, order: int, salts: int = 16) -> DataFrame:
-    """id and the length-normalised sum of deltas. Common runs are dealt by a salt of the id; the model is repeated for each salt."""
+def _scores(urls: DataFrame, model: DataFrame, unseen: float, start: float, order: int, salts: int = 16) -> DataFrame:
+    """id and the length-normalised log-ratio. Common runs are dealt by a salt of the id; the model is repeated for each salt."""
     runs = urls.select("id", F.explode(_runs(F.col("text"), order)).alias("run")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     table = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     sums = runs.join(table, ["run", "salt"]).groupBy("id").agg(F.sum("delta").alias("sum"))
-    return urls.join(sums, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) / (F.length("text") + 1), 9).alias("score"))
+    return urls.join(sums, "id", "left").select("id", F.round((F.coalesce("sum", F.lit(0.0)) + F.lit(start)) / (F.length("text") + 1) + F.lit(unseen), 9).alias("score"))
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, order: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -104,7 +116,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     # A url's few bytes become a hundred runs and more, so they are spread before that.
     spread = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     taught = spread.where("ruled is not null and not fold").select(F.explode(_runs(F.col("text"), order)).alias("run"), (F.col("ruled") == "allow").alias("accepted"))
-    scores = stored(_scores(spread.where("ruled is null or fold").select("id", "text"), _model(taught, order), order), "scores")
+    scores = stored(_scores(spread.where("ruled is null or fold").select("id", "text"), *_model(taught, order), order), "scores")
 
     # Balanced accuracy of the cut "score >= bin" over at most 4,001 bins of calibration scores.
     tried = scores.join(urls.where("ruled is not null").select("id", "ruled"), "id")

@@ -189,6 +189,40 @@ def test_url_verdicts(spark):
     assert url_verdicts(pages.where("false")).count() == 0
 
 
+def test_url_scores_are_witten_bell(spark):
+    rnd = random.Random(5)
+    part = lambda: "".join(rnd.choices("abcde", k=6))
+    urls = [f"http://{part()}.com/{part()}" for _ in range(25)] + [f"http://{part()}.net/es/{part()}" for _ in range(60)]
+    urls += ["http://abc.org/new", "http://яяя", "http://zzqq.io/xyz/w", "", *(f"http://{part()}.org/" for _ in range(5))]
+    got = {r.id: r.score for r in url_verdicts(spark.createDataFrame(list(enumerate(urls)), "id long, url string"), id_col="id").collect()}
+    text = lambda u: u.split("://", 1)[-1]
+    taught = [[text(u) for u in urls if mark in u and int(hashlib.md5(u.encode()).hexdigest()[:2], 16) % 5] for mark in (".com/", ".net/es/")]
+    counts = []
+    for own in taught:
+        n = {}
+        for u in own:
+            s = "\2" * 4 + u + "\3"
+            for i in range(4, len(s)):
+                for k in range(5):
+                    after = n.setdefault(s[i - k : i], {})
+                    after[s[i]] = after.get(s[i], 0) + 1
+        counts.append(n)
+    v = len(set(counts[0][""]) | set(counts[1][""]))
+
+    def prob(n, context, c):
+        after = n.get(context, {})
+        if not context:
+            return (after.get(c, 0) + 1) / (sum(after.values()) + v)
+        lower = prob(n, context[1:], c)
+        return (after.get(c, 0) + len(after) * lower) / (sum(after.values()) + len(after)) if after else lower
+
+    for i, u in enumerate(urls):
+        if got[i] is not None:
+            s = "\2" * 4 + text(u) + "\3"
+            ratio = sum(np.log(prob(counts[0], s[j - 4 : j], s[j]) / prob(counts[1], s[j - 4 : j], s[j])) for j in range(4, len(s)))
+            assert got[i] == pytest.approx(ratio / (len(text(u)) + 1), abs=1e-7), u
+
+
 @pytest.mark.parametrize(("score", "label", "least"), [(quality_scores, "quality", 0.95), (toxicity_scores, "toxic", 0.8)])
 def test_classifiers_hold_out(spark, score, label, least):
     folder = "/root/testdata/sf0.01"
