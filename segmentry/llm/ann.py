@@ -3,8 +3,8 @@
 On a bounded sample a neighbour graph is split into balanced parts by recursive
 spectral bisection. A softmax classifier learns which parts hold a vector's neighbours. Every row
 is indexed in its likeliest part; a query searches its most probable parts, whose
-rows are ranked by the exact inner product. How many parts it searches is set on the
-sample, so that the measured recall there reaches the target.
+rows are ranked by the exact inner product. How many parts it searches is set on rows held out of
+the fit, so that the recall measured there reaches the target.
 """
 
 from collections.abc import Iterator
@@ -14,14 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.llm.blocks import searched
+from segmentry.llm.blocks import ROW_BLOCK, counted, good_vector, matrix, ranked, searched
 from segmentry.shared import stored
 
 
-#: Rows of a part that meet the queries in one task, on average.
-PART_BLOCK = 8192
-
-
 def bisected(graph: np.ndarray, levels: int) -> np.ndarray:
     """Balanced parts 0 .. 2**levels - 1 of a symmetric weighted graph."""
     part = np.zeros(len(graph), np.int64)
@@ -45,7 +41,7 @@ def bisected(graph: np.ndarray, levels: int) -> np.ndarray:
 class Router:
     """Softmax regression of the part from a normalised vector."""
 
-    def __init__(self, sample: np.ndarray, levels: int, neighbours: int, k: int, target: float):
+    def __init__(self, sample: np.ndarray, tried: np.ndarray, levels: int, neighbours: int, k: int, target: float):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         near = sample @ sample.T
         np.fill_diagonal(near, -np.inf)
@@ -67,12 +63,10 @@ class Router:
             p /= p.sum(axis=1, keepdims=True)
             speed = 0.9 * speed - 0.05 * (x.T @ (p - goal) / n + 1e-4 * self.w)
             self.w += speed
-        held = self.ranked(sample)
-        k = min(k, n - 1)
-        tried = np.arange(0, n, max(1, n // 512))
-        best = np.argsort(-near[tried], axis=1)[:, :k]
-        depth = np.argsort(held, axis=1)  # the place of each part in a row's ranking
-        place = depth[tried[:, None], held[best, 0]]
+        # Where the nearest sample rows of the rows held out lie in these rows' rankings of the parts.
+        own = self.ranked(sample)[:, 0]
+        best = np.argsort(-(tried @ sample.T), axis=1)[:, : min(k, n)]
+        place = np.argsort(self.ranked(tried), axis=1)[np.arange(len(tried))[:, None], own[best]]
         self.probes = next((m for m in range(1, parts + 1) if (place < m).mean() >= target), parts)
 
     def ranked(self, v: np.ndarray) -> np.ndarray:
@@ -81,16 +75,11 @@ class Router:
         return np.argsort(-(np.column_stack([unit * 8, np.ones(len(v))]) @ self.w), axis=1, kind="stable")
 
 
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
-
-
 def _best(k: int):
     def top(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if queries.num_rows and rows.num_rows:
-            q_id, r_id, qv, rv = queries["id"].to_numpy(), rows["id"].to_numpy(), _matrix(queries["v"]), _matrix(rows["v"])
+            q_id, r_id, qv, rv = queries["id"].to_numpy(), rows["id"].to_numpy(), matrix(queries["v"]), matrix(rows["v"])
             for lo in range(0, len(q_id), 256):
                 scores = qv[lo : lo + 256] @ rv.T
                 for i, s in enumerate(scores, lo):
@@ -107,45 +96,54 @@ def _best(k: int):
     return top
 
 
-def nearest(rows: DataFrame, k: int = 20, every: int = 20, levels: int = 4, sample: int = 2048, neighbours: int = 12, target: float = 0.96, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, k: int = 20, every: int = 20, levels: int | None = None, sample: int = 2048, trial: int = 512, neighbours: int = 12, target: float = 0.96, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows found for each query, by inner product: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by ``every``. The parts and the classifier are fitted
-    on ``sample`` rows, every row is indexed. Vectors that are null, zero, empty or hold
+    on ``sample`` rows, the number of parts to search is set on ``trial`` others (a fifth of the rows where there are fewer); every row is indexed. Without ``levels`` there are 2**4 parts, and more, to 2**7,
+    as the rows grow past ``ROW_BLOCK`` a part. Vectors that are null, zero, empty or hold
     null or non-finite components take no part, nor do null ids. Vectors of another dimension
     than most of the sample are searched in full among their own. Rows that repeat a query's id
-    count as its own. With fewer than k candidates all are returned: parts are only skipped
-    while the sample is larger than 20 k.
+    count as its own, and its smallest vector asks. A query searches on until its parts hold 4 k rows, so with fewer than k candidates all are
+    returned; an empty table gives no rows. Other columns, of whatever names, are not looked at.
     """
     v = F.col(vector_col)
-    good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    base = rows.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"), F.size(v).alias("dim"))
-    few = base.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    base = rows.where(good_vector(v) & F.exists(v, lambda e: e != 0) & F.col(id_col).isNotNull())
+    base = stored(base.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim")), "vectors")
+    n = base.count()
+    few = base.orderBy(F.xxhash64("id"), "id", "v").limit(sample + trial).collect()
     dims = [r.dim for r in few]
     dim = max(sorted(set(dims)), key=dims.count, default=0)
     fit_on = np.array([r.v for r in few if r.dim == dim], np.float64)
-    router = Router(fit_on, levels, neighbours, k, target) if len(fit_on) > 20 * k else None
-    probes = router.probes if router else 1
+    trial = min(trial, len(fit_on) // 5)
+    levels = levels or max(4, min(7, (n // ROW_BLOCK).bit_length()))
+    router = Router(fit_on[trial:], fit_on[:trial], levels, neighbours, k, target) if len(fit_on) > 20 * k else None
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(2).to_numpy()
-            parts: list = [[-int(d)] for d in dims]
-            at = np.flatnonzero(dims == dim)
+            cells = -batch.column(2).to_numpy().astype(np.int64)  # a negative cell is a dimension's own
+            at = np.flatnonzero(cells == -dim)
             if router is not None and at.size:
-                ranked = router.ranked(_matrix(batch.column(1).take(pa.array(at))))[:, :probes]
-                for i, p in zip(at, ranked, strict=True):
-                    parts[i] = p.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int32()))], ["id", "v", "parts"])
-
-    kind = base.schema["v"].dataType.simpleString()
-    index = stored(base.mapInArrow(routed, f"id long, v {kind}, parts array<int>"), "index")
-    sizes = {r.p: r.n for r in index.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}
-    # A part has at most 2**levels or as many keys as there are dimensions; its rows are dealt into blocks.
-    blocks = F.create_map(*(F.lit(x) for p, n in sizes.items() for x in (p, max(1, -(-n // PART_BLOCK))))) if sizes else None
-    count = lambda p: F.coalesce(blocks[p], F.lit(1)) if sizes else F.lit(1)
-    part = lambda p, b: F.concat_ws(":", p, b)
-    held = index.withColumn("p", F.col("parts")[0]).withColumn("part", part("p", F.pmod(F.xxhash64("id"), count(F.col("p"))))).select("id", "v", "part")
-    asked = index.where(F.col("id") % every == 0).dropDuplicates(["id"]).withColumn("p", F.explode("parts"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), count(F.col("p")) - 1))).select("id", "v", part("p", F.col("block")).alias("part"))
-    return searched(held, asked, sum(sizes.values()) // every, k, _best(k), "double")
+                cells[at] = router.ranked(matrix(batch.column(1).take(pa.array(at))))[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells)], ["id", "v", "cell"])
+
+    index = stored(base.mapInArrow(indexed, "id long, v array<double>, cell long"), "index")
+    sizes = counted(index)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.array([sizes.get(p, 0) for p in range(2**levels)])
+        for batch in batches:
+            own = batch.column(2).to_numpy()
+            cells: list = [[c] for c in own.tolist()]
+            at = np.flatnonzero(own >= 0)
+            if at.size:
+                order = router.ranked(matrix(batch.column(1).take(pa.array(at))))
+                enough = (np.cumsum(held[order], axis=1) < 4 * k).sum(axis=1) + 1
+                for i, parts, m in zip(at, order, np.maximum(enough, router.probes), strict=True):
+                    cells[i] = parts[:m].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int64()))], ["id", "v", "cells"])
+
+    asked = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "cell")).alias("q")).select("id", "q.v", "q.cell")
+    asked = stored(asked.mapInArrow(routed, "id long, v array<double>, cells array<long>"), "asked")
+    found = searched(index, asked, sizes, _best(k), "query_id long, vec_id long, score double")
+    return ranked(found, k, F.desc("score")).select("query_id", "rank", "vec_id", "score")

@@ -131,6 +131,46 @@ def test_exact_top_k(spark):
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_exact_top_k_takes_every_finite_vector(spark):
+    rng = random.Random(8)
+    big = lambda: [rng.choice([5.0e6, -4.9e6, 4.2e6 + rng.random(), 0.0]) for _ in range(8)]
+    rows = {i: big() for i in range(120)} | {150: [1e300, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5]}
+    rows |= {i: [0.0, *r[1:]] for i, r in rows.items() if i != 150}
+    got = exact_top_k(spark.createDataFrame([(i, v, "x") for i, v in rows.items()], "vec_id long, embedding array<double>, cell string")).toPandas()
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows.items()}
+    whole[150][0] = int(1e300) * 256
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:5]
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(zip(own.score, own.vec_id, strict=True)) == [(-s, i) for s, i in best]
+    wide = spark.createDataFrame([(50, [4e8] * 32), (51, [4e8] * 32), (52, [1.0] * 32)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):
+        exact_top_k(wide).collect()
+    # The lowest score doesn't fit either, but isn't asked for.
+    low = spark.createDataFrame([(50, [4e8] * 32), (51, [-4e8] * 32), *((60 + i, [1.0 + i] * 32) for i in range(5))], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in exact_top_k(low).collect()] == [64, 63, 62, 61, 60]
+
+
+def test_exact_top_k_skips_groups_but_no_result(spark):
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(3000, 6)) + 20 * rng.normal(size=(9, 6))[rng.integers(0, 9, 3000)]).round(3)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(3000)] + [(50, [0.0] * 6)] * 2
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    z = np.floor(256 * v).astype(int)
+    for q in range(0, 3000, 50):
+        asks = min(v[q].tolist(), [0.0] * 6) if q == 50 else v[q].tolist()
+        s = z @ np.floor(256 * np.array(asks)).astype(int)
+        best = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(own.vec_id) == best and list(own.score) == list(s[best])
+
+
+def test_nearest_returns_all_of_few(spark):
+    rows = [(i, [float(i), 1.0], i) for i in range(8)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int"), k=20).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(0, i, i) for i in range(1, 8)]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(1500, 8)) + 3 * rng.normal(size=(12, 8))[rng.integers(0, 12, 1500)]
