@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -14,7 +15,7 @@ from segmentry.llm.ann import nearest
 from segmentry.llm.html_extract import main_text, page_blocks
 from segmentry.llm.mixing import mixed
 from segmentry.llm.near_dup import near_duplicates
-from segmentry.llm.packing import pack_documents, packing_plan
+from segmentry.llm.packing import _encoder, fixed_by_dominance, least_sequences, pack_documents, packing_plan
 from segmentry.llm.quality import quality_scores
 from segmentry.llm.queries import RANKS
 from segmentry.llm.substring_dedup import remove_repeats
@@ -115,6 +116,47 @@ def test_plan_packs_everything(seed):
     assert not any(left.values())
 
 
+def fewest(items, capacity):
+    """Sequences of the best packing, by search."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) < best[0]:
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for room in {r for r in rooms if r >= items[i]}:
+                at = rooms.index(room)
+                go(i + 1, [*rooms[:at], room - items[i], *rooms[at + 1 :]])
+            go(i + 1, [*rooms, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plan_against_search():
+    rnd = random.Random(2)
+    worse = 0
+    for _ in range(200):
+        items = [rnd.randint(3, 60) for _ in range(9)]
+        best, left = fewest(items, 100), dict(Counter(items))
+        assert least_sequences(left, 100) <= best
+        worse += sum(t for _, t in packing_plan(left, 100)) > best
+        fixed = fixed_by_dominance(left, 100)
+        assert sum(fixed.values()) + fewest([n for n, c in left.items() for _ in range(c)], 100) == best
+    assert worse <= 2
+    assert sum(t for _, t in packing_plan(Counter((24, 32, 37, 48, 27, 53, 38, 25, 5)), 100)) == 3
+
+
+def test_long_white_space_is_encoded():
+    from tokenizers import Tokenizer
+
+    encode, tokenizer = _encoder(RANKS), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 9000 + "a", "b" + "\n" * 5000, "x" + "\n " * 4000 + "<|endoftext|>" + " " * 5000 + "<|endoftext|>\t" + "\u3000" * 5000 + "b", "\x1c" * 5000 + " " * 5000 + "\x1c"):
+        assert np.array_equal(np.frombuffer(encode(text), "<u4"), tokenizer.encode(text, add_special_tokens=False).ids)
+    assert len(encode(" " * 3_000_000)) == 12_000_000 and len(encode("\n" * 3_000_001)) > 0
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).round(2)
