@@ -1,23 +1,24 @@
 """Main text of web pages.
 
-A page is read as blocks of text with the containers that they stand in. Containers whose
-element, role or class names them as menus, headers, footers, sidebars, notices, adverts,
-forms or comments veto their blocks; a marked article protects its own. In all
-other blocks what is boilerplate is decided by repetition: the host's blocks, of all marks, are token
-streams, suffixes are grouped by their first ``run`` tokens, as neighbours in a suffix array with so
-long a common prefix are; a group on several distinct pages of the host is a repeated substring.
-Tokens that repeats cover are removed, unique runs stay.
+A page is read as blocks of text with the containers that they stand in. The token streams of pages, what stands in
+marked articles apart, are the texts of a suffix array for each host: suffixes that agree in their first ``run`` tokens are
+neighbours in it, and a group of them on several distinct pages is a long repeated substring. Tokens
+that repeats cover are boilerplate, unique runs stay. Marks correct what repetition can't tell: an article protects its blocks,
+as articles are reposted, and containers whose element, role or class names them as menus, headers, footers, sidebars, notices, adverts,
+forms or comments veto theirs, as adverts differ on every page.
 """
 
 import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.llm.url_filter import host_of
+from segmentry.llm.wordhash import byte_values, gram_hashes, hash_words, mix, text_blocks, within_rows
 from segmentry.shared import stored
 
 # Elements and names by which pages mark what is not the article.
@@ -28,40 +29,57 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs comment comments disqus respond reply header footer masthead share sharing social related recommended widget pagination pager login signup search skip".split()
 )
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+#: Words that say of a name after them that it isn't meant, and those that a header of an article has before it.
+NOT_MEANT = frozenset("no not without has with hide hides".split())
+OF_ARTICLE = frozenset("article content entry post section story title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-#: Marks of blocks: in an article, in no container that says anything, in an unwanted one.
-PROTECTED, OPEN, VETOED = 1, 0, -1
+#: Marks of blocks: in an article, in no container that says anything, in an unwanted one, in an article in an unwanted one.
+PROTECTED, OPEN, VETOED, INNER = 1, 0, -1, -2
 
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_ATTRIBUTES = r"(?:[^<>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/<>]*+)({_ATTRIBUTES})>", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in MAIN or tag in ("html", "body"):
-        return False
+def _says(name: str) -> str:
+    """The unwanted kind that a class or id names: '', 'veto' or 'comment'. ``site-header`` names one; ``no-sidebar`` and ``article-header`` don't."""
+    words = ["", *_WORD.findall(_CAMEL.sub("-", name).lower())]
+    for before, word in zip(words, words[1:], strict=False):
+        if word in NAMES and before not in NOT_MEANT and not (word == "header" and before in OF_ARTICLE):
+            return "comment" if word in COMMENTS else "veto"
+    return ""
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool) -> str:
+    """'', 'veto' or 'comment' for a container."""
+    if tag in ("html", "body", "main"):
+        return ""
     if tag in DROPPED and not (tag == "header" and in_article):
-        return True
+        return "veto"
+    said = set()
     for name, *values in _NAMED.findall(attributes) if attributes else ():
-        value = next(filter(None, values), "").lower()
-        if value in ROLES if name.lower() == "role" else not NAMES.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+        value = next(filter(None, values), "")
+        said |= {"veto" if value.lower() in ROLES else ""} if name.lower() == "role" else {_says(x) for x in value.split()}
+    return "comment" if "comment" in said else "veto" if "veto" in said else ""
 
 
 def marked_blocks(page: str) -> list[tuple[int, str]]:
-    """(mark, block) in page order, white space made single."""
+    """(mark, block) in page order, white space made single. Time is in proportion to the page, also where nothing is closed."""
     out: list[tuple[int, str]] = []
     text: list[str] = []
-    inside, skipped, depth, at = 0, "", 0, 0
+    frames: list[list] = []  # [tag, depth, kind] of containers that are open: 'main', 'veto' or 'comment'
+    at, mark = 0, OPEN
 
     def close() -> None:
         block = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if block:
-            out.append((VETOED if skipped else PROTECTED if inside else OPEN, block))
+            out.append((mark, block))
 
     for m in _TAG.finditer(page):
         if m.start() > at:
@@ -70,83 +88,134 @@ def marked_blocks(page: str) -> list[tuple[int, str]]:
         tag = (m[3] or "").lower()
         if not tag:
             continue
-        end = bool(m[2])
-        if tag not in INLINE or tag == skipped:
-            close()
-        elif tag == "br":
+        if tag == "br":
             text.append(" ")
-        if skipped:
-            if tag in MAIN and not end:  # an unwanted container that was never closed
-                skipped = ""
-            else:
-                depth += (tag == skipped) * (-1 if end else 1)
-                if depth == 0:
-                    skipped = ""
-                continue
-        if end:
-            inside = max(0, inside - (tag in MAIN))
+        unwanted = "" if m[2] or tag in VOID else _unwanted(tag, m[4], mark == PROTECTED)
+        if tag not in INLINE or unwanted or any(f[0] == tag for f in frames):
+            close()
+        own = next((i for i in range(len(frames) - 1, -1, -1) if frames[i][0] == tag), None)
+        if m[2]:
+            if own is not None:
+                frames[own][1] -= 1
+                if not frames[own][1]:
+                    del frames[own:]
         elif tag in VOID or m[4].endswith("/"):
             continue
-        elif _unwanted(tag, m[4], inside > 0):
-            close()
-            skipped, depth = tag, 1
-        else:
-            inside += tag in MAIN
+        elif (unwanted or tag in MAIN) and len(frames) < 64:
+            frames.append([tag, 1, unwanted or "main"])
+        elif own is not None:
+            frames[own][1] += 1
+        kinds = [f[2] for f in frames]
+        mark = OPEN if not kinds else VETOED if kinds[-1] != "main" or "comment" in kinds else INNER if "veto" in kinds else PROTECTED
     text.append(page[at:])
     close()
-    return out
-
-
-def page_blocks(page: str) -> tuple[list[str], bool]:
-    """(blocks, whether they are a marked article): those of the article, else those that no container vetoes."""
-    found = marked_blocks(page)
-    main = [b for mark, b in found if mark == PROTECTED]
-    return (main, True) if main else ([b for mark, b in found if mark == OPEN], False)
-
-
-def _unique_runs(pages: DataFrame, run: int, least_pages: int) -> DataFrame:
-    """``pages``: id, host, blocks. id and text: protected blocks, and open ones without the words that runs on several pages of the host cover."""
-    words = pages.select("id", "host", F.posexplode("blocks").alias("block", "of"))
-    words = words.select("id", "host", "block", "of.mark", F.posexplode(F.split("of.text", " ")).alias("i", "word"))
-    # Order in the page: block and place; suffixes of each page by a window over it alone.
-    streams = words.groupBy("id", "host").agg(F.array_sort(F.collect_list(F.struct("block", "i", "word", "mark"))).alias("tokens"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("tokens") - run + 1, F.lit(1)))
-    suffixes = streams.where(F.size("tokens") >= run).select("id", "host", "tokens.word", F.explode(starts).alias("at"))
-    suffixes = suffixes.select("id", "host", "at", F.xxhash64(F.slice("word", F.col("at"), F.lit(run))).alias("h"), F.hash(F.slice("word", F.col("at"), F.lit(run))).alias("h2"))
-    per_page = suffixes.select("host", "h", "h2", "id").distinct()
-    repeated = per_page.groupBy("host", "h", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    covered = suffixes.join(repeated, ["host", "h", "h2"]).groupBy("id").agg(F.collect_set("at").alias("starts"))
-    kept = streams.join(covered, "id", "left").select("id", F.posexplode("tokens").alias("p", "token"), "starts")
-    free = F.coalesce(~F.exists("starts", lambda s: (s <= F.col("p") + 1) & (F.col("p") + 1 < s + run)), F.lit(True))
-    lines = kept.where((F.col("token.mark") == PROTECTED) | (F.col("token.mark") == OPEN) & free).groupBy("id", "token.block").agg(F.array_sort(F.collect_list("token")).alias("t"))
-    lines = lines.select("id", "block", F.array_join(F.transform("t", lambda x: x["word"]), " ").alias("line"))
-    return lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    # An article in an unwanted container is the article after all if there is no other: the container was never closed, or its name misleads.
+    inner = VETOED if any(mark == PROTECTED for mark, _ in out) else PROTECTED
+    return [(inner if mark == INNER else mark, block) for mark, block in out]
+
+
+def _streams(pages: list[list[tuple[int, str]]], articles: bool) -> pa.Array:
+    """The token streams of what stands in articles, or outside of them."""
+    return pa.array(["\n".join(block for mark, block in blocks if (mark == PROTECTED) == articles) for blocks in pages], pa.string())
+
+
+def _suffixes(streams: pa.Array, hosts: np.ndarray, run: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of blocks of streams: (first, end, words of each, starts of the suffixes, the stream of each, two hashes of their first ``run`` tokens)."""
+    table = byte_values()
+    for lo, hi, data, offs in text_blocks(streams):
+        h, counts = hash_words(data, offs, table)[:2]
+        at = within_rows(counts, run)
+        row = np.repeat(np.arange(hi - lo), counts)[at]
+        yield lo, hi, counts, at, row, mix(gram_hashes(h, run)[at] + hosts[lo:hi][row]), gram_hashes(h, run, 2)[at]
+
+
+def repeats(pages: DataFrame, run: int, least_pages: int) -> DataFrame:
+    """``pages``: id, page, host (a hash) and html. id and ``known``: hashes of the page's suffixes outside of articles that stand on ``least_pages`` pages of its host or more.
+
+    Articles of a host are looked through too if it has open blocks, as only these are decided by repeats.
+    """
+    schema = "id long, page long, h long, h2 int"
+
+    def suffixes(articles: bool):
+        def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, _, _ in text_blocks(batch.column(3)):
+                    part = batch.slice(lo, hi - lo)
+                    blocks = [marked_blocks(x or "") for x in part.column(3).to_pylist()]
+                    hosts = part.column(2).to_numpy()
+                    for first, end, _, _, row, h, h2 in _suffixes(_streams(blocks, articles), hosts.view(np.uint64), run):
+                        keep = np.unique(np.column_stack((row.astype(np.uint64), h, h2)), axis=0)
+                        owner, own = pa.array(keep[:, 0].astype(np.int64)), part.slice(first, end - first)
+                        hashes = pa.array(np.ascontiguousarray(keep[:, 1]).view(np.int64)), pa.array((keep[:, 2] >> np.uint64(33)).astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([own.column(0).take(owner), own.column(1).take(owner), *hashes], ["id", "page", "h", "h2"])
+                    asks = np.unique([host for host, page in zip(hosts, blocks, strict=True) if any(mark == OPEN for mark, _ in page)]).astype(np.int64)
+                    if not articles and asks.size:  # rows that name hosts
+                        none = pa.nulls(asks.size, pa.int64())
+                        yield pa.RecordBatch.from_arrays([none, pa.array(asks), none, none.cast(pa.int32())], ["id", "page", "h", "h2"])
+
+        return run_
+
+    read = pages.select("id", "page", "host", "html")
+    found = stored(read.mapInArrow(suffixes(False), schema), "suffixes")
+    hosts = found.where("h is null").select(F.col("page").alias("host")).distinct()
+    inside = read.join(hosts, "host", "left_semi").select("id", "page", "host", "html").mapInArrow(suffixes(True), schema)
+    found = found.where("h is not null")
+    shared = found.unionByName(inside).select("h", "h2", "page").distinct().groupBy("h", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    return found.join(shared, ["h", "h2"]).groupBy("id").agg(F.collect_set("h").alias("known"))
 
 
 def main_text(pages: DataFrame, run: int = 8, least_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, ``text``, ``n_chars``.
+    """One row per page: id, url, ``text``, ``n_chars``, ``n_repeated`` (words outside of articles that the host's repeats cover).
 
-    Blocks stand in page order, joined by one line end. Repeats are looked for in the blocks of
-    all pages of the host, of any mark; they decide the open blocks only. A null or empty page has an empty text and 0
+    Blocks stand in page order, joined by one line end: those of articles, and of those in no unwanted container what
+    no repeat covers. Repeats are looked for in all pages of the host. A null or empty page has an empty text and 0
     characters; a null url is the host ''. Rows that repeat an id count as one page
-    when repeats are looked for, and each gets its text.
+    when repeats are looked for, a null id counts for itself, and each row gets its text. An empty table gives no rows. Pages are read whole, a few megabytes at a time or
+    one longer page. Other columns, of whatever names, are not looked at.
     """
+    read = pages.select(F.col(id_col).alias("of"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    read = read.withColumn("id", F.xxhash64("of", "url", "html")).withColumn("page", F.coalesce("of", "id")).withColumn("host", F.xxhash64(host_of(F.col("url"))))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("mark", pa.int32()), ("text", pa.string())]))
+        for batch in batches:
+            for lo, hi, _, _ in text_blocks(batch.column(4)):
+                part = batch.slice(lo, hi - lo)
+                found = [[{"mark": mark, "text": block} for mark, block in marked_blocks(x or "")] for x in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, kind)], ["of", "url", "id", "host", "blocks"])
 
-    def run_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"mark": mark, "text": block} for mark, block in marked_blocks(x or "")] for x in batch.column(2).to_pylist()]
-            blocks = pa.array(found, pa.list_(pa.struct([("mark", pa.int32()), ("text", pa.string())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blocks], ["page", "url", "blocks"])
-
-    read = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    read = stored(read.mapInArrow(run_pages, "page long, url string, blocks array<struct<mark:int,text:string>>"), "blocks")
-    read = read.withColumn("host", host_of(F.col("url"))).withColumn("asks", F.exists("blocks", lambda b: b["mark"] == OPEN))
-    protected = F.transform(F.filter("blocks", lambda b: b["mark"] == PROTECTED), lambda b: b["text"])
-    sure = read.where(~F.col("asks")).select("page", "url", F.array_join(protected, "\n").alias("text"))
-    # Where no page of a host has an open block, its repeats decide nothing. Stored, so that few hosts are broadcast and the pages stay where they are.
-    hosts = stored(read.where("asks").select("host").distinct(), "hosts")
-    told = read.join(hosts, "host", "left_semi").withColumn("id", F.xxhash64("page", "url", "blocks"))
-    unique = _unique_runs(told.select("id", "host", "blocks").dropDuplicates(["id"]), run, least_pages)
-    asked = told.where("asks").select("id", "page", "url")
-    rest = asked.join(unique, "id", "left").select("page", "url", F.coalesce("text", F.lit("")).alias("text"))
-    return sure.unionByName(rest).select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+            hosts, texts, repeated = batch.column(2).to_numpy().view(np.uint64), [], []
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                rows = [[(b["mark"], b["text"]) for b in page] for page in part.column(3).to_pylist()]
+                for first, end, counts, at, row, h, _ in _suffixes(_streams(rows, False), hosts[lo : lo + 64], run):
+                    edge = np.zeros(int(counts.sum()) + 1, np.int64)
+                    begin = np.searchsorted(row, np.arange(end - first + 1))
+                    for i in range(end - first):
+                        if part.column(4)[first + i].is_valid:
+                            own = slice(begin[i], begin[i + 1])
+                            hit = at[own][np.isin(h[own], part.column(4)[first + i].values.to_numpy().view(np.uint64))]
+                            edge[hit] += 1
+                            np.add.at(edge, hit + run, -1)
+                    covered = np.cumsum(edge[:-1]) > 0
+                    start = np.concatenate(([0], np.cumsum(counts)))
+                    for i in range(end - first):
+                        gone, lines, place = covered[start[i] : start[i + 1]], [], 0
+                        for mark, block in rows[first + i]:
+                            if mark == PROTECTED:
+                                lines.append(block)
+                                continue
+                            words = block.split(" ")
+                            if mark == OPEN:
+                                lines.append(" ".join(w for w, g in zip(words, gone[place:], strict=False) if not g))
+                            place += len(words)
+                        texts.append("\n".join(filter(None, lines)))
+                        repeated.append(int(gone.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(repeated, pa.int64())], ["of", "url", "text", "n_repeated"])
+
+    told = read.select("of", "url", "id", "host", "html").mapInArrow(blocks, "of long, url string, id long, host long, blocks array<struct<mark:int,text:string>>")
+    told = told.join(repeats(read, run, least_pages), "id", "left").select("of", "url", "host", "blocks", "known")
+    done = told.mapInArrow(finish, "of long, url string, text string, n_repeated long")
+    return done.select(F.col("of").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmentry.llm.ann import nearest
-from segmentry.llm.html_extract import main_text, page_blocks
+from segmentry.llm.html_extract import OPEN, PROTECTED, VETOED, main_text, marked_blocks
 from segmentry.llm.mixing import mixed
 from segmentry.llm.near_dup import near_duplicates
 from segmentry.llm.packing import _encoder, fixed_by_dominance, least_sequences, pack_documents, packing_plan
@@ -245,7 +246,56 @@ def test_main_text(spark):
     pages += [(10, "http://b.com/", "<nav>menu</nav><article><h1>T &amp; x</h1><p>a\n b<div class='ad'>buy</div><p>c<br>d</article><footer>f</footer>"), (11, None, None), (12, "x", "")]
     got = {r.page_id: (r.text, r.n_chars) for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: (f"n{i} own words here", 17) for i in range(4)} | {10: ("T & x\na b\nc d", 13), 11: ("", 0), 12: ("", 0)}
-    assert page_blocks("<nav>never closed<article>x</article>") == (["x"], True)
+    assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_marks():
+    of = lambda page, mark=PROTECTED: [b for m, b in marked_blocks(page) if m == mark]
+    assert of("<nav>never closed<article>x</article>") == ["x"]
+    assert of('<article>a<article class="comment">c</article></article><div class="comments"><article>d</article></div><article>b') == ["a", "b"]
+    assert of('<div class="no-sidebar"><article class="article-header">x <i>y</i></article></div>') == ["x y"]
+    assert of('<div class="siteHeader">h</div><div id="cookie-notice">c</div><div class="page-header">t</div>', VETOED) == ["h", "c", "t"]
+    assert of('<article>a</article><div class="related"><article>teaser</article></div>') == ["a"]
+    assert of('<div class="menu"><article><div>a</div>b</article></div>c') == ["a", "b"] and of("<div class='menu'><p>x<div>y</div></div>z", OPEN) == ["z"]
+    assert of("<p title='a > b' data-x=\"<\">x<!-- <p> --><script>'</p>'</script> y &lt;&nbsp;z", OPEN) == ["x y < z"]
+    for piece in ("<a ", "<a<", "<!", "<script ", "<a x=\"", "<a '", "<div class='menu'>", "<article>", "</", "<p a=b=c\n"):
+        began = time.time()
+        marked_blocks(piece * (200_000 // len(piece)))
+        assert time.time() - began < 2, piece
+
+
+def test_repeats_of_hosts(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefg", k=5))
+    shared = [" ".join(word() for _ in range(rnd.randint(6, 14))) for _ in range(12)]
+    block = lambda: rnd.choice(shared) if rnd.random() < 0.4 else " ".join(word() for _ in range(rnd.randint(1, 9)))
+    pages = []
+    for i in range(60):
+        html = "".join(f"<{t}>{block()}</{t}>" for t in rnd.choices(("p", "div", "nav", "article", "li"), k=rnd.randint(0, 7)))
+        pages.append((i // 2 if i < 8 else i, f"http://h{i % 4}.com/" if i % 9 else None, html))
+    pages += [(None, "http://h0.com/", f"<p>{shared[0]}</p>"), (None, "http://h0.com/", None), (70, "http://h0.com/", f"<p>{shared[0]} tail</p>" + "<p>z</p>" * 20_000)]
+    rows = spark.createDataFrame([(*p, i, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, id int, host string")
+    got = main_text(rows).collect()
+
+    on: dict = {}
+    streams = [[(m, b.split(" ")) for m, b in marked_blocks(h or "")] for _, _, h in pages]
+    for (p, url, h), blocks in zip(pages, streams, strict=True):
+        for articles in (False, True):
+            words = [w for m, b in blocks if (m == PROTECTED) == articles for w in b]
+            for k in range(len(words) - 7):
+                on.setdefault((url, *words[k : k + 8]), set()).add((p, h) if p is None else p)
+    wanted = []
+    for (p, url, _), blocks in zip(pages, streams, strict=True):
+        words = [w for m, b in blocks if m != PROTECTED for w in b]
+        gone = {j for k in range(len(words) - 7) if len(on[(url, *words[k : k + 8])]) >= 3 for j in range(k, k + 8)}
+        at, lines = 0, []
+        for m, b in blocks:
+            lines.append(" ".join(b) if m == PROTECTED else " ".join(w for j, w in enumerate(b, at) if j not in gone) if m == OPEN else "")
+            at += len(b) * (m != PROTECTED)
+        text = "\n".join(filter(None, lines))
+        wanted.append((p, url, text, len(text), len(gone)))
+    order = lambda x: sorted(x, key=str)
+    assert order(tuple(r) for r in got) == order(wanted) and sum(w[4] for w in wanted) > 100
 
 
 def test_marks_protect_or_veto_only(spark):
