@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,11 +158,11 @@ def repeats(pages: DataFrame, run: int, least_pages: int) -> DataFrame:
 
     read = pages.select("id", "page", "host", "html")
     found = stored(read.mapInArrow(suffixes(False), schema), "suffixes")
-    hosts = found.where("h is null").select(F.col("page").alias("host")).distinct()
+    hosts = stored(found.where("h is null").select(F.col("page").alias("host")).distinct(), "hosts")  # stored, so that few are broadcast and the pages stay where they are
     inside = read.join(hosts, "host", "left_semi").select("id", "page", "host", "html").mapInArrow(suffixes(True), schema)
     found = found.where("h is not null")
     shared = found.unionByName(inside).select("h", "h2", "page").distinct().groupBy("h", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    return found.join(shared, ["h", "h2"]).groupBy("id").agg(F.collect_set("h").alias("known"))
+    return stored(found.join(shared, ["h", "h2"]).groupBy("id").agg(F.collect_set("h").alias("known")), "repeats")
 
 
 def main_text(pages: DataFrame, run: int = 8, least_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -177,19 +178,23 @@ def main_text(pages: DataFrame, run: int = 8, least_pages: int = 3, id_col: str
     read = read.withColumn("id", F.xxhash64("of", "url", "html")).withColumn("page", F.coalesce("of", "id")).withColumn("host", F.xxhash64(host_of(F.col("url"))))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("mark", pa.int32()), ("text", pa.string())]))
+        packer = zstandard.ZstdCompressor()
         for batch in batches:
             for lo, hi, _, _ in text_blocks(batch.column(4)):
                 part = batch.slice(lo, hi - lo)
-                found = [[{"mark": mark, "text": block} for mark, block in marked_blocks(x or "")] for x in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, kind)], ["of", "url", "id", "host", "blocks"])
+                found = [packer.compress("\n".join(f"{mark}\t{block}" for mark, block in marked_blocks(x or "")).encode()) for x in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.binary())], ["of", "url", "id", "host", "blocks"])
+
+    def unpacked(packed: bytes) -> list[tuple[int, str]]:
+        lines = zstandard.ZstdDecompressor().decompress(packed).decode().split("\n")
+        return [(int(mark), block) for mark, _, block in (line.partition("\t") for line in lines if line)]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, texts, repeated = batch.column(2).to_numpy().view(np.uint64), [], []
-            for lo in range(0, batch.num_rows, 64):
+            for lo in range(0, batch.num_rows, 64):  # pages are compressed until they are read
                 part = batch.slice(lo, 64)
-                rows = [[(b["mark"], b["text"]) for b in page] for page in part.column(3).to_pylist()]
+                rows = [unpacked(x) for x in part.column(3).to_pylist()]
                 for first, end, counts, at, row, h, _ in _suffixes(_streams(rows, False), hosts[lo : lo + 64], run):
                     edge = np.zeros(int(counts.sum()) + 1, np.int64)
                     begin = np.searchsorted(row, np.arange(end - first + 1))
@@ -215,7 +220,7 @@ def main_text(pages: DataFrame, run: int = 8, least_pages: int = 3, id_col: str
                         repeated.append(int(gone.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(repeated, pa.int64())], ["of", "url", "text", "n_repeated"])
 
-    told = read.select("of", "url", "id", "host", "html").mapInArrow(blocks, "of long, url string, id long, host long, blocks array<struct<mark:int,text:string>>")
+    told = read.select("of", "url", "id", "host", "html").mapInArrow(blocks, "of long, url string, id long, host long, blocks binary")
     told = told.join(repeats(read, run, least_pages), "id", "left").select("of", "url", "host", "blocks", "known")
     done = told.mapInArrow(finish, "of long, url string, text string, n_repeated long")
     return done.select(F.col("of").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
