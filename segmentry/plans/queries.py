@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segmentry.functions import cigar as C
 from segmentry.operators import events, graph
 from segmentry.operators import segments as S
-from segmentry.operators.ranges import range_join
+from segmentry.operators.ranges import range_join, union
 from segmentry.sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,7 +224,7 @@ def agg_link_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.supported(_links(spark, sf_dir))
 
 
-_GENE = "genes as (select gene, chrom, min(e_start) as g_start, max(e_end) as g_end from exons group by 1, 2)"
+_GENE = "genes as (select gene, chrom, min(e_start) as g_start, max(e_end) as g_end from exons group by gene, chrom, floor(e_start / 5000))"
 _GENES_AT = "(select string_agg(distinct gene, '&' order by gene) from genes g where g.chrom = l.chrom{0} and l.pos{0} >= g_start - 5 and l.pos{0} < g_end + 5)"
 
 
@@ -274,11 +274,7 @@ def interval_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with exons as ({A.EXONS}), f as (select *, case when e_start <= max(e_end) over (partition by chrom order by e_start, e_end rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from exons),
  g as (select *, sum(new) over (partition by chrom order by e_start, e_end rows unbounded preceding) as island from f) select chrom, min(e_start) as u_start, max(e_end) as u_end, count(*) as n from g group by chrom, island""")
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("chrom").orderBy("e_start", "e_end")
-    top = F.max("e_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = A.exons(spark, sf_dir).withColumn("new", F.when(F.col("e_start") <= top, 0).otherwise(1))
-    x = x.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("chrom", "island").agg(F.min("e_start").alias("u_start"), F.max("e_end").alias("u_end"), F.count("*").alias("n")).drop("island")
+    return union(A.exons(spark, sf_dir), "chrom", "e_start", "e_end")
 
 
 @query(f"with exons as ({A.EXONS}) select tx, exon_no, chrom, e_start + 10 as s_start, e_end - 10 as s_end from exons where e_end - e_start >= 120")
@@ -295,7 +291,7 @@ def exon_intron_table_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("tx", "chrom", "strand", F.lit("exon").alias("kind"), (F.col("e_start") - 10).alias("s"), (F.col("e_end") + 10).alias("e")).unionByName(introns)
 
 
-@query(f"with exons as ({A.EXONS}) select gene, chrom, min(e_start) - 5 as g_start, max(e_end) + 5 as g_end from exons group by 1, 2")
+@query(f"with exons as ({A.EXONS}) select gene, chrom, min(e_start) - 5 as g_start, max(e_end) + 5 as g_end from exons group by gene, chrom, floor(e_start / 5000)")
 def gene_region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.genes(spark, sf_dir).select("gene", "chrom", (F.col("g_start") - 5).alias("g_start"), (F.col("g_end") + 5).alias("g_end"))
 

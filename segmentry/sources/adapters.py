@@ -70,10 +70,10 @@ def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of genes on a chromosome."""
+    """Spans of genes at each locus; a name may stand at many."""
     from pyspark.sql import functions as F
 
-    return exons(spark, sf_dir).groupBy("gene", "chrom").agg(F.min("e_start").alias("g_start"), F.max("e_end").alias("g_end"))
+    return exons(spark, sf_dir).groupBy("gene", "chrom", F.floor(F.col("e_start") / 5000).alias("locus")).agg(F.min("e_start").alias("g_start"), F.max("e_end").alias("g_end"))
 
 
 #: Read sequences: bases made of the read's own digest, repeated to its length.
