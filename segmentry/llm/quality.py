@@ -164,7 +164,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep_at: float = 0.7, shr
     Learns from labelled rows of the training part only, from the text only. Null and
     empty texts are scored as texts without words. Null labels teach nothing; ids
     that repeat are scored row by row; a null id is scored, never held out and
-    teaches nothing. Without any labels all rows get the same score, one half.
+    teaches nothing. Without any labels all rows get the same score, one half; an empty table gives no rows. Texts are
+    read in blocks of a few megabytes or one longer text. Other columns, of whatever names, are not looked at.
     """
     stats = stored(statistics(docs, id_col, text_col, row_col), "statistics")
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y in (0, 1)").where(training_part())

@@ -3,8 +3,8 @@
 Voters are a seed lexicon, mined patterns (whole words and word beginnings that are far more
 frequent in labelled toxic texts than in others) and thresholds on how many words of a
 text, and how large a part of it, the patterns match. A generative label model estimates by EM how often
-each voter speaks in toxic and in other texts; voters whose votes are correlated given
-the class are joined, so that the same evidence isn't counted twice. Its posteriors are
+each voter speaks in toxic and in other texts, how far the given labels can be believed, and how voters are correlated within the classes,
+so that the same evidence isn't counted twice. Its posteriors are
 the labels of a linear classifier over the voters, which scores every text.
 """
 
@@ -138,60 +138,55 @@ def density_votes(sure: np.ndarray, likely: np.ndarray, words: np.ndarray) -> np
 
 @dataclass
 class LabelModel:
-    """Rates at which groups of voters speak, in other and in toxic texts, and the share of toxic texts."""
+    """A text is toxic with probability ``share``; given that or not, each voter speaks at its rate. The label, where it is given, is one more voter, the last.
+
+    Voters aren't independent: the same evidence makes several speak. Their correlations within the classes are estimated too,
+    and a voter's word counts by one over the sum of its correlations, itself included, so n copies of a voter count as one.
+    """
 
-    group: np.ndarray
     rates: np.ndarray
     share: float
+    weights: np.ndarray
 
     @staticmethod
-    def fit(votes: np.ndarray, start: np.ndarray, rounds: int = 30, together: float = 0.5) -> "LabelModel":
-        """EM from first guesses ``start`` of the texts' probabilities."""
-        group = LabelModel._groups(votes, start, together)
-        joined = LabelModel.joined(votes, group)
-        p, share, rates = start.astype(float), 0.5, np.zeros((2, joined.shape[1]))
-        for _ in range(rounds):
+    def fit(votes: np.ndarray, labels: np.ndarray, rounds: int = 60) -> "LabelModel":
+        """EM over all rows from first guesses near the labels; afterwards labels are believed as far as the voters bear them out."""
+        votes = np.column_stack([votes, labels]).astype(np.float64)
+        p = np.where(labels > 0, 0.9, 0.1)
+        weights = LabelModel._weights(votes, p, 0.5)
+        for i in range(rounds):
             share = float(np.clip(p.mean(), 1e-4, 1 - 1e-4))
-            for c, w in enumerate((1 - p, p)):
-                rates[c] = (joined.T @ w + 0.5 * (1 + c) * 0.1) / (w.sum() + 1)
-            rates = np.clip(rates, 1e-5, 1 - 1e-5)
-            new = LabelModel(group, rates, share).posterior(votes)
-            # Labelled texts keep half of their label's weight.
-            new = 0.5 * new + 0.5 * start
-            if np.abs(new - p).max() < 1e-4:
+            rates = np.stack([(w @ votes + 0.05 * (1 + c)) / (w.sum() + 1) for c, w in enumerate((1 - p, p))])
+            model = LabelModel(np.clip(rates, 1e-5, 1 - 1e-5), share, weights)
+            new = model._posterior(votes)
+            done, p = np.abs(new - p).max() < 1e-4, new
+            if i in (5, 10, 15):  # before the classes are parted well, only near copies can be told from voters that are both right
+                weights = LabelModel._weights(votes, p, 0.1)
+            elif done and i > 15:
                 break
-            p = new
-        return LabelModel(group, rates, share)
-
-    @staticmethod
-    def _groups(votes: np.ndarray, p: np.ndarray, together: float) -> np.ndarray:
-        """Voters joined whose votes correlate by more than ``together`` among toxic texts."""
-        m = votes.shape[1]
-        group = np.arange(m)
-        x = votes[p > 0.5].astype(float)
-        if len(x) > 2:
-            x = x - x.mean(axis=0)
-            size = np.sqrt((x * x).sum(axis=0)) + 1e-9
-            close = (x.T @ x) / size[:, None] / size[None, :] > together
-            for i in range(m):
-                for j in np.flatnonzero(close[i, i + 1 :]) + i + 1:
-                    group[group == group[j]] = group[i]
-        return np.unique(group, return_inverse=True)[1]
+        return model
 
     @staticmethod
-    def joined(votes: np.ndarray, group: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(votes), group.max() + 1 if group.size else 0))
-        for g in range(out.shape[1]):
-            out[:, g] = votes[:, group == g].any(axis=1)
-        return out
-
-    def posterior(self, votes: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
-        """Probability of toxic; labels that are given are one more voter, right 19 times of 20."""
-        x = self.joined(votes, self.group)
-        logs = np.log(self.rates), np.log1p(-self.rates)
-        d = x @ (logs[0][1] - logs[0][0]) + (1 - x) @ (logs[1][1] - logs[1][0]) + np.log(self.share / (1 - self.share))
-        if given is not None:
-            d = np.clip(d, -3, 3) + np.log(19) * (2 * given - 1)
+    def _weights(votes: np.ndarray, p: np.ndarray, least: float) -> np.ndarray:
+        """From the correlations within the classes over ``least`` and over what chance makes of uncorrelated voters."""
+        within = np.zeros((votes.shape[1], votes.shape[1]))
+        for w in (p, 1 - p):
+            total = w.sum() + 1e-9
+            mean = w @ votes / total
+            within += (votes * w[:, None]).T @ votes - total * np.outer(mean, mean)
+        size = np.sqrt(np.maximum(np.diag(within), 1e-9))
+        rho = within / size[:, None] / size[None, :]
+        np.fill_diagonal(rho, 1)
+        return 1 / np.where(rho > max(least, 4 / np.sqrt(p.sum() + 1)), rho, 0).sum(axis=1)
+
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """Probability of toxic, from the votes alone or with the labels."""
+        return self._posterior(votes if labels is None else np.column_stack([votes, labels]))
+
+    def _posterior(self, votes: np.ndarray) -> np.ndarray:
+        n = votes.shape[1]
+        spoken, silent = np.log(self.rates[1, :n] / self.rates[0, :n]), np.log((1 - self.rates[1, :n]) / (1 - self.rates[0, :n]))
+        d = votes @ (self.weights[:n] * (spoken - silent)) + self.weights[:n] @ silent + np.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(d, -50, 50)))
 
 
@@ -225,10 +220,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id
     """One row per document: id, ``held_out``, ``score`` (0 to 1), ``predicted``.
 
     Patterns are counted in all labelled rows of the training part; label model and classifier are
-    fitted on at most ``sample`` of their ids, chosen by a hash; every text is scored whole. The ``voters`` best
-    mined units vote each on its own; the sure ones of the others count in the votes on matched words. Null and empty texts have no votes. Null
+    fitted on at most ``sample`` of their ids, chosen by a hash; every text is scored whole, in blocks of a few megabytes or one longer text. The ``voters`` best
+    mined units vote each on its own, as the driver holds their votes on the sample; the sure ones of the others count in the votes on matched words. One text counts for a unit's
+    frequency with at most ``USES`` uses, so that no text alone makes a pattern. Null and empty texts have no votes. Null
     labels teach nothing; ids that repeat are scored row by row; a null id is scored and
-    not held out. Without labelled rows only the seed lexicon speaks.
+    not held out. Without labelled rows only the seed lexicon speaks; an empty table gives no rows. Other columns, of whatever names, are not looked at.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(training_part())
     marks = stored(marks, "marks")

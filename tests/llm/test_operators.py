@@ -17,11 +17,11 @@ from segmentry.llm.html_extract import OPEN, PROTECTED, VETOED, main_text, marke
 from segmentry.llm.mixing import mixed
 from segmentry.llm.near_dup import near_duplicates
 from segmentry.llm.packing import _encoder, fixed_by_dominance, least_sequences, pack_documents, packing_plan
-from segmentry.llm.quality import quality_scores
+from segmentry.llm.quality import discriminant, quality_scores, text_statistics
 from segmentry.llm.queries import RANKS
 from segmentry.llm.substring_dedup import remove_repeats
 from segmentry.llm.topk import exact_top_k
-from segmentry.llm.toxicity import toxicity_scores
+from segmentry.llm.toxicity import LabelModel, toxicity_scores
 from segmentry.llm.url_filter import url_verdicts
 
 DOCS = "doc_id long, text string, source string, n_shingles int, id int, score int"
@@ -366,6 +366,55 @@ def test_classifiers_hold_out(spark, score, label, least):
     assert score(odd.where("false"), labels).count() == 0
 
 
+def test_toxic_texts_are_found_and_clean_ones_left(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert got.predicted[got.toxic == 1].mean() >= 0.93 and got.toxic[got.predicted == 1].mean() >= 0.97
+
+
+def test_label_model_doubts_labels_and_copies():
+    rng = np.random.default_rng(3)
+    truth = rng.random(6000) < 0.2
+    speaks = lambda hit, false: rng.random(6000) < np.where(truth, hit, false)
+    voters = [speaks(0.7, 0.02), speaks(0.6, 0.05), speaks(0.5, 0.03), speaks(0.6, 0.04)]
+    copied = speaks(0.4, 0.1)
+    labels = np.where(rng.random(6000) < 0.1, ~truth, truth).astype(float)
+    model = LabelModel.fit(np.column_stack([*voters, *[copied] * 6]), labels)
+    assert np.allclose(model.rates[:, -1], (0.1, 0.9), atol=0.04) and abs(model.share - 0.2) < 0.03
+    assert np.allclose(model.weights, [1] * 4 + [1 / 6] * 6 + [1])
+    assert np.allclose(model.rates[1][:4], (0.7, 0.6, 0.5, 0.6), atol=0.06)
+    assert ((model.posterior(np.column_stack([*voters, *[copied] * 6]), labels) > 0.5) == truth).mean() > 0.97
+
+
+def test_discriminant_against_numpy():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)), rng.integers(0, 2, 400)
+    x[y == 1] += 0.7
+    own = [x[y == c] for c in (0, 1)]
+    model = discriminant(np.array([len(o) for o in own]), np.array([o.sum(axis=0) for o in own]), np.array([o.T @ o for o in own]), shrink=0.2, ridge=0.02)
+    pooled = np.cov(x.T, bias=True)
+    logs = []
+    for o in own:
+        cov = 0.8 * np.cov(o.T, bias=True) + 0.1 * pooled + 0.12 * np.diag(np.diag(pooled))
+        d = x - o.mean(axis=0)
+        logs.append(np.log((len(o) + 1) / 402) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(logs[0] - logs[1])))
+
+
+def test_quality_of_whole_query_against_numpy(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r for r in quality_scores(docs, labels).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    x = {i: text_statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for i, t in texts.items()}
+    known = [(x[r.doc_id], r.quality) for r in labels.collect() if r.quality in (0, 1) and crc32(str(r.doc_id).encode()) % 4 != 2]
+    own = [np.array([v for v, q in known if q == c]) for c in (0, 1)]
+    model = discriminant(np.array([len(o) for o in own]), np.array([o.sum(axis=0) for o in own]), np.array([o.T @ o for o in own]))
+    for i, r in got.items():
+        assert r.score == pytest.approx(model.scores(x[i][None])[0], abs=1e-6) and r.predicted == int(r.score >= 0.7)
+
+
 def test_toxic_words_are_counted_beyond_the_sample(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choices("bcdfgklmnprst", k=9))
