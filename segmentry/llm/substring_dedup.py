@@ -8,8 +8,8 @@ pick the anchor, and compared by 96-bit hashes; overlapping matches
 merge into maximal repeats.
 
 Both exchanges are pre-aggregated in the tasks: of a key seen in several documents
-of a task one witness travels, so a key has a few rows per task at most however many
-documents share it.
+of a task one witness travels, and a document sends a key once with all its places; so a key has a few rows per task at most however many
+documents share it and however often one repeats it.
 """
 
 from collections.abc import Iterator
@@ -43,35 +43,56 @@ def picked(h: np.ndarray, counts: np.ndarray, window: int, seed: int) -> tuple[n
     return at, at + place[at], g
 
 
+def _grouped(*keys: np.ndarray) -> np.ndarray:
+    """Places in sorted columns where a new combination begins."""
+    new = np.zeros(keys[0].size, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _further(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For groups that begin at ``first``, their values but the first; null where there is one only."""
+    sizes = np.diff(np.append(first, values.size)) - 1
+    rest = np.ones(values.size, bool)
+    rest[first] = False
+    edge = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge), pa.array(values[rest].astype(np.int32)), mask=pa.array(sizes == 0))
+
+
 def _anchors(window: int, seed: int):
-    """Rows (key, id, fp, pos): anchors of one document of the task; a witness (id null) and the places for those of several."""
+    """Rows (key, id, fp, pos, more): anchors of one document of the task, once with all their places; a witness (id null) and the places for those of several."""
 
     def flush(parts: list) -> pa.RecordBatch:
         key, doc, fp, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, key))
+        order = np.lexsort((pos, fp, doc, key))
         key, doc, fp, pos = key[order], doc[order], fp[order], pos[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        own = _grouped(key, doc, fp)
+        more = _further(pos, own)
+        # Back in the order of the texts, in which ids and places compress well.
+        back = np.argsort(order[own])
+        more, place = more.take(pa.array(back)), pos[own]
+        key, doc, fp = key[own], doc[own], fp[own]
+        first = _grouped(key)
         last = np.append(first[1:], key.size) - 1
         many = doc[first] != doc[last]
         shared = np.repeat(many, last - first + 1)
-        witnesses = key[first[many]]
-        # Back in the order of the texts, in which ids and places compress well.
-        back = np.argsort(order)
-        key, doc, fp, pos, shared = key[back], doc[back], fp[back], pos[back], shared[back]
+        n, witnesses = int(many.sum()), key[first[many]]
+        key, doc, fp, place, shared = key[back], doc[back], fp[back], place[back], shared[back]
         # Places that are known to count travel by document.
-        keys = np.concatenate((key, witnesses)).view(np.int64)
-        known = np.concatenate((shared, np.zeros(int(many.sum()), bool)))
-        witness = np.arange(keys.size) >= key.size
-        pad = np.zeros(int(many.sum()), np.int64)
+        keys = np.where(shared, mix(doc.view(np.uint64)), key)
+        pad, mask = np.zeros(n, np.int64), np.arange(key.size + n) >= key.size
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.where(known, mix(np.concatenate((doc, pad)).view(np.uint64)).view(np.int64), keys)),
-                pa.array(np.concatenate((doc, pad)), mask=witness),
+                pa.array(np.concatenate((keys, witnesses)).view(np.int64)),
+                pa.array(np.concatenate((doc, pad)), mask=mask),
                 pa.array(np.concatenate((fp, pad)).astype(np.int32)),
-                pa.array(np.concatenate((pos, pad)).astype(np.int32)),
-                pa.array(known),
+                pa.array(np.concatenate((place, pad)).astype(np.int32)),
+                pa.concat_arrays([more, pa.nulls(n, more.type)]),
+                pa.array(np.concatenate((shared, np.zeros(n, bool)))),
             ],
-            ["key", "id", "fp", "pos", "known"],
+            ["key", "id", "fp", "pos", "more", "known"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +117,14 @@ def _anchors(window: int, seed: int):
 
 
 def _windows(window: int, seed: int):
-    """Rows (h1, h2, id, fp, start, length, known): windows at shared anchors; runs of those known to be repeats."""
+    """Rows (h1, h2, id, fp, start, length, more, known): windows at shared anchors, once for a document with all their starts; runs of those known to be repeats."""
 
     def flush(parts: list) -> pa.RecordBatch:
         h1, h2, doc, fp, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((start, fp, doc, h2, h1))
         h1, h2, doc, fp, start = h1[order], h2[order], doc[order], fp[order], start[order]
-        new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
-        low = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        first = _grouped(h1, h2)
+        low = np.repeat(doc[first], np.diff(np.append(first, doc.size)))
         known = doc != low
         kd, kf, ks = doc[known], fp[known], start[known]
         by = np.lexsort((ks, kf, kd))
@@ -111,10 +132,12 @@ def _windows(window: int, seed: int):
         head = np.concatenate(([True], (kd[1:] != kd[:-1]) | (kf[1:] != kf[:-1]) | (ks[1:] != ks[:-1] + 1))) if kd.size else np.zeros(0, bool)
         run_at = np.flatnonzero(head)
         length = np.diff(np.append(run_at, kd.size))
+        h1, h2, doc, fp, start, order = (x[~known] for x in (h1, h2, doc, fp, start, order))
+        own = _grouped(h1, h2, doc, fp)
         # The others in the order of the texts, in which ids and places compress well.
-        left = order[~known]
-        rank = np.argsort(left)
-        one = np.flatnonzero(~known)[rank]
+        back = np.argsort(order[own])
+        more = _further(start, own).take(pa.array(back))
+        one = own[back]
         cat = lambda x, y, kind: pa.array(np.concatenate((x[one], y)).astype(kind))
         return pa.RecordBatch.from_arrays(
             [
@@ -124,13 +147,14 @@ def _windows(window: int, seed: int):
                 cat(fp, kf[run_at], np.int32),
                 cat(start, ks[run_at], np.int32),
                 pa.array(np.concatenate((np.ones(one.size, np.int32), length.astype(np.int32)))),
+                pa.concat_arrays([more, pa.nulls(run_at.size, more.type)]),
                 pa.array(np.arange(one.size + run_at.size) >= one.size),
             ],
-            ["h1", "h2", "id", "fp", "start", "length", "known"],
+            ["h1", "h2", "id", "fp", "start", "length", "more", "known"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, parts, held = byte_values(), [], 0
+        table, other, parts, held = byte_values(), byte_values(seed=8), [], 0
         for batch in batches:
             ids, fps, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for lo, hi, data, offs in text_blocks(batch.column(2)):
@@ -146,7 +170,7 @@ def _windows(window: int, seed: int):
                 mark[spots[spots < h.size]] = True
                 at = at[mark[place]]
                 row = np.repeat(np.arange(hi - lo), counts)[at]
-                parts.append((gram_hashes(h, window, 1)[at], gram_hashes(h, window, 2)[at], ids[lo:hi][row], fps[lo:hi][row].astype(np.int64), at - begin[row]))
+                parts.append((gram_hashes(h, window, 1)[at], gram_hashes(hash_words(data, offs, other)[0], window, 2)[at], ids[lo:hi][row], fps[lo:hi][row].astype(np.int64), at - begin[row]))
                 held += at.size
                 if held >= FLUSH:
                     yield flush(parts)
@@ -160,7 +184,7 @@ def _windows(window: int, seed: int):
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lows, lengths = batch.column(1), batch.column(2), batch.column(3)
+            texts, lows, lengths, more = batch.column(1), batch.column(2), batch.column(3), batch.column(4)
             out, n, gone = [], [], []
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or b"").split()
@@ -169,6 +193,9 @@ def _kept(window: int):
                     s, k = lows[i].values.to_numpy(), lengths[i].values.to_numpy()
                     np.add.at(edge, s, 1)
                     np.add.at(edge, np.minimum(s + k - 1 + window, len(words)), -1)
+                    s = more[i].values.to_numpy()
+                    np.add.at(edge, s, 1)
+                    np.add.at(edge, np.minimum(s + window, len(words)), -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 else:
@@ -189,27 +216,28 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str
     are joined by one space. Null, empty and blank texts give an empty text and 0
     words; texts shorter than a window stay whole. Rows that repeat an id are never
     held against each other. A row with a null id stays whole and is no
-    one's earlier document. Other columns are not looked at.
+    one's earlier document. An empty table gives no rows. Texts are hashed in blocks of a few megabytes or one longer text. Other
+    columns, of whatever names, are not looked at.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(text_col), F.lit(65536)).cast("int").alias("fp"), F.col(text_col).cast("binary").alias("text"))
     named = base.where("id is not null")
 
-    seeds = named.mapInArrow(_anchors(window, seed), "key long, id long, fp int, pos int, known boolean")
+    seeds = named.mapInArrow(_anchors(window, seed), "key long, id long, fp int, pos int, more array<int>, known boolean")
     counted = seeds.withColumn("seen", F.sum(F.when(F.col("known") | F.col("id").isNull(), 2).otherwise(1)).over(Window.partitionBy("key")))
-    places = stored(counted.where("seen > 1 and id is not null").groupBy("id", "fp").agg(F.collect_set("pos").alias("places")), "places")
+    places = stored(counted.where("seen > 1 and id is not null").groupBy("id", "fp").agg(F.concat(F.collect_list("pos"), F.flatten(F.collect_list("more"))).alias("places")), "places")
 
     # Both joins below read this one exchange; the filter is the one that an inner join adds.
     dealt = named.where("fp is not null").repartition(n, "id", "fp")
     runs = dealt.join(places, ["id", "fp"]).select("id", "fp", "text", "places").mapInArrow(
-        _windows(window, seed), "h1 long, h2 int, id long, fp int, start int, length int, known boolean"
+        _windows(window, seed), "h1 long, h2 int, id long, fp int, start int, length int, more array<int>, known boolean"
     )
     first = F.min("id").over(Window.partitionBy("h1", "h2"))
     gone = runs.withColumn("first", first).where("known or id > first")
-    covered = gone.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
-    out = dealt.join(covered, ["id", "fp"], "left").select("id", "text", "runs.start", "runs.length")
-    nameless = base.where("id is null").select("id", "text", *(F.lit(None).cast("array<int>").alias(c) for c in ("start", "length")))
+    covered = gone.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "length")).alias("runs"), F.flatten(F.collect_list("more")).alias("more"))
+    out = dealt.join(covered, ["id", "fp"], "left").select("id", "text", "runs.start", "runs.length", "more")
+    nameless = base.where("id is null").select("id", "text", *(F.lit(None).cast("array<int>").alias(c) for c in ("start", "length", "more")))
     out = out.unionByName(nameless)
     out = out.mapInArrow(_kept(window), "id long, kept_text binary, n_words long, n_removed long")
     return out.select(F.col("id").alias(id_col), F.col("kept_text").cast("string").alias("kept_text"), "n_words", "n_removed")

@@ -81,6 +81,16 @@ def test_remove_repeats(spark, docs, empty):
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
         assert (got[i].kept_text, got[i].n_words, got[i].n_removed) == (b" ".join(x for j, x in enumerate(w) if j not in gone).decode(), len(w), len(gone))
     assert remove_repeats(empty).count() == 0
+    # A window that a document repeats, in turn and apart, before and after one that has it once.
+    again = [(1, "a " * 40), (2, "b " + "a " * 200 + "c"), (3, " ".join(map(str, range(13))) + " x"), (4, (" ".join(map(str, range(13))) + " y ") * 5), (5, "a b " * 60), (6, "a b " * 40)]
+    words, first = {i: t.split() for i, t in again}, {}
+    for i, w in words.items():
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for r in remove_repeats(spark.createDataFrame(again, "doc_id long, text string")).collect():
+        w = words[r.doc_id]
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < r.doc_id for j in range(k, k + 13)}
+        assert r.kept_text.split() == [x for j, x in enumerate(w) if j not in gone] and r.n_removed == len(gone)
     long = " ".join(map(str, range(20)))
     same = spark.createDataFrame([(None, long), (None, long), (1, long), (1, long)], "doc_id long, text string")
     assert [r.n_removed for r in remove_repeats(same).collect()] == [0] * 4
