@@ -68,7 +68,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: set size, 128-bit digest of the set, band hashes (null for an empty set)."""
+    """One row per document: a hash of the text, set size, 128-bit digest of the set, band hashes (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,15 +85,28 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str,
                 digest = [(int(mix(s).sum(dtype=np.uint64)), int(mix(mix(s + np.uint64(1))).sum(dtype=np.uint64))) for s in sets]
                 d = np.array(digest, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(sets)), pa.array([s.size for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(band, pa.list_(pa.int64()))],
-                    ["id", "n", "s1", "s2", "bands"],
+                    [*(batch.column(i).slice(lo, len(sets)) for i in (0, 2)), pa.array([s.size for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(band, pa.list_(pa.int64()))],
+                    ["id", "of", "n", "s1", "s2", "bands"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>")
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("of"))
+    return read.mapInArrow(run, "id long, of long, n long, s1 long, s2 long, bands array<long>")
+
+
+def _with_least(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the smallest ``id`` of a row's group as ``least``, the group's ``size`` and a ``salt``.
+
+    A group is dealt by the salt of its ids, summed up in each part, and told to each part again, so that no task sees a large group whole.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(salts)).cast("int"))
+    local = dealt.groupBy(*keys, "salt").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    whole = local.groupBy(*keys).agg(F.min("least").alias("least"), F.sum("size").alias("size"))
+    return dealt.join(local.select(*keys, "salt").join(whole, keys), [*keys, "salt"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
+    """The pairs (a, b) with 100 * intersection >= percent * union of the full sets. ``size`` says how many pairs may have the same b; its text is told to parts of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +118,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 ok = pa.array([100 * m >= percent * (x.size + y.size - m) for m, x, y in zip(both, left, right, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(ok)
 
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    pairs = pairs.withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("a"), "parts"))
+    of_b = pairs.groupBy("b").agg(F.max("parts").alias("parts")).join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    of_b = of_b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    with_a = pairs.drop("parts").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    with_b = with_a.join(of_b, ["b", "part"])
     return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -157,7 +173,7 @@ def _links_left(live: DataFrame, parts: DataFrame, done: DataFrame, texts: DataF
     y = few.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"))
     near = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
     pairs = x.join(y, "bucket").where((F.col("px") != F.col("py")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
+    pairs = pairs.distinct().join(done, ["a", "b"], "left_anti").withColumn("size", F.lit(1))
 
     many = open_rows.where(F.col("size") > SMALL).join(texts, "id").select("bucket", "id", "part", "text", "size", "asked", F.col("part") != F.col("main"))
     many = many.toDF("bucket", "id", "part", "text", "size", "asked", "asks")
@@ -180,31 +196,34 @@ def near_duplicates(
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased. A document with fewer
     than ``words`` words has its whole sequence as its one shingle. Null, empty and
     blank texts have no shingles and are linked with nothing. Rows that repeat an id
-    or a text are copies and share a component; a null id gives a null component
-    and is not kept. Other columns are not looked at. A pair of exactly 0.8 shares
+    or a text are copies and share a component; of texts that differ under one id, the one with the smallest
+    hash is compared for it. A null id gives a null component
+    and is not kept. An empty table gives no rows. Texts are hashed in blocks of a few megabytes or one longer text. Other columns, of whatever names, are not looked at. A pair of exactly 0.8 shares
     no band with a chance of (1 - 0.8**rows) ** bands, 2.5e-7 by default.
     """
     sig = stored(signatures(docs, words, bands, rows, id_col, text_col), "signatures")
     some = sig.where("n > 0 and id is not null")
-    classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    members = stored(sig.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("id", "n", "rep"), "members")
+    members = stored(_with_least(some.select("id", "n", "s1", "s2"), ["s1", "s2", "n"]).withColumnRenamed("least", "rep").drop("size"), "members")
 
-    reps = some.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    buckets = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    live = stored(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = stored(texts.join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    reps = some.join(members.where("id = rep").select("id", "s1", "s2", "n").distinct(), ["id", "s1", "s2", "n"], "left_semi")
+    reps = reps.groupBy("id").agg(F.min(F.struct("of", "n", "bands")).alias("r")).select("id", "r.*")
+    buckets = reps.select("id", "of", "n", F.explode("bands").alias("bucket"))
+    live = stored(_with_least(buckets, ["bucket"]).where("size > 1").withColumnRenamed("least", "hub").drop("salt"), "buckets")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("of"))
+    texts = stored(texts.join(live.select("id", "of").distinct(), ["id", "of"], "left_semi").dropDuplicates(["id"]).drop("of"), "texts")
 
-    first = stored(live.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    first = live.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
+    first = stored(first, "pairs")
     links = stored(_verified(first, texts, words, percent), "links")
     parts = connected_components(links)
 
     more = _links_left(live, parts, first, texts, words, percent)
     parts = connected_components(links.unionByName(more))
 
-    out = members.join(parts, members.rep == parts.node, "left")
-    component = F.coalesce("component", "rep", "id")
+    told = members.select("rep", "salt").distinct().join(parts, F.col("rep") == F.col("node"), "left").select("rep", "salt", F.coalesce("component", "rep").alias("component"))
+    out = members.join(told, ["rep", "salt"]).select("id", "n", "component")
+    out = out.unionByName(sig.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
+    component = F.col("component")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
     )
