@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.llm.quality import training_part
-from segmentry.llm.wordhash import byte_values, hash_words, mix, text_blocks
+from segmentry.llm.wordhash import byte_values, hash_words, mix, text_blocks, word_starts
 from segmentry.shared import stored
 
 #: A fixed list of common insults, each a voter from the start.
@@ -52,8 +53,26 @@ def seed_units() -> np.ndarray:
     return hash_words(data, offs, _table())[0]
 
 
+def _packed(texts: pa.Array) -> pa.Array:
+    """Each text compressed; null as empty."""
+    packer = zstandard.ZstdCompressor(level=1)
+    return pa.array((packer.compress(t.as_py() or b"") for t in texts), pa.binary())
+
+
+def _read(texts: pa.Array, packed: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As ``text_blocks`` gives them, of texts that may be compressed."""
+    if not packed:
+        yield from text_blocks(texts)
+        return
+    reader = zstandard.ZstdDecompressor()
+    for first, end, _, _ in text_blocks(texts):
+        plain = pa.array((reader.decompress(t.as_py()) for t in texts.slice(first, end - first)), pa.large_binary())
+        for lo, hi, data, offs in text_blocks(plain):
+            yield first + lo, first + hi, data, offs
+
+
 def _counted(labelled: DataFrame) -> DataFrame:
-    """unit, toxic texts that hold it, uses in toxic and in other texts; unit 0 has the words. Counted in each task before the shuffle."""
+    """unit, toxic texts that hold it, uses in toxic and in other texts. Counted in each task before the shuffle."""
 
     def flush(held: list) -> pa.RecordBatch:
         units, texts, toxic, other = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -65,10 +84,9 @@ def _counted(labelled: DataFrame) -> DataFrame:
         table, held, size = _table(), [], 0
         for batch in batches:
             y = batch.column(1).to_numpy()
-            for lo, hi, data, offs in text_blocks(batch.column(0)):
-                row, counts, units = _units(data, offs, table)
+            for lo, hi, data, offs in _read(batch.column(0), True):
+                row, _, units = _units(data, offs, table)
                 own = y[lo:hi]
-                held.append((np.zeros(hi - lo, np.uint64), own, counts * own, counts * (1 - own)))
                 rows, units = np.tile(row, len(units))[units.ravel() != 0], units.ravel()[units.ravel() != 0]
                 order = np.lexsort((units, rows))
                 rows, units = rows[order], units[order]
@@ -87,7 +105,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
 
 
 def _maybe_labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """``texts`` without most of those whose id isn't among ``marks``."""
+    """``texts``, compressed, and their words, without most of those whose id isn't among ``marks``."""
     place = lambda ids: (mix(ids.to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,21 +119,25 @@ def _maybe_labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
         packed |= np.frombuffer(r.bits, np.uint8)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table()
         held = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(held[place(batch.column(0))]))
+            found = batch.filter(pa.array(held[place(batch.column(0))]))
+            for lo, hi, data, offs in text_blocks(found.column(1)):
+                part = found.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), _packed(part.column(1)), pa.array(word_starts(data, offs, table)[2])], ["id", "text", "words"])
 
-    return texts.where("id is not null").mapInArrow(keep, "id long, text binary")
+    return texts.where("id is not null").mapInArrow(keep, "id long, text binary, words long")
 
 
-def _votes(texts: DataFrame, units: np.ndarray, sure: np.ndarray, own: np.ndarray, kept: str, kind: str) -> DataFrame:
+def _votes(texts: DataFrame, units: np.ndarray, sure: np.ndarray, own: np.ndarray, kept: str, kind: str, packed: bool = False) -> DataFrame:
     """Columns ``kept``, ``hits`` (places among the ``own`` of the sorted ``units`` of those in a text), its words that match a sure unit, any unit, and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = _table(), int(own.sum())
         place = np.cumsum(own) - 1
         for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch.column(1)):
+            for lo, hi, data, offs in _read(batch.column(1), packed):
                 row, counts, found = _units(data, offs, table)
                 at = np.minimum(np.searchsorted(units, found), units.size - 1)
                 ok = units[at] == found
@@ -203,15 +225,15 @@ def linear(votes: np.ndarray, goal: np.ndarray, rounds: int = 600) -> tuple[np.n
     return w, b
 
 
-def mine(counts: DataFrame, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def mine(labelled: DataFrame, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(units, whether each is sure): all with an excess among toxic texts, the surest first.
 
     The frequency among toxic texts is taken lower, and the other higher, by a deviation.
     """
-    words = counts.where("unit = 0").first()
-    toxic, other = max(words.toxic if words else 0, 1), max(words.other if words else 0, 1)
+    words = {r.y: r.n for r in labelled.groupBy("y").agg(F.sum("words").alias("n")).collect()}
+    toxic, other = max(words.get(1, 0), 1), max(words.get(0, 0), 1)
     ratio = ((F.col("toxic") - F.sqrt("toxic")) / toxic) / ((F.col("other") + F.sqrt("other") + 1) / other)
-    odds = counts.where((F.col("unit") != 0) & (F.col("texts") >= least)).withColumn("ratio", ratio).where(F.col("ratio") >= LIKELY)
+    odds = _counted(labelled).where(F.col("texts") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= LIKELY)
     rows = odds.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "unit").select("unit", "ratio").collect()
     return np.array([r.unit for r in rows], np.int64).view(np.uint64), np.array([r.ratio >= SURE for r in rows], bool)
 
@@ -229,9 +251,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(training_part())
     marks = stored(marks, "marks")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    known = stored(_maybe_labelled(texts, marks).join(marks, "id").select("id", "text", "y"), "labelled")
+    # The join is the same at every size: what is exchanged follows the labelled texts.
+    known = stored(_maybe_labelled(texts, marks).hint("merge").join(marks, "id").select("id", "text", "words", "y"), "labelled")
     seeds = np.unique(seed_units())
-    mined, sure = mine(_counted(known))
+    mined, sure = mine(known)
     own = np.arange(mined.size) < voters
     mined, sure, own = (x[own | sure] for x in (mined, sure, own))
     units = np.concatenate([seeds, mined[~np.isin(mined, seeds)]])
@@ -241,7 +264,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id
 
     # At most ``sample`` ids, so their broadcast is bounded.
     chosen = marks.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = _votes(known.join(F.broadcast(chosen), "id", "left_semi"), units, sure, own, "y", "int").collect()
+    rows = _votes(known.join(F.broadcast(chosen), "id", "left_semi"), units, sure, own, "y", "int", True).collect()
     y = np.array([r.y for r in rows], np.float64)
     votes = np.zeros((len(rows), n + len(DENSITIES)), np.float32)
     for i, r in enumerate(rows):
