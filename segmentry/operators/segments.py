@@ -28,9 +28,9 @@ def _by_read(a: DataFrame, keep: Column) -> DataFrame:
     return a.join(bad, "read_id", "left_semi")
 
 
-def filter_contig(a: DataFrame) -> DataFrame:
-    """Reads without a segment on an unwanted contig; the data's stand-in are contigs ending in 2."""
-    return _by_read(a, ~F.col("chrom").rlike("_|^chrM$|MT|2$"))
+def filter_contig(a: DataFrame, unwanted: str = "_|^chrM$|MT") -> DataFrame:
+    """Reads without a segment on a contig that ``unwanted`` matches."""
+    return _by_read(a, ~F.col("chrom").rlike(unwanted))
 
 
 def filter_complete_chain(a: DataFrame, mapq: int = 22) -> DataFrame:
@@ -48,6 +48,20 @@ def filter_nm(a: DataFrame, most: int = 8) -> DataFrame:
     return a.where(F.when(F.col("seg_ord") == 0, F.col("nm") <= most).otherwise(F.col("nm") < most))
 
 
+def pair_modes(hops: DataFrame) -> DataFrame:
+    """Give each side of a hop the mode that it has toward the other one: the first side's clip is behind it in the read, the second's before it."""
+    ahead, behind = F.col("strand1") == "+", F.col("strand2") == "+"
+    return hops.withColumn("mode1", F.when(ahead, "MS").otherwise("SM")).withColumn("mode2", F.when(behind, "SM").otherwise("MS"))
+
+
+def swapped(hops: DataFrame, where: Column) -> DataFrame:
+    """Exchange both sides of the hops that satisfy ``where``."""
+    names = [c[:-1] for c in hops.columns if c.endswith("1") and f"{c[:-1]}2" in hops.columns]
+    take = lambda c, i, j: F.when(where, F.col(f"{c}{j}")).otherwise(F.col(f"{c}{i}")).alias(f"{c}{i}")
+    rest = [c for c in hops.columns if c[:-1] not in names or c[-1] not in "12"]
+    return hops.select(*rest, *(take(c, i, j) for c in names for i, j in ((1, 2), (2, 1))))
+
+
 def segment_pairs(a: DataFrame) -> DataFrame:
     """All pairs of a read's segments, of which a read has a handful."""
     x = a.select("read_id", *(F.col(c).alias(f"{c}1") for c in ("seg_ord", "chrom", "strand", "ref_start", "ref_end", "mapq")))
@@ -74,10 +88,10 @@ def chain_segments(a: DataFrame, tolerance: int = 10) -> DataFrame:
     return x.withColumn("fits", fits == 1)
 
 
-def adjacent_segments(a: DataFrame) -> DataFrame:
-    """Hops: each segment of a chain with the next one."""
+def adjacent_segments(a: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Hops: each segment of a chain with the next one; ``more`` columns of both are kept too."""
     w = Window.partitionBy("read_id").orderBy("seg_ord")
-    cols = ("seg_ord", "chrom", "strand", "ref_start", "ref_end", "mode", "lt", "rt", "q_match")
+    cols = ("seg_ord", "chrom", "strand", "ref_start", "ref_end", "mode", "lt", "rt", "q_match", *more)
     nxt = F.lead(F.struct(*cols)).over(w)
     x = a.withColumn("nxt", nxt).where("nxt is not null")
     return x.select("read_id", "fam", "q_len", *(F.col(c).alias(f"{c}1") for c in cols), *(F.col(f"nxt.{c}").alias(f"{c}2") for c in cols))

@@ -165,7 +165,8 @@ def filter_nm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WITH} select read_id, seg_ord, chrom from alignments where read_id not in (select read_id from alignments where regexp_matches(chrom, '_|^chrM$|MT|2$'))")
 def filter_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.filter_contig(A.alignments(spark, sf_dir)).select("read_id", "seg_ord", "chrom")
+    """Contigs that end in 2 stand for the unwanted ones, which the data haven't."""
+    return S.filter_contig(A.alignments(spark, sf_dir), "_|^chrM$|MT|2$").select("read_id", "seg_ord", "chrom")
 
 
 @query(f"{_WITH} select read_id, seg_ord from alignments where read_id in (select read_id from alignments group by 1 having count(*) = max(nseg) and min(mapq) >= 22)")

@@ -76,6 +76,20 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exons(spark, sf_dir).groupBy("gene", "chrom", F.floor(F.col("e_start") / 5000).alias("locus")).agg(F.min("e_start").alias("g_start"), F.max("e_end").alias("g_end"))
 
 
+# Chunks under all ends of segments, of bases made of the chunk's own digests: a genome without gaps there.
+SITES_GENOME = """
+select chrom, chunk_no, rpad(b, 5000, b) as seq
+from (select chrom, chunk_no, translate(concat(md5(concat(chrom, ':', chunk_no)), md5(concat(chunk_no, ':', chrom))), '0123456789abcdef', 'ACGTACGTACGTACGT') as b
+  from (select distinct chrom, cast(floor((case when side = 0 then ref_start else ref_end end + shift) / 5000) as bigint) as chunk_no
+    from seg cross join (select 0 as side, 60 as shift union all select 0, 140 union all select 1, 60 union all select 1, 140) e) c) d
+"""
+
+
+def sites_genome(segments: DataFrame) -> DataFrame:
+    """Chunks as ``genome`` has them, under the ends of the segments."""
+    return segments.sparkSession.sql(SITES_GENOME.replace("from seg ", "from {seg} "), seg=segments.select("chrom", "ref_start", "ref_end"))
+
+
 #: Read sequences: bases made of the read's own digest, repeated to its length.
 READS = """
 select read_id, q_len, rpad(b, q_len, b) as bases

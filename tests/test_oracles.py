@@ -6,7 +6,15 @@ import duckdb
 import pandas as pd
 import pytest
 
-from segmentry.plans import absorb_queries, junction_queries, node_queries, path_queries, rescue_queries, sequence_queries  # noqa: F401  (they add to the tables of queries)
+from segmentry.plans import (  # noqa: F401  (they add to the tables of queries)
+    absorb_queries,
+    junction_queries,
+    node_queries,
+    path_queries,
+    rescue_queries,
+    sequence_queries,
+    splice_queries,
+)
 from segmentry.plans import queries as plans
 
 DATA = Path("/root/testdata/sf0.001")
