@@ -133,7 +133,7 @@ def mid_mid(a: Side, b: Side, tolerance: int) -> Column:
 RULES = {("HEAD", "HEAD"): head_head, ("TAIL", "TAIL"): tail_tail, ("HEAD", "TAIL"): head_tail, ("HEAD", "MID"): head_mid, ("TAIL", "MID"): tail_mid, ("MID", "MID"): mid_mid}
 
 
-def compatible(nodes: DataFrame, tolerance: int = 20, kinds: list[tuple[str, str]] | None = None) -> DataFrame:
+def compatible(nodes: DataFrame, tolerance: int = 10, kinds: list[tuple[str, str]] | None = None) -> DataFrame:
     """Pairs of nodes that are one, by the rule of their identities: node1, node2, kind1, kind2; equal kinds with the smaller id first."""
     a, b, rule = Side("a"), Side("b"), F.lit(None).cast("boolean")
     for kind in kinds or list(RULES):

@@ -29,13 +29,13 @@ def _tails(p: int, q: int) -> str:
 
 _BOTH = "list_filter(t1, lambda x: list_contains(t2, x))"
 _RULE = {
-    "HEAD-HEAD": f"abs(e1[-1] - e2[-1]) <= 20 and case when n1 = 0 and n2 = 0 then true when n1 = 0 then s2[-1] <= s1[1] when n2 = 0 then s1[-1] <= s2[1] else {_contained()} end",
-    "TAIL-TAIL": f"abs(s1[1] - s2[1]) <= 20 and case when g1 and g2 then t1 = t2 and abs(e1[-1] - e2[-1]) <= 20 when e1[-1] - s1[1] >= e2[-1] - s2[1] then {_tails(1, 2)} else {_tails(2, 1)} end",
-    "HEAD-TAIL": f"""not g2 and s2[1] <= s1[1] and s1[1] < e2[-1] and e2[-1] <= e1[-1] and e2[-1] - s1[1] >= 20 and case when n1 = 0 and n2 = 0 then true when n2 = 0 then e1[1] >= e2[-1]
+    "HEAD-HEAD": f"abs(e1[-1] - e2[-1]) <= 10 and case when n1 = 0 and n2 = 0 then true when n1 = 0 then s2[-1] <= s1[1] when n2 = 0 then s1[-1] <= s2[1] else {_contained()} end",
+    "TAIL-TAIL": f"abs(s1[1] - s2[1]) <= 10 and case when g1 and g2 then t1 = t2 and abs(e1[-1] - e2[-1]) <= 10 when e1[-1] - s1[1] >= e2[-1] - s2[1] then {_tails(1, 2)} else {_tails(2, 1)} end",
+    "HEAD-TAIL": f"""not g2 and s2[1] <= s1[1] and s1[1] < e2[-1] and e2[-1] <= e1[-1] and e2[-1] - s1[1] >= 10 and case when n1 = 0 and n2 = 0 then true when n2 = 0 then e1[1] >= e2[-1]
       when n1 = 0 then s2[-1] <= s1[1] when len({_BOTH}) = 0 then e2[-1] <= e1[1] and s2[-1] <= s1[1] when strand = '-' and t1 = t2 then s1[1] = s2[1] and e1[-1] = e2[-1]
       when t1[:len({_BOTH})] = t2[n2 - len({_BOTH}) + 1:] then e2[-1] <= e1[len({_BOTH}) + 1] and s1[1] >= s2[n2 - len({_BOTH}) + 1] else false end""",
-    "HEAD-MID": f"""abs(e1[-1] - e2[-1]) <= 20 and case when n1 = 0 and n2 = 0 then s2[1] <= s1[1] when n1 = 0 then s2[-1] <= s1[1] else n1 <= n2 and {_contained("s2[1] <= s1[1]")} end""",
-    "TAIL-MID": f"""not g1 and abs(s1[1] - s2[1]) <= 20 and case when n1 = 0 and n2 = 0 then e1[-1] <= e2[-1] when n1 = 0 then e2[1] >= e1[-1] else n1 <= n2 and {_contained("e1[-1] <= e2[-1]")} end""",
+    "HEAD-MID": f"""abs(e1[-1] - e2[-1]) <= 10 and case when n1 = 0 and n2 = 0 then s2[1] <= s1[1] when n1 = 0 then s2[-1] <= s1[1] else n1 <= n2 and {_contained("s2[1] <= s1[1]")} end""",
+    "TAIL-MID": f"""not g1 and abs(s1[1] - s2[1]) <= 10 and case when n1 = 0 and n2 = 0 then e1[-1] <= e2[-1] when n1 = 0 then e2[1] >= e1[-1] else n1 <= n2 and {_contained("e1[-1] <= e2[-1]")} end""",
     "MID-MID": "t1 = t2 and s1[1] = s2[1] and e1[-1] = e2[-1]",
 }
 _ORDER = "(kind1 <> kind2 or node1 < node2)"
@@ -88,7 +88,7 @@ def compat_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_N} select node1, node2 from pairs where node1 < node2 and n1 > 0 and n2 > 0 and {_contained()}")
 def intron_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = compat.Side("a"), compat.Side("b")
-    pairs = compat.near_node_pairs(A.nodes(spark, sf_dir), 20).where((a.node_id < b.node_id) & ~a.bare & ~b.bare & compat.introns_contained(a, b))
+    pairs = compat.near_node_pairs(A.nodes(spark, sf_dir), 10).where((a.node_id < b.node_id) & ~a.bare & ~b.bare & compat.introns_contained(a, b))
     return pairs.select(a.node_id.alias("node1"), b.node_id.alias("node2"))
 
 

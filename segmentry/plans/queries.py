@@ -297,11 +297,6 @@ def gene_region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.genes(spark, sf_dir).select("gene", "chrom", (F.col("g_start") - 5).alias("g_start"), (F.col("g_end") + 5).alias("g_end"))
 
 
-@query(f"{_WITH} select cast(ceil(sum(read_match) / 1000000.0) as bigint) as avg_cov from (select {_total('MIS')} as read_match from alignments)")
-def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.alignments(spark, sf_dir).agg(F.ceil(F.sum(C.total(C.operations(F.col("cigar")), "MIS")) / 1_000_000).alias("avg_cov"))
-
-
 @query(f"{_WITH} select count(*) as chimeric from (select distinct read_id, lt, rt from alignments where seg_ord > 0)")
 def agg_chimeric_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.alignments(spark, sf_dir).where("seg_ord > 0").agg(F.count_distinct("read_id", "lt", "rt").alias("chimeric"))
@@ -339,7 +334,7 @@ def graph_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Structures share nodes only within a family, and all of a family share the first; so a cluster is a family here.
 @query(f"""{_SEG}, p as (select read_id, fam, string_agg(concat(chrom, ':', exons, ':', strand), '|' order by seg_ord) as path from seg group by 1, 2),
  s as (select path, fam, min(read_id) as path_id, count(*) as reads from p group by 1, 2) select path_id, reads, min(path_id) over (partition by fam) as cluster_id from s""")
-def cluster_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cluster_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cluster_paths(_segments(spark, sf_dir))
 
 

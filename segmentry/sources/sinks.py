@@ -52,3 +52,17 @@ def tsg_lines(nodes: DataFrame, edges: DataFrame, paths: DataFrame, key: str) ->
     out = out.unionByName(edges.withColumn("tag", tag("sr", "sr")).select(line("E", key, "src", "dst", "tag")))
     steps = paths.withColumn("steps", F.replace("path", F.lit("|"), F.lit(","))).withColumn("tag", tag("ptc", "reads"))
     return out.unionByName(steps.select(line("P", key, "path_id", "steps", "tag")))
+
+
+def cluster_json(paths: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One graph per cluster as JSON, undirected: its paths (path_id, cluster_id, read_id, path_info) and the similar pairs (path1, path2)."""
+    n = paths.withColumn("id", F.col("path_id").cast("string")).groupBy("cluster_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("path_id", F.struct(F.struct("id", "cluster_id", "read_id", "path_info").alias("data")).alias("x")))), lambda s: s["x"]).alias("nodes")
+    )
+    edge = F.struct(F.struct(F.col("path1").cast("string").alias("source"), F.col("path2").cast("string").alias("target")).alias("data")).alias("x")
+    e = pairs.join(paths.select(F.col("path_id").alias("path1"), "cluster_id"), "path1").groupBy("cluster_id")
+    e = e.agg(F.transform(F.array_sort(F.collect_list(F.struct("path1", "path2", edge))), lambda s: s["x"]).alias("edges"))
+    none = F.array().cast("array<struct<data:struct<source:string,target:string>>>")
+    parts = F.struct("nodes", F.coalesce("edges", none).alias("edges")).alias("elements")
+    whole = F.struct(F.array().cast("array<string>").alias("data"), F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), parts)
+    return n.join(e, "cluster_id", "left").select("cluster_id", F.to_json(whole).alias("line"))

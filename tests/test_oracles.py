@@ -8,9 +8,11 @@ import pytest
 
 from segmentry.plans import (  # noqa: F401  (they add to the tables of queries)
     absorb_queries,
+    cluster_queries,
     junction_queries,
     node_queries,
     path_queries,
+    realign_queries,
     rescue_queries,
     sequence_queries,
     splice_queries,
