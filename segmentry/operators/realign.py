@@ -106,7 +106,8 @@ def rescued_support(links: DataFrame, up: DataFrame, down: DataFrame, cap: int |
     n1 = one.groupBy("node1").agg(F.count("*").alias("n1"))
     two = links.select("link", "node1", "node2").join(down.select(F.col("node").alias("node2"), "read_id").distinct(), "node2").join(one, ["node1", "read_id"], "left_anti")
     n2 = two.groupBy("link").agg(F.count("*").alias("n2"))
-    most = lambda c: F.coalesce(F.least(F.col(c), F.lit(cap)) if cap is not None else F.col(c), F.lit(0))
+    number = lambda c: F.coalesce(c, F.lit(0))
+    most = lambda c: number(c) if cap is None else F.least(number(c), F.lit(cap))
     x = links.join(n1, "node1", "left").join(n2, "link", "left")
     return x.select("link", F.col("sr").alias("original_sr"), (F.col("sr") + most("n1") + most("n2")).alias("sr"))
 

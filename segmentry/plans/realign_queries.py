@@ -4,10 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.functions import cigar as C
-from segmentry.operators import graph, realign, rescue
+from segmentry.operators import realign, rescue
 from segmentry.operators import segments as S
-from segmentry.plans.junction_queries import _READS
-from segmentry.plans.queries import _CLIPS, _HOP, _SEG, _WITH, _segments, _total, query
+from segmentry.plans.queries import _HOP, _SEG, _WITH, _segments, _total, query
 from segmentry.plans.sequence_queries import _rc, _slice
 from segmentry.sources import adapters as A
 
@@ -28,7 +27,7 @@ def dim_transcriptome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.groupBy("species").agg(F.count("*").alias("reads")).join(F.broadcast(transcriptomes(spark)), "species", "left").select("species", "bases", "reads")
 
 
-@query(f"{_WITH}, {_DIM} select sum(n) as read_bases, cast(ceil(sum(n) / cast((select bases from dim where species = 'mouse') as double)) as bigint) as avg_cov from (select {_total('MIS')} as n from alignments)")
+@query(f"{_WITH}, {_DIM} select cast(sum(n) as bigint) as read_bases, cast(ceil(sum(n) / cast((select bases from dim where species = 'mouse') as double)) as bigint) as avg_cov from (select {_total('MIS')} as n from alignments)")
 def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases of reads over the length of the transcriptome."""
     total = A.alignments(spark, sf_dir).agg(F.sum(C.total(C.operations(F.col("cigar")), "MIS")).alias("read_bases"))
