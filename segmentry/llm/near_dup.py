@@ -205,12 +205,15 @@ def near_duplicates(
     some = sig.where("n > 0 and id is not null")
     members = stored(_with_least(some.select("id", "n", "s1", "s2"), ["s1", "s2", "n"]).withColumnRenamed("least", "rep").drop("size"), "members")
 
-    reps = some.join(members.where("id = rep").select("id", "s1", "s2", "n").distinct(), ["id", "s1", "s2", "n"], "left_semi")
-    reps = reps.groupBy("id").agg(F.min(F.struct("of", "n", "bands")).alias("r")).select("id", "r.*")
-    buckets = reps.select("id", "of", "n", F.explode("bands").alias("bucket"))
-    live = stored(_with_least(buckets, ["bucket"]).where("size > 1").withColumnRenamed("least", "hub").drop("salt"), "buckets")
+    own = some.join(members.where("id = rep").select("id", "s1", "s2", "n").distinct(), ["id", "s1", "s2", "n"], "left_semi")
+    reps = own.groupBy("id").agg(F.min(F.struct("of", "n", "bands")).alias("r")).select("id", "r.n", "r.bands")
+    buckets = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    # A hub is one row of its bucket, so adaptive execution can split the other side of a large one.
+    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    live = stored(buckets.join(hubs, "bucket"), "buckets")
+    chosen = own.groupBy("id").agg(F.min("of").alias("of")).join(live.select("id").distinct(), "id", "left_semi")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("of"))
-    texts = stored(texts.join(live.select("id", "of").distinct(), ["id", "of"], "left_semi").dropDuplicates(["id"]).drop("of"), "texts")
+    texts = stored(texts.join(chosen, ["id", "of"], "left_semi").dropDuplicates(["id"]).drop("of"), "texts")
 
     first = live.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
     first = stored(first, "pairs")
