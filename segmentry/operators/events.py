@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import cigar as C
 from segmentry.operators.ranges import range_join
+from segmentry.shared import stored
 
 
 def microhomology(hops: DataFrame) -> DataFrame:
@@ -35,20 +36,40 @@ def classify(hops: DataFrame) -> DataFrame:
     return x.withColumn("link", C.link_type(F.col("kind"), F.col("mode1"), F.col("mode2")))
 
 
-def supported(links: DataFrame) -> DataFrame:
-    """Reads behind each link; partial sums before the shuffle, so a hot link is no hot task."""
+#: Types of links that are events.
+SV_TYPES = ("TDUP", "INV", "TRA", "DEL", "IDUP")
+
+
+def filter_sv_types(links: DataFrame, kinds: tuple[str, ...] = SV_TYPES) -> DataFrame:
+    return links.where(F.col("kind").isin(*kinds))
+
+
+def supported(links: DataFrame, with_reads: bool = False) -> DataFrame:
+    """Reads behind each link, on wish their ids in order as a text; partial sums before the shuffle, so a hot link is no hot task."""
     keys = ["kind", "link", "chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2"]
-    return links.groupBy(keys).agg(F.count_distinct("read_id").alias("support"), F.min("read_id").alias("first_read"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_set("read_id")), lambda r: r.cast("string")), ",").alias("reads")
+    return links.groupBy(keys).agg(F.count_distinct("read_id").alias("support"), F.min("read_id").alias("first_read"), *([ids] if with_reads else []))
 
 
 def genes_at(points: DataFrame, genes: DataFrame, chrom: str, pos: str, name: str, margin: int = 5) -> DataFrame:
     """Add the sorted names of the genes over a position, joined by ``&``; INTERGENIC if there is none.
 
-    Distinct positions are looked up once, then joined back.
+    Distinct positions are looked up once, then joined back. The points are stored, as both read them.
     """
+    points = stored(points, "points")
     spots = points.select(F.col(chrom).alias("_c"), F.col(pos).alias("_p")).distinct()
     spans = genes.select("gene", F.col("chrom").alias("_gc"), (F.col("g_start") - margin).alias("_s"), (F.col("g_end") + margin).alias("_e"))
     hit = range_join(spots, spans, (F.col("_p") >= F.col("_s")) & (F.col("_p") < F.col("_e")), ("_c", "_gc"), ("_p", "_p"), ("_s", "_e"))
     names = hit.groupBy("_c", "_p").agg(F.array_join(F.array_sort(F.collect_set("gene")), "&").alias(name))
     out = points.join(names, (F.col(chrom) == F.col("_c")) & (F.col(pos) == F.col("_p")), "left").drop("_c", "_p")
     return out.withColumn(name, F.coalesce(name, F.lit("INTERGENIC")))
+
+
+def filter_same_exon(links: DataFrame, exons: DataFrame, boundary: int = 5) -> DataFrame:
+    """Links without those, but for translocations and deletions, both of whose breakpoints lie in one exon, ``boundary`` within its ends."""
+    inside = lambda p: (F.col(p) >= F.col("e_start") + boundary) & (F.col(p) < F.col("e_end") - boundary)
+    asked = links.where("kind not in ('TRA', 'DEL') and chrom1 = chrom2")
+    spots = asked.select("chrom1", "pos1", "pos2").distinct()
+    hit = range_join(spots, exons.select("chrom", "e_start", "e_end"), inside("pos1") & inside("pos2"), ("chrom1", "chrom"), ("pos1", "pos1"), ("e_start", "e_end"), width=1000).select("chrom1", "pos1", "pos2").distinct()
+    bad = asked.join(hit, ["chrom1", "pos1", "pos2"], "left_semi").select("read_id", "seg_ord1")
+    return links.join(bad, ["read_id", "seg_ord1"], "left_anti")

@@ -59,3 +59,9 @@ def downstream(segments: DataFrame, genome: DataFrame, length: int = 20) -> Data
     x = segments.withColumn("_ts", F.when(plus, F.col("ref_end")).otherwise(F.col("ref_start") - length)).withColumn("_te", F.col("_ts") + length)
     x = genome_slice(x, genome, "chrom", "_ts", "_te", "_tail")
     return x.withColumn("tail", stranded(F.col("_tail"), F.col("strand"))).drop("_ts", "_te", "_tail")
+
+
+def genuine_ends(segments: DataFrame, genome: DataFrame, share: float = 0.7, length: int = 20) -> DataFrame:
+    """Add ``genuine``: are at most ``share`` of the ``length`` bases after a segment A? More point to priming inside the transcript."""
+    x = downstream(segments, genome, length)
+    return x.withColumn("genuine", F.length("tail") - F.length(F.replace("tail", F.lit("A"), F.lit(""))) <= share * length).drop("tail")

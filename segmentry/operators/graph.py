@@ -50,3 +50,10 @@ def graph_ends(edges: DataFrame) -> DataFrame:
     src, dst = edges.select(F.col("src").alias("node")).distinct(), edges.select(F.col("dst").alias("node")).distinct()
     starts = src.join(dst, "node", "left_anti").withColumn("side", F.lit("start"))
     return starts.unionByName(dst.join(src, "node", "left_anti").withColumn("side", F.lit("end")))
+
+
+def weakly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """fam and whether its nodes (node_id, fam) are one component along the edges (src, dst); a node without edges is one of its own."""
+    parts = connected_components(edges, "src", "dst")
+    x = nodes.join(parts, nodes.node_id == parts.node, "left").select("fam", F.coalesce("component", "node_id").alias("label"))
+    return x.groupBy("fam").agg((F.count_distinct("label") == 1).alias("connected"))

@@ -35,6 +35,16 @@ def with_payload(hops: DataFrame) -> DataFrame:
     return x.withColumn("payload", kind).withColumn("payload_len", F.abs("gap")).withColumn("payload_score", score)
 
 
+def filter_microinsertion(hops: DataFrame, most: int = 500) -> DataFrame:
+    """Hops with at most ``most`` bases between their sides."""
+    return microhomology(hops).where(F.col("gap") <= most)
+
+
+def filter_max_insertion(hops: DataFrame, most: int = 50) -> DataFrame:
+    """Reads whose longest insertion at a junction has ``most`` bases or fewer, with its length."""
+    return microhomology(hops).groupBy("read_id").agg(F.max(F.greatest("gap", F.lit(0))).alias("longest")).where(F.col("longest") <= most)
+
+
 def filter_rt_switching(hops: DataFrame, most: int = 10) -> DataFrame:
     """Hops whose sides share ``most`` bases at most; more points to template switching."""
     return microhomology(hops).where(F.col("gap") >= -most)
@@ -100,9 +110,11 @@ def enumerate_paths(edges: DataFrame, least: int = 1) -> DataFrame:
     return out.select(F.array_join("way", "|").alias("path"), F.size("way").alias("n_nodes"), "circle")
 
 
-def best_hits(hits: DataFrame, key: str, score: Column, tie: str, top: int = 3) -> DataFrame:
-    """The ``top`` hits of each key by score, the best with a quality from 0 to 60 by its lead over the next."""
+def best_hits(hits: DataFrame, key: str, score: Column, tie: str, top: int = 3, identity: Column | None = None, over: float = 0.9) -> DataFrame:
+    """The ``top`` hits of each key by score with a quality from 0 to 60 by the lead over the next; of them those over an ``identity`` and on no patch contig."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), tie)
     x = hits.withColumn("score", score).withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where(F.col("rank") <= top)
     lead = F.least(F.floor(F.lit(60) * (F.col("score") - F.col("next")) / F.col("score")), F.lit(60))
+    if identity is not None:
+        x = x.where((identity > over) & ~F.col("chrom").contains("_"))
     return x.withColumn("hit_mapq", F.when(F.col("next").isNull(), 60).when(F.col("next") == F.col("score"), 0).otherwise(lead).cast("int"))

@@ -39,8 +39,15 @@ def filter_complete_chain(a: DataFrame, mapq: int = 22) -> DataFrame:
     return a.join(ok.select("read_id"), "read_id", "left_semi")
 
 
-def filter_primary(a: DataFrame, mapq: int = 30) -> DataFrame:
-    return a.where((F.col("seg_ord") == 0) & (F.col("mapq") >= mapq))
+def filter_primary(a: DataFrame, mapq: int = 20) -> DataFrame:
+    """Records whose ``flag`` is of a mapped alignment, neither secondary nor supplementary, with a quality of ``mapq`` or more and no other place (``xa``)."""
+    return a.where((F.col("flag").bitwiseAND(4 + 256 + 2048) == 0) & (F.col("mapq") >= mapq) & F.col("xa").isNull())
+
+
+def filter_min_node_len(a: DataFrame, least: int = 10) -> DataFrame:
+    """Reads whose shortest segment has exons of more than ``least`` bases, with that length."""
+    length = F.aggregate("exons", F.lit(0).cast("bigint"), lambda s, e: s + e["end"] - e["start"])
+    return a.groupBy("read_id").agg(F.min(length).alias("least")).where(F.col("least") > least)
 
 
 def filter_nm(a: DataFrame, most: int = 8) -> DataFrame:

@@ -115,12 +115,6 @@ def detect_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(F.split("path", r"\|")[0].alias("start")).agg(F.bool_or("circle").alias("has_circle"), F.count("*").alias("ways"))
 
 
-@query(f"{_GRAPH} select src, dst, sr from edges")
-def scan_graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges read back from the lines that ``sink_graph_json`` writes."""
-    return sinks.parse_graph_json(sinks.graph_json(graph.edges_of(_segments(spark, sf_dir))))
-
-
 _FAM = f"{_GRAPH}, f as (select distinct fam, node2 as node from n2), fe as (select fam, src, dst, sr from edges join f on f.node = src)"
 
 
@@ -130,6 +124,12 @@ def _families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return own, graph.edges_of(segs).join(own.withColumnRenamed("node", "src"), "src").select("fam", "src", "dst", "sr")
 
 
+@query(f"{_FAM} select fam, src, dst, sr from fe")
+def scan_graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges read back from the graphs that ``sink_nodelink_json`` writes."""
+    return sinks.parse_nodelink(sinks.nodelink_json(*_families(spark, sf_dir), "fam")).select(F.col("graph").alias("fam"), "src", "dst", "sr")
+
+
 @query(f"""{_FAM} select concat('{{"directed":true,"graph":', fam, ',"nodes":[', (select string_agg(concat('{{"id":"', node, '"}}'), ',' order by node) from f where f.fam = g.fam), '],"links":[',
  coalesce((select string_agg(concat('{{"source":"', src, '","target":"', dst, '","sr":', sr, '}}'), ',' order by src, dst) from fe where fe.fam = g.fam), ''), ']}}') as line from (select distinct fam from f) g""")
 def sink_nodelink_json(spark: SparkSession, sf_dir: str) -> DataFrame:

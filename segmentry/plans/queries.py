@@ -10,6 +10,7 @@ from segmentry.operators import events, graph
 from segmentry.operators import segments as S
 from segmentry.operators.ranges import range_join, union
 from segmentry.sources import adapters as A
+from segmentry.sources import sam
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +61,14 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WITH} select read_id, seg_ord, chrom, ref_start, strand, mapq, nm, cigar from alignments")
 def scan_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.alignments(spark, sf_dir).select("read_id", "seg_ord", "chrom", "ref_start", "strand", "mapq", "nm", "cigar")
+    """Lines of a SAM text, made of the alignments, read back; tags have the place in the read and the mismatches."""
+    text = lambda c: F.col(c).cast("string")
+    flag = (F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(F.col("seg_ord") > 0, 2048).otherwise(0)).cast("string")
+    fields = [text("read_id"), flag, "chrom", (F.col("ref_start") + 1).cast("string"), text("mapq"), "cigar", *(F.lit(c) for c in "*00**")]
+    lines = A.alignments(spark, sf_dir).select(F.concat_ws("\t", *fields, F.concat(F.lit("NM:i:"), text("nm")), F.concat(F.lit("ZO:i:"), text("seg_ord"))).alias("line"))
+    head = lines.limit(1).select(F.explode(F.array(F.lit("@HD\tVN:1.6\tSO:coordinate"), F.lit("cut\tshort"))).alias("line"))
+    tag = lambda name: F.col("tags")[name].cast("int")
+    return sam.parse_sam(lines.unionByName(head)).select(F.col("name").cast("bigint").alias("read_id"), tag("ZO").alias("seg_ord"), "chrom", "ref_start", "strand", "mapq", tag("NM").alias("nm"), "cigar")
 
 
 @query(f"{_WITH} select distinct chrom from alignments where not contains(chrom, '_') and not contains(chrom, 'M')")
@@ -99,16 +107,28 @@ def revcomp_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", C.reverse_complement(F.col("text")).alias("revcomp"))
 
 
-@query(f"{_SEG} select read_id, seg_ord, case when lt = rt then null when lt > rt then lt else rt end as clip_len, case when lt = rt then null when lt > rt then ref_start else ref_end end as anchor, case when lt = rt then null else mode end as mode from seg")
+@query(f"""{_SEG}, r as ({A.READS.replace("as string", "as varchar")}), t as (select seg.*, case when strand = '-' then reverse(translate(bases, 'ACGT', 'TGCA')) else bases end as turned from seg join r using (read_id))
+ select read_id, seg_ord, case when lt = rt then null when lt > rt then lt else rt end as clip_len, case when lt = rt then null when lt > rt then ref_start else ref_end end as anchor, case when lt = rt then null else mode end as mode,
+ case when lt = rt then null when lt > rt then left(turned, lt) else right(turned, rt) end as bases, rt as ms_len, ref_end as ms_anchor, lt as sm_len, ref_start as sm_anchor from t""")
 def softclip_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, tie = _segments(spark, sf_dir), F.col("lt") == F.col("rt")
+    """The longer clip of each segment with its bases, null where both are equal; then that of either side."""
+    s, tie = _segments(spark, sf_dir).join(A.reads(spark, sf_dir).select("read_id", "bases"), "read_id"), F.col("lt") == F.col("rt")
     left = F.col("lt") > F.col("rt")
-    return s.select("read_id", "seg_ord", F.when(~tie, F.greatest("lt", "rt")).alias("clip_len"), F.when(~tie, F.when(left, F.col("ref_start")).otherwise(F.col("ref_end"))).alias("anchor"), F.when(~tie, F.col("mode")).alias("mode"))
+    turned = F.when(F.col("strand") == "-", C.reverse_complement(F.col("bases"))).otherwise(F.col("bases"))
+    pick = lambda l, r: F.when(~tie, F.when(left, l).otherwise(r))  # noqa: E731, E741
+    return s.select(
+        "read_id", "seg_ord", pick(F.col("lt"), F.col("rt")).alias("clip_len"), pick(F.col("ref_start"), F.col("ref_end")).alias("anchor"), F.when(~tie, F.col("mode")).alias("mode"),
+        pick(F.left(turned, F.col("lt")), F.right(turned, F.col("rt"))).alias("bases"), F.col("rt").alias("ms_len"), F.col("ref_end").alias("ms_anchor"), F.col("lt").alias("sm_len"), F.col("ref_start").alias("sm_anchor"),
+    )
 
 
-@query(f"{_SEG} select read_id, seg_ord, mode from seg")
+@query(f"{_SEG} select a.read_id, a.seg_ord, a.mode, case when b.strand is null then null when (a.strand = b.strand) = (a.mode = 'MS') then 'SM' else 'MS' end as partner from seg a left join seg b on b.read_id = a.read_id and b.seg_ord = a.seg_ord + 1")
 def segment_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).select("read_id", "seg_ord", "mode")
+    """The mode of each segment, and the one that the next segment must have to go with it; null for the last."""
+    nxt = F.lead("strand").over(Window.partitionBy("read_id").orderBy("seg_ord"))
+    x = _segments(spark, sf_dir).withColumn("next", nxt)
+    other = F.when(F.col("mode") == "MS", "SM").otherwise("MS")
+    return x.select("read_id", "seg_ord", "mode", F.when(F.col("strand") == F.col("next"), other).when(F.col("next").isNotNull(), F.col("mode")).alias("partner"))
 
 
 @query(f"{_HOP} select read_id, seg_ord1, (strand1 = strand2) = (mode1 <> mode2) as valid from hop")
@@ -148,14 +168,22 @@ def breakpoint_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).select("read_id", "seg_ord", at(F.when(plus, F.col("ref_start")).otherwise(F.col("ref_end"))).alias("prev_bp"), at(F.when(plus, F.col("ref_end")).otherwise(F.col("ref_start"))).alias("next_bp"))
 
 
-@query(f"{_SEG}, n as (select read_id, seg_ord, node from (select *, concat(chrom, ':', exons, ':', strand) as node from seg)) select * from n")
+@query(f"""{_SEG} select read_id, seg_ord, concat(chrom, ':', exons, ':', strand) as node, concat(chrom, '_[', case when contains(cigar, 'N') then concat(ref_start + 100, '-', ref_start + 800) else '' end, ']') as merge_key,
+ concat_ws('-', chrom, ref_start, ref_end, strand, read_id) as unique_key, chrom as similar_key from seg""")
 def node_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nodes_of(_segments(spark, sf_dir)).select("read_id", "seg_ord", "node")
+    """Keys of nodes: all exons; introns only; the span and the read; the chromosome."""
+    n = graph.nodes_of(_segments(spark, sf_dir))
+    merge = F.concat("chrom", F.lit("_["), F.replace(C.text_of(C.gaps(F.col("exons"))), F.lit(";"), F.lit(",")), F.lit("]"))
+    unique = F.concat_ws("-", "chrom", F.col("ref_start").cast("string"), F.col("ref_end").cast("string"), "strand", F.col("read_id").cast("string"))
+    return n.select("read_id", "seg_ord", "node", merge.alias("merge_key"), unique.alias("unique_key"), F.col("chrom").alias("similar_key"))
 
 
-@query(f"{_WITH} select * exclude (fam) from (select read_id, seg_ord, mapq, fam from alignments where seg_ord = 0 and mapq >= 30)")
+@query(f"{_WITH} select read_id, seg_ord, mapq from alignments where seg_ord = 0 and mapq >= 25 and nm < 10 and read_id % 13 > 0")
 def filter_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.filter_primary(A.alignments(spark, sf_dir)).select("read_id", "seg_ord", "mapq")
+    """Many mismatches stand for secondary (11) and unmapped (10) records, every thirteenth read has other places."""
+    flag = F.when(F.col("seg_ord") > 0, 2048).otherwise(0) + F.when(F.col("nm") == 11, 256).when(F.col("nm") == 10, 4).otherwise(0)
+    x = A.alignments(spark, sf_dir).withColumn("flag", flag).withColumn("xa", F.when(F.col("read_id") % 13 == 0, "chr1,+5,9M,0;"))
+    return S.filter_primary(x, mapq=25).select("read_id", "seg_ord", "mapq")
 
 
 @query(f"{_WITH} select read_id, seg_ord, nm from alignments where case when seg_ord = 0 then nm <= 8 else nm < 8 end")
@@ -174,16 +202,23 @@ def filter_complete_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.filter_complete_chain(A.alignments(spark, sf_dir)).select("read_id", "seg_ord")
 
 
-@query(f"""{_SEG} select read_id, seg_ord from seg where read_id not in (select a.read_id from seg a join seg b on a.read_id = b.read_id and a.seg_ord < b.seg_ord
+@query(f"""{_SEG}, near as (select * exclude (ref_start, ref_end), ref_start - case when read_id % 4 = 0 then 5000 * seg_ord - read_id % 50 * seg_ord * 5 else 0 end as ref_start,
+   ref_end - case when read_id % 4 = 0 then 5000 * seg_ord - read_id % 50 * seg_ord * 5 else 0 end as ref_end from seg)
+ select read_id, seg_ord from near where read_id not in (select a.read_id from near a join near b on a.read_id = b.read_id and a.seg_ord < b.seg_ord
   where a.chrom = b.chrom and a.strand <> b.strand and (abs(a.ref_start - b.ref_start) <= 20 or abs(a.ref_end - b.ref_end) <= 20
   or ((abs(a.ref_start - b.ref_start) between 21 and 199 or abs(a.ref_end - b.ref_end) between 21 and 199) and abs(a.mapq - b.mapq) > 10)))""")
 def filter_rt_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.filter_rt_artifact(_segments(spark, sf_dir)).select("read_id", "seg_ord")
+    """Segments of every fourth read are moved to its first locus, as the data have none that close. Mapping quality stands for base quality."""
+    by = F.when(F.col("read_id") % 4 == 0, 5000 * F.col("seg_ord") - F.col("read_id") % 50 * F.col("seg_ord") * 5).otherwise(0)
+    x = _segments(spark, sf_dir).withColumn("ref_start", F.col("ref_start") - by).withColumn("ref_end", F.col("ref_end") - by)
+    return S.filter_rt_artifact(x).select("read_id", "seg_ord")
 
 
-@query(f"{_HOP} select read_id, seg_ord1, kind from link where kind in ('TDUP', 'INV', 'TRA', 'DEL', 'IDUP')")
+@query(f"{_HOP} select read_id, seg_ord1, kind from link where kind in ('TDUP', 'INV', 'TRA', 'DEL', 'IDUP') and read_id % 17 > 0")
 def filter_sv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(spark, sf_dir).where(F.col("kind").isin("TDUP", "INV", "TRA", "DEL", "IDUP")).select("read_id", "seg_ord1", "kind")
+    """Hops of every seventeenth read are given a type that isn't kept."""
+    x = _links(spark, sf_dir).withColumn("kind", F.when(F.col("read_id") % 17 == 0, "BND").otherwise(F.col("kind")))
+    return events.filter_sv_types(x).select("read_id", "seg_ord1", "kind")
 
 
 @query(f"{_HOP} select read_id, count(*) as hops from link group by 1 having not bool_and(kind = 'DEL')")
@@ -192,10 +227,10 @@ def filter_not_all_del(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.where("not all_del").select("read_id", "hops")
 
 
-@query(f"{_SEG} select read_id, min({_total('MD')}) as least from seg group by 1 having min({_total('MD')}) > 203")
+@query(f"{_SEG} select read_id, cast(min({_total('MD')}) as bigint) as least from seg group by 1 having min({_total('MD')}) > 203")
 def filter_min_node_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = C.operations(F.col("cigar"))
-    return A.alignments(spark, sf_dir).groupBy("read_id").agg(F.min(C.total(ops, "MD")).alias("least")).where("least > 203")
+    """The data's segments are long, so 203 stands for the limit."""
+    return S.filter_min_node_len(_segments(spark, sf_dir), 203)
 
 
 @query(f"""{_WITH}, c as (select *, case when strand = '+' then lt else rt end as q_at from alignments),
@@ -220,9 +255,10 @@ def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.segment_identity(A.alignments(spark, sf_dir)).select("read_id", "seg_ord", "identity")
 
 
-@query(f"{_HOP} select kind, link, chrom1, pos1, strand1, chrom2, pos2, strand2, count(distinct read_id) as support, min(read_id) as first_read from link group by all")
+@query(f"{_HOP} select kind, link, chrom1, pos1, strand1, chrom2, pos2, strand2, count(distinct read_id) as support, min(read_id) as first_read, string_agg(distinct read_id, ',' order by read_id) as reads from link group by all")
 def agg_link_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.supported(_links(spark, sf_dir))
+    """Support of each link with the list of its reads."""
+    return events.supported(_links(spark, sf_dir), with_reads=True)
 
 
 _GENE = "genes as (select gene, chrom, min(e_start) as g_start, max(e_end) as g_end from exons group by gene, chrom, floor(e_start / 5000))"
@@ -267,9 +303,12 @@ def interval_overlap_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("tx1", "no1", "tx2", "no2", F.greatest("s1", "s2").alias("o_start"), F.least("e1", "e2").alias("o_end"), F.least("s1", "s2").alias("u_start"), F.greatest("e1", "e2").alias("u_end"))
 
 
-@query(f"with exons as ({A.EXONS}) select {_PAIR} from exons a join exons b on a.chrom = b.chrom and a.tx <> b.tx and a.e_start <= b.e_start and b.e_end <= a.e_end")
+@query(f"with exons as ({A.EXONS}) select {_PAIR}, a.e_start = b.e_start as same_left, a.e_end = b.e_end as same_right, a.e_start = b.e_start and a.e_end = b.e_end as equal from exons a join exons b on a.chrom = b.chrom and a.tx <> b.tx and a.e_start <= b.e_start and b.e_end <= a.e_end")
 def interval_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exon_pairs(spark, sf_dir, (F.col("tx1") != F.col("tx2")) & (F.col("s1") <= F.col("s2")) & (F.col("e2") <= F.col("e1"))).select("tx1", "no1", "tx2", "no2")
+    """Intervals in closed ones, and which of their ends are the same."""
+    x = _exon_pairs(spark, sf_dir, (F.col("tx1") != F.col("tx2")) & (F.col("s1") <= F.col("s2")) & (F.col("e2") <= F.col("e1")))
+    left, right = F.col("s1") == F.col("s2"), F.col("e1") == F.col("e2")
+    return x.select("tx1", "no1", "tx2", "no2", left.alias("same_left"), right.alias("same_right"), (left & right).alias("equal"))
 
 
 @query(f"""with exons as ({A.EXONS}), f as (select *, case when e_start <= max(e_end) over (partition by chrom order by e_start, e_end rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from exons),

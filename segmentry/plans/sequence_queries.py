@@ -50,10 +50,9 @@ def filter_canonical_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
  t as (select *, case when strand = '+' then {_slice('ref_end', 'ref_end + 20')} else {_rc(_slice('ref_start - 20', 'ref_start'))} end as tail from x)
  select chrom, strand, ref_start, ref_end, len(tail) - len(replace(tail, 'A', '')) <= 6 as genuine from t""")
 def filter_polya(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is an end genuine: are at most three tenths of the 20 bases after it A? Null where the genome has none there."""
+    """Is an end genuine, or null where the genome has no bases after it? The data have no runs of A, so a share of 0.3 stands for the limit."""
     nodes = _segments(spark, sf_dir).select("chrom", "strand", "ref_start", "ref_end").distinct()
-    x = G.downstream(nodes, A.genome(spark, sf_dir))
-    return x.select("chrom", "strand", "ref_start", "ref_end", (F.length("tail") - F.length(F.replace("tail", F.lit("A"), F.lit(""))) <= 6).alias("genuine"))
+    return G.genuine_ends(nodes, A.genome(spark, sf_dir), share=0.3).select("chrom", "strand", "ref_start", "ref_end", "genuine")
 
 
 _SITES = f"""sites as (select distinct chrom, e_start - 5 as s_start, e_start + 5 as s_end, case when exon_no = 0 then 'XX' when strand = '+' then 'AG' else 'AC' end as motif from exons

@@ -66,3 +66,16 @@ def cluster_json(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     parts = F.struct("nodes", F.coalesce("edges", none).alias("edges")).alias("elements")
     whole = F.struct(F.array().cast("array<string>").alias("data"), F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), parts)
     return n.join(e, "cluster_id", "left").select("cluster_id", F.to_json(whole).alias("line"))
+
+
+def parse_nodelink(lines: DataFrame) -> DataFrame:
+    """Edges (graph, src, dst, sr) of lines of node-link JSON; lines that are none give none."""
+    x = lines.select(F.from_json("line", "graph bigint, links array<struct<source:string,target:string,sr:bigint>>").alias("x"))
+    return x.select("x.graph", F.explode("x.links").alias("e")).select("graph", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.sr")
+
+
+def parse_cytoscape(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id) and edges (src, dst) of lines of Cytoscape JSON."""
+    x = lines.select(F.from_json("line", "elements struct<nodes:array<struct<data:struct<id:string>>>,edges:array<struct<data:struct<source:string,target:string>>>>").alias("x"))
+    nodes = x.select(F.explode("x.elements.nodes").alias("n")).select("n.data.id")
+    return nodes, x.select(F.explode("x.elements.edges").alias("e")).select(F.col("e.data.source").alias("src"), F.col("e.data.target").alias("dst"))
