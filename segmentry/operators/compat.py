@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import cigar as C
 from segmentry.operators.ranges import range_join
+from segmentry.shared import stored
 
 
 def oriented(nodes: DataFrame) -> DataFrame:
@@ -133,11 +134,32 @@ def mid_mid(a: Side, b: Side, tolerance: int) -> Column:
 RULES = {("HEAD", "HEAD"): head_head, ("TAIL", "TAIL"): tail_tail, ("HEAD", "TAIL"): head_tail, ("HEAD", "MID"): head_mid, ("TAIL", "MID"): tail_mid, ("MID", "MID"): mid_mid}
 
 
+def _met(x: DataFrame, kind: tuple[str, str], tolerance: int) -> DataFrame:
+    """Pairs (a, b) of nodes of these identities that may be one: by equal exons, ends where a junction is in neighbouring bins, or overlap."""
+    one = x.where(F.col("ident") == kind[0]).select("chrom", "strand", F.struct("*").alias("a"))
+    two = x.where(F.col("ident") == kind[1]).select("chrom", "strand", F.struct("*").alias("b"))
+    if kind == ("MID", "MID"):
+        return one.withColumn("_o", F.col("a.o")).join(two.withColumn("_o", F.col("b.o")), ["chrom", "strand", "_o"]).select("a", "b")
+    if kind == ("HEAD", "TAIL"):
+        one = one.select(F.concat("chrom", "strand").alias("_k1"), "a", F.col("a.start").alias("_p"))
+        two = two.where("not b.genuine").select(F.concat("chrom", "strand").alias("_k2"), "b", F.col("b.start").alias("_s"), F.col("b.end").alias("_e"))
+        return range_join(one, two, (F.col("_s") <= F.col("_p")) & (F.col("_p") < F.col("_e")), ("_k1", "_k2"), ("_p", "_p"), ("_s", "_e"), width=2000).select("a", "b")
+    end = "end" if kind[0] == "HEAD" else "start"
+    at = lambda side, by: F.floor(F.col(f"{side}.{end}") / (tolerance + 1)) + by
+    two = two.withColumn("_bin", F.explode(F.array(*(at("b", by) for by in (-1, 0, 1)))))
+    return one.withColumn("_bin", at("a", 0)).join(two, ["chrom", "strand", "_bin"]).select("a", "b")
+
+
 def compatible(nodes: DataFrame, tolerance: int = 10, kinds: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Pairs of nodes that are one, by the rule of their identities: node1, node2, kind1, kind2; equal kinds with the smaller id first."""
-    a, b, rule = Side("a"), Side("b"), F.lit(None).cast("boolean")
+    """Pairs of nodes that are one, by the rule of their identities: node1, node2, kind1, kind2; equal kinds with the smaller id first.
+
+    Each rule has its own equi-join, so nodes of a locus that can't be one by it don't meet.
+    """
+    a, b, out = Side("a"), Side("b"), None
+    x = stored(oriented(nodes), "nodes")
     for kind in kinds or list(RULES):
-        here = (a.ident == kind[0]) & (b.ident == kind[1])
-        rule = F.coalesce(F.when(here & ((a.node_id < b.node_id) if kind[0] == kind[1] else F.lit(True)), RULES[kind](a, b, tolerance)), rule)
-    pairs = near_node_pairs(nodes, tolerance).where(rule)
-    return pairs.select(a.node_id.alias("node1"), b.node_id.alias("node2"), a.ident.alias("kind1"), b.ident.alias("kind2"))
+        order = (a.node_id < b.node_id) if kind[0] == kind[1] else (a.node_id != b.node_id)
+        pairs = _met(x, kind, tolerance).where(order & RULES[kind](a, b, tolerance))
+        pairs = pairs.select(a.node_id.alias("node1"), b.node_id.alias("node2"), a.ident.alias("kind1"), b.ident.alias("kind2"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out

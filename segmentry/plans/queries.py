@@ -10,6 +10,7 @@ from segmentry.operators import events, graph
 from segmentry.operators import segments as S
 from segmentry.operators.ranges import range_join, union
 from segmentry.sources import adapters as A
+from segmentry.shared import stored
 from segmentry.sources import sam
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,7 +345,7 @@ def agg_chimeric_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_HOP}, d as (select distinct chrom1, pos1 from link) select chrom1, pos1, count(s.read_id) as depth from d left join seg s on s.chrom = d.chrom1 and s.ref_start < d.pos1 + 1 and s.ref_end > d.pos1 - 1 group by 1, 2")
 def agg_breakpoint_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads over each breakpoint. Equal segments are counted first, so the join sees them once."""
-    spots = _links(spark, sf_dir).select("chrom1", "pos1").distinct()
+    spots = stored(_links(spark, sf_dir).select("chrom1", "pos1").distinct(), "spots")
     spans = _segments(spark, sf_dir).groupBy("chrom", "ref_start", "ref_end").agg(F.count("*").alias("n"))
     hit = range_join(spots, spans, (F.col("ref_start") < F.col("pos1") + 1) & (F.col("ref_end") > F.col("pos1") - 1), ("chrom1", "chrom"), ("pos1", "pos1"), ("ref_start", "ref_end"))
     depth = hit.groupBy("chrom1", "pos1").agg(F.sum("n").alias("depth"))
