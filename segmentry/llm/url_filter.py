@@ -51,10 +51,13 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def _runs(text: Column, order: int) -> Column:
-    """All runs of 1 to order + 1 characters that end at each character, the text between marks."""
+    """All runs of 1 to order + 1 characters that end at each character, the text between marks. The array of characters is made once and read by place, so time is linear."""
     chars = F.concat(F.array(*[F.lit(_START)] * order), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("\u0003")))
-    ends = F.sequence(F.lit(order + 1), F.size(chars))
-    return F.flatten(F.transform(ends, lambda i: F.array(*(F.array_join(F.slice(chars, i - k, F.lit(k + 1)), "") for k in range(order + 1)))))
+
+    def ending(cs: Column, i: Column) -> Column:
+        return F.array(*(F.concat(*(F.get(cs, i - j) for j in range(k, -1, -1))) for k in range(order + 1)))
+
+    return F.transform(F.array(chars), lambda cs: F.flatten(F.transform(F.sequence(F.lit(order), F.size(cs) - 1), lambda i: ending(cs, i))))[0]
 
 
 def _model(runs: DataFrame, order: int) -> tuple[DataFrame, float, float]:
