@@ -12,6 +12,7 @@ of a task one witness travels, and a document sends a key once with all its plac
 documents share it and however often one repeats it.
 """
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from segmentry.llm.wordhash import byte_values, gram_hashes, hash_words, mix, text_blocks
 from segmentry.shared import stored
 
+#: A word with the white space before it.
+_SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 #: Keys that a task gathers before it pre-aggregates them; bounds its memory, not the result.
 FLUSH = 2_000_000
 
@@ -181,13 +184,16 @@ def _windows(window: int, seed: int):
     return run
 
 
-def _kept(window: int):
+def _kept(window: int, spaced: bool):
+    """The words that stay, joined by one space, or (``spaced``) each with the white space before it, where words were removed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lows, lengths, more = batch.column(1), batch.column(2), batch.column(3), batch.column(4)
             out, n, gone = [], [], []
             for i in range(batch.num_rows):
-                words = (texts[i].as_py() or b"").split()
+                text = texts[i].as_py() or b""
+                words = text.split()
                 if lows[i].is_valid:
                     edge = np.zeros(len(words) + 1, np.int32)
                     s, k = lows[i].values.to_numpy(), lengths[i].values.to_numpy()
@@ -198,9 +204,13 @@ def _kept(window: int):
                     np.add.at(edge, np.minimum(s + window, len(words)), -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                    if spaced:
+                        out.append(b"".join(w for w, k in zip(_SPACED.findall(text), keep.tolist(), strict=True) if k).lstrip())
+                    else:
+                        out.append(b" ".join(kept))
                 else:
                     kept = words
-                out.append(b" ".join(kept))
+                    out.append(text if spaced else b" ".join(kept))
                 n.append(len(words))
                 gone.append(len(words) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["id", "kept_text", "n_words", "n_removed"])
@@ -208,12 +218,12 @@ def _kept(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, spaced: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``kept_text``, ``n_words``, ``n_removed``.
 
     A word goes if a window of ``window`` words that covers it also starts, word for word,
     in a document with a smaller id; windows are those of the input. The kept words
-    are joined by one space. Null, empty and blank texts give an empty text and 0
+    are joined by one space; with ``spaced`` each keeps the white space before it, and texts that lose nothing stay as they are. Null, empty and blank texts give an empty text and 0
     words; texts shorter than a window stay whole. Rows that repeat an id are never
     held against each other. A row with a null id stays whole and is no
     one's earlier document. An empty table gives no rows. Texts are hashed in blocks of a few megabytes or one longer text. Other
@@ -239,5 +249,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str
     out = dealt.join(covered, ["id", "fp"], "left").select("id", "text", "runs.start", "runs.length", "more")
     nameless = base.where("id is null").select("id", "text", *(F.lit(None).cast("array<int>").alias(c) for c in ("start", "length", "more")))
     out = out.unionByName(nameless)
-    out = out.mapInArrow(_kept(window), "id long, kept_text binary, n_words long, n_removed long")
+    out = out.mapInArrow(_kept(window, spaced), "id long, kept_text binary, n_words long, n_removed long")
     return out.select(F.col("id").alias(id_col), F.col("kept_text").cast("string").alias("kept_text"), "n_words", "n_removed")

@@ -91,6 +91,9 @@ def test_remove_repeats(spark, docs, empty):
         w = words[r.doc_id]
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < r.doc_id for j in range(k, k + 13)}
         assert r.kept_text.split() == [x for j, x in enumerate(w) if j not in gone] and r.n_removed == len(gone)
+    passage = " ".join(map(str, range(20)))
+    lines = spark.createDataFrame([(1, passage), (2, f"a\n b\t{passage}\n\nc  d\n")], "doc_id long, text string")
+    assert sorted(r.kept_text for r in remove_repeats(lines, spaced=True).collect()) == [passage, "a\n b\n\nc  d"][::1]
     long = " ".join(map(str, range(20)))
     same = spark.createDataFrame([(None, long), (None, long), (1, long), (1, long)], "doc_id long, text string")
     assert [r.n_removed for r in remove_repeats(same).collect()] == [0] * 4
@@ -441,6 +444,25 @@ def test_held_out_rule(docs, spark):
         assert r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def test_clashing_names_nulls_ties_and_long_texts(spark):
+    long = "<p>never closed " + "long text idiot " * 60_000
+    rows = [(None, None, None, None, 1), (20, None, "", [1.0, 2.0], 1), (20, "b idiot", "", [1.0, 2.0], 0), (40, long, "http://b.net/" + "z" * 90_000, [2.0, 1.0], 0), (60, "", "http://a.com/" + "x" * 50_000, [2.0, 1.0], None), (100, "y", "y", [-1.0, 0.5], 1)]
+    wide = spark.createDataFrame([(*r, "x", "x", "x", 5, 5) for r in rows], "key long, body string, link string, v array<double>, mark int, id string, text string, url string, cell long, host long")
+    labels = wide.selectExpr("key", "mark", "'x' as y", "'x' as text")
+    for score in (quality_scores, toxicity_scores):
+        got = score(wide, labels, id_col="key", text_col="body", label_col="mark").collect()
+        assert sorted(str(r.key) for r in got) == sorted(str(r[0]) for r in rows) and all(0 <= r.score <= 1 for r in got)
+    got = url_verdicts(wide, id_col="key", url_col="link").collect()
+    assert sorted(str(r.key) for r in got) == sorted(str(r[0]) for r in rows) and all(r.verdict in ("allow", "block") for r in got)
+    got = main_text(wide, id_col="key", url_col="link", html_col="body").collect()
+    assert sorted(r.n_chars for r in got) == sorted([0, 0, 7, len("never closed " + "long text idiot " * 60_000) - 1, 0, 1])
+    assert {(r.query_id, r.vec_id) for r in exact_top_k(wide, id_col="key", vector_col="v", every=20).collect()} == {(q, v) for q in (20, 40, 60, 100) for v in (20, 40, 60, 100) if q != v}
+    assert {(r.query_id, r.vec_id) for r in nearest(wide, id_col="key", vector_col="v").collect()} == {(q, v) for q in (20, 40, 60, 100) for v in (20, 40, 60, 100) if q != v}
+    assert mixed(wide, id_col="key", text_col="body", source_col="link").where("epoch = 0").count() == 6
+    assert pack_documents(wide, RANKS, id_col="key", text_col="body").where("piece = 0").count() == 6
+    assert near_duplicates(wide, id_col="key", text_col="body").count() == 6 and remove_repeats(wide, id_col="key", text_col="body").count() == 6
+
+
 def test_digest(docs):
     row = remove_repeats(docs).where("doc_id = 3").select("kept_text", F.sha2(F.col("kept_text").cast("binary"), 256).alias("h")).first()
     assert row.h == hashlib.sha256(row.kept_text.encode()).hexdigest()
