@@ -1,7 +1,9 @@
 """A corpus pipeline over ``documents``: quality, near duplicates, repeated passages, mixing, packing.
 
 Every row is a document of its own, also where its doc_id is null or repeats. A key ``row``, made once
-before the first stage, follows the order of the ids, nulls last; decisions are mapped back by it.
+before the first stage, follows the order of the ids, nulls last; decisions are mapped back by it. A null text is an empty one: the classifier judges it, it
+is no one's copy, and the other stages keep it. An empty table gives an empty one at every stage. Columns beside ``COLUMNS`` are left out, whatever their
+names. How long texts are borne the operators state.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +43,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words or more that an earlier row has; unchanged where nothing repeats, gone where nothing is left."""
+    """Texts without passages of 50 words or more that an earlier row has; white space and texts without repeats stay as they are, a text of which nothing is left is gone.
+
+    Rows that repeat an id, or have none, are documents of their own here too.
+    """
     docs = keyed(docs)
-    changed = remove_repeats(docs, window=50, seed=20, id_col="row").where("n_removed > 0").select("row", "kept_text")
+    changed = remove_repeats(docs, window=50, seed=20, spaced=True, id_col="row").where("n_removed > 0").select("row", "kept_text")
     text = F.coalesce("kept_text", "text")
     out = docs.join(changed, "row", "left").where("kept_text is null or kept_text <> ''")
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, "row")
