@@ -76,14 +76,16 @@ def most_voted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def links_with_paths(links: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each link with its reads counted and the ids of its paths, joined by commas."""
+    """Each link with its reads counted and listed, and the ids of its paths, joined by commas. A read has one path, so lists of different paths are disjoint."""
     paths = nodes_of(segments).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("seg_ord", "node"))).alias("steps"))
     paths = paths.withColumn("path", F.xxhash64(F.transform("steps", lambda s: s["node"]))).select("read_id", "path")
     ids = paths.groupBy("path").agg(F.min("read_id").alias("path_id"))
     keys = ["link", "chrom1", "pos1", "chrom2", "pos2"]
     # Reads are counted per link and path first, so a link has one row for each of its paths.
-    per = links.join(paths, "read_id").groupBy(*keys, "path").agg(F.count_distinct("read_id").alias("n")).join(ids, "path")
-    return per.groupBy(*keys).agg(F.sum("n").alias("sr"), F.array_join(F.transform(F.array_sort(F.collect_set("path_id")), lambda p: p.cast("string")), ",").alias("paths"))
+    per = links.join(paths, "read_id").groupBy(*keys, "path").agg(F.collect_set("read_id").alias("own")).join(ids, "path")
+    text = lambda c: F.array_join(F.transform(F.array_sort(c), lambda p: p.cast("string")), ",")
+    out = per.groupBy(*keys).agg(F.flatten(F.collect_list("own")).alias("own"), text(F.collect_set("path_id")).alias("paths"))
+    return out.select(*keys, F.size("own").cast("long").alias("sr"), "paths", text("own").alias("sr_ids"))
 
 
 def enumerate_paths(edges: DataFrame, least: int = 1) -> DataFrame:

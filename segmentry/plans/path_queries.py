@@ -155,8 +155,8 @@ def agg_edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("fam", "kind", "chrom1", "strand1", "chrom2", "strand2", one.alias("pos1"), two.alias("pos2"), "sr")
 
 
-_VCF = f"""{_HOP}, {_PATHS}, l as (select link, chrom1, pos1, chrom2, pos2, count(distinct link.read_id) as sr, string_agg(distinct s.path_id, ',' order by s.path_id) as paths
- from link join p using (read_id) join s using (path) group by all)"""
+_VCF = f"""{_HOP}, {_PATHS}, l as (select link, chrom1, pos1, chrom2, pos2, count(distinct link.read_id) as sr, string_agg(distinct s.path_id, ',' order by s.path_id) as paths,
+ string_agg(distinct link.read_id, ',' order by link.read_id) as sr_ids from link join p using (read_id) join s using (path) group by all)"""
 
 
 @query(f"{_VCF} select * from l")
@@ -164,9 +164,12 @@ def agg_links_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.links_with_paths(_links(spark, sf_dir), _segments(spark, sf_dir))
 
 
-@query(f"{_VCF} select concat_ws(chr(9), chrom1, pos1, '.', 'N', concat('<', link, '>'), '.', 'PASS', concat('SVTYPE=', link, ';CHR2=', chrom2, ';SVEND=', pos2, ';SR=', sr, ';TRANSCRIPT_ID=', paths)) as line from l")
+@query(f"""{_VCF} select concat_ws(chr(9), chrom1, pos1, '.', 'N', concat('<', link, '>'), '.', 'PASS', concat('SVTYPE=', link, ';CHR2=', chrom2, ';SVEND=', pos2, ';SR=', sr, ';OSR=', sr, ';SR_ID=', sr_ids, ';TRANSCRIPT_ID=', paths)) as line from l
+ union all select concat('##contig=<ID=', chrom, '>') from (select distinct chrom from alignments) union all select concat('##ALT=<ID=', link, ',Description="Link">') from (select distinct link from l)
+ union all select '##fileformat=VCFv4.2' union all select concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO')""")
 def sink_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.vcf_lines(paths.links_with_paths(_links(spark, sf_dir), _segments(spark, sf_dir)))
+    """Header lines and a record of each link."""
+    return sinks.vcf_lines(paths.links_with_paths(_links(spark, sf_dir), _segments(spark, sf_dir)), A.alignments(spark, sf_dir).select("chrom").distinct())
 
 
 @query(f"""{_SEG}, u as (select distinct node, chrom, strand, exons from node), x as (select *, unnest(string_split(exons, ';')) as e, unnest(range(0, len(string_split(exons, ';')))) as p, len(string_split(exons, ';')) as n from u)

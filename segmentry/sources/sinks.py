@@ -13,10 +13,15 @@ def gtf_lines(nodes: DataFrame) -> DataFrame:
     return x.select(F.concat_ws("\t", "chrom", F.lit("segmentry"), F.lit("exon"), (F.col("exon.start") + 1).cast("string"), F.col("exon.end").cast("string"), F.lit("."), "strand", F.lit("."), about).alias("line"))
 
 
-def vcf_lines(links: DataFrame) -> DataFrame:
-    """One record per link (link, chrom1, pos1, chrom2, pos2, sr, paths)."""
-    info = F.concat(F.lit("SVTYPE="), "link", F.lit(";CHR2="), "chrom2", F.lit(";SVEND="), F.col("pos2").cast("string"), F.lit(";SR="), F.col("sr").cast("string"), F.lit(";TRANSCRIPT_ID="), "paths")
-    return links.select(F.concat_ws("\t", "chrom1", F.col("pos1").cast("string"), F.lit("."), F.lit("N"), F.concat(F.lit("<"), "link", F.lit(">")), F.lit("."), F.lit("PASS"), info).alias("line"))
+def vcf_lines(links: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Header lines for the contigs (chrom) and types, and one record per link (link, chrom1, pos1, chrom2, pos2, sr, sr_ids, paths)."""
+    text = lambda name, c: F.concat(F.lit(f";{name}="), F.col(c).cast("string"))
+    info = F.concat(F.lit("SVTYPE="), "link", *(text(n, c) for n, c in (("CHR2", "chrom2"), ("SVEND", "pos2"), ("SR", "sr"), ("OSR", "sr"), ("SR_ID", "sr_ids"), ("TRANSCRIPT_ID", "paths"))))
+    body = links.select(F.concat_ws("\t", "chrom1", F.col("pos1").cast("string"), F.lit("."), F.lit("N"), F.concat(F.lit("<"), "link", F.lit(">")), F.lit("."), F.lit("PASS"), info).alias("line"))
+    head = contigs.select(F.concat(F.lit("##contig=<ID="), "chrom", F.lit(">")).alias("line"))
+    kinds = links.select("link").distinct().select(F.concat(F.lit("##ALT=<ID="), "link", F.lit(',Description="Link">')).alias("line"))
+    fixed = links.sparkSession.createDataFrame([("##fileformat=VCFv4.2",), ("\t".join(("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO")),)], "line string")
+    return fixed.unionByName(head).unionByName(kinds).unionByName(body)
 
 
 def graph_json(edges: DataFrame) -> DataFrame:
