@@ -172,11 +172,20 @@ def sink_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.vcf_lines(paths.links_with_paths(_links(spark, sf_dir), _segments(spark, sf_dir)), A.alignments(spark, sf_dir).select("chrom").distinct())
 
 
-@query(f"""{_SEG}, u as (select distinct node, chrom, strand, exons from node), x as (select *, unnest(string_split(exons, ';')) as e, unnest(range(0, len(string_split(exons, ';')))) as p, len(string_split(exons, ';')) as n from u)
- select concat_ws(chr(9), chrom, 'segmentry', 'exon', cast(split_part(e, '-', 1) as bigint) + 1, split_part(e, '-', 2), '.', strand, '.',
-  concat('segment_id "', node, '"; exon_id "', lpad(cast(case when strand = '-' then n - p else p + 1 end as varchar), 3, '0'), '";')) as line from x""")
+@query(f"""{_GRAPH}, p as (select read_id, fam, string_agg(node2, '|' order by seg_ord) as path from n2 group by 1, 2), s as (select path, fam, min(read_id) as path_id from p group by 1, 2),
+ st as (select path_id, fam, unnest(string_split(path, '|')) as node, unnest(range(0, len(string_split(path, '|')))) as i from s),
+ sup as (select a.path_id, min(sr) as sr from st a join st b on a.path_id = b.path_id and b.i = a.i + 1 join edges on src = a.node and dst = b.node group by 1),
+ cl as (select fam, count(*) as n from s group by 1), tr as (select node, count(distinct path_id) as ptc, count(distinct path_id) / cast(max(n) as double) as ptf from st join cl using (fam) group by 1),
+ u as (select distinct node2 as node, chrom, strand, exons from n2), x as (select path_id, u.*, ptc, ptf, unnest(string_split(exons, ';')) as e, unnest(range(0, len(string_split(exons, ';')))) as k, len(string_split(exons, ';')) as n from st join u using (node) join tr using (node))
+ select concat_ws(chr(9), '.', 'segmentry', 'transcript', '.', '.', '.', '.', '.', concat('transcript_id "', path_id, '"; sr "', sr, '"; osr "', sr, '";')) as line from sup
+ union all select concat_ws(chr(9), chrom, 'segmentry', 'exon', cast(split_part(e, '-', 1) as bigint) + 1, split_part(e, '-', 2), '.', strand, '.',
+  concat('transcript_id "', path_id, '"; segment_id "', node, '"; exon_id "', lpad(cast(case when strand = '-' then n - k else k + 1 end as varchar), 3, '0'), '"; ptc "', ptc, '"; ptf "', printf('%.9f', ptf), '";')) from x""")
 def sink_gtf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.gtf_lines(graph.nodes_of(_segments(spark, sf_dir)).select("node", "chrom", "strand", "exons").distinct())
+    """Transcripts with their support, and their exons with how many paths of the cluster go through the node."""
+    segs = _segments(spark, sf_dir)
+    nodes = graph.nodes_of(segs).select("node", "chrom", "strand", "exons").distinct()
+    steps = paths.path_steps(segs).join(nodes, "node").join(agg_traversal(spark, sf_dir), "node")
+    return sinks.gtf_lines(paths.path_support(segs, graph.edges_of(segs)).select("path_id", "sr"), steps)
 
 
 @query(f"""{_GRAPH} select concat('{{"src":"', src, '","edges":[', string_agg(concat('{{"dst":"', dst, '","sr":', sr, '}}'), ',' order by dst), ']}}') as line from edges group by src""")

@@ -4,13 +4,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def gtf_lines(nodes: DataFrame) -> DataFrame:
-    """Exon lines of the nodes (node, chrom, strand, exons): 1-based starts, exons numbered on the strand."""
-    n = F.size("exons")
-    x = nodes.select("*", n.alias("n"), F.posexplode("exons").alias("p", "exon"))
+def gtf_lines(transcripts: DataFrame, steps: DataFrame) -> DataFrame:
+    """A line of each transcript (path_id, sr) and the exon lines of its nodes (path_id, place, node, chrom, strand, exons, ptc, ptf): 1-based starts, exons numbered on the strand."""
+    tag = lambda name, c: F.concat(F.lit(f'{name} "'), c.cast("string"), F.lit('"'))
+    about = lambda *tags: F.concat(F.concat_ws("; ", *tags), F.lit(";"))
+    dots = lambda n: [F.lit(".")] * n
+    whole = transcripts.select(F.concat_ws("\t", F.lit("."), F.lit("segmentry"), F.lit("transcript"), *dots(5), about(tag("transcript_id", F.col("path_id")), tag("sr", F.col("sr")), tag("osr", F.col("sr")))).alias("line"))
+    x = steps.select("*", F.size("exons").alias("n"), F.posexplode("exons").alias("p", "exon"))
     number = F.lpad(F.when(F.col("strand") == "-", F.col("n") - F.col("p")).otherwise(F.col("p") + 1).cast("string"), 3, "0")
-    about = F.concat(F.lit('segment_id "'), "node", F.lit('"; exon_id "'), number, F.lit('";'))
-    return x.select(F.concat_ws("\t", "chrom", F.lit("segmentry"), F.lit("exon"), (F.col("exon.start") + 1).cast("string"), F.col("exon.end").cast("string"), F.lit("."), "strand", F.lit("."), about).alias("line"))
+    tags = about(tag("transcript_id", F.col("path_id")), tag("segment_id", F.col("node")), tag("exon_id", number), tag("ptc", F.col("ptc")), tag("ptf", F.format_string("%.9f", "ptf")))
+    fields = [F.col("chrom"), F.lit("segmentry"), F.lit("exon"), (F.col("exon.start") + 1).cast("string"), F.col("exon.end").cast("string"), F.lit("."), F.col("strand"), F.lit(".")]
+    return whole.unionByName(x.select(F.concat_ws("\t", *fields, tags).alias("line")))
 
 
 def vcf_lines(links: DataFrame, contigs: DataFrame) -> DataFrame:
