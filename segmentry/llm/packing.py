@@ -16,7 +16,7 @@ import sys
 from array import array
 from base64 import b64decode
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -37,12 +37,8 @@ PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
-def _encoder(ranks_path: str):
-    """A function from a text to the ids of its tokens, as little-endian unsigned 32-bit bytes.
-
-    ``ranks_path`` names the vocabulary as base64 tokens and ranks. The end-of-text token in a text
-    is one token, the next rank after them, as the vocabulary's own tokenizer has it.
-    """
+def text_encoder(ranks_path: str) -> tuple[Callable[[str], list[int]], dict[bytes, int]]:
+    """A function from a text to the ids of its tokens, and the vocabulary. ``ranks_path`` names it as base64 tokens and ranks; strings of special tokens are plain text."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
@@ -59,6 +55,17 @@ def _encoder(ranks_path: str):
             at = end
         return ids + coder.encode_ordinary(text[at:]) if at else coder.encode_ordinary(text)
 
+    return part, ranks
+
+
+def _encoder(ranks_path: str):
+    """A function from a text to the ids of its tokens, as little-endian unsigned 32-bit bytes.
+
+    The end-of-text token in a text
+    is one token, the next rank after them, as the vocabulary's own tokenizer has it.
+    """
+    part, ranks = text_encoder(ranks_path)
+
     def encode(text: str) -> bytes:
         parts = [part(x) for x in text.split(END_OF_TEXT)]
         ids = array("I", parts[0])

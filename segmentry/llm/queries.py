@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmentry.llm.alignment import tokenizer_alignment
 from segmentry.llm.ann import nearest
 from segmentry.llm.html_extract import main_text
 from segmentry.llm.mixing import mixed
@@ -15,7 +16,7 @@ from segmentry.llm.topk import exact_top_k
 from segmentry.llm.toxicity import toxicity_scores
 from segmentry.llm.url_filter import url_verdicts
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +64,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment(_table(spark, sf_dir, "documents"), RANKS, PIECES)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_quality, op3_url_filter, op4_mix_sources, op5_pack, op6_exact_top_k, op7_nearest, op8_main_text, op9_substring_dedup, op10_toxicity)
-}
+    for f in (
+        op1_near_duplicates, op2_quality, op3_url_filter, op4_mix_sources, op5_pack, op6_exact_top_k, op7_nearest, op8_main_text, op9_substring_dedup, op10_toxicity,
+        op11_align_tokenizers,
+    )
+}
 
 _MIX = r"""
 with base as (
