@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from segmentry.llm.alignment import tokenizer_alignment
 from segmentry.llm.ann import nearest
 from segmentry.llm.html_extract import main_text
+from segmentry.llm.language_id import languages
 from segmentry.llm.mixing import mixed
 from segmentry.llm.near_dup import near_duplicates
 from segmentry.llm.packing import pack_documents
+from segmentry.llm.prefix_trie import prefix_trie
 from segmentry.llm.quality import quality_scores
 from segmentry.llm.substring_dedup import remove_repeats
 from segmentry.llm.topk import exact_top_k
@@ -68,11 +70,19 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment(_table(spark, sf_dir, "documents"), RANKS, PIECES)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_quality, op3_url_filter, op4_mix_sources, op5_pack, op6_exact_top_k, op7_nearest, op8_main_text, op9_substring_dedup, op10_toxicity,
-        op11_align_tokenizers,
+        op11_align_tokenizers, op12_prefix_trie, op13_languages,
     )
 }
 
@@ -108,4 +118,24 @@ select query_id, cast(rank as int) as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
 """
 
-ORACLES = {"op4_mix_sources": _MIX, "op6_exact_top_k": _TOP_K}
+# crc32 bit by bit, and each family's difference; a node is a list of turns.
+_TRIE = """
+with t as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+numbered as (select *, row_number() over (partition by c order by turn nulls first, role, sha256(concat(strlen(role), ':', role, text))) as k from t),
+crc as (select c, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::ubigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: i::ubigint)), lambda r, i: case when r & 1 = 1 then xor(r >> 1, 3988292384::ubigint) else r >> 1 end)),
+    4294967295::ubigint) % 9 as h from (select distinct c from t)),
+turns as (select crc.c, 0 as part, k, role, text from crc join numbered n on n.c = crc.c - ((crc.c % 5) + 5) % 5 and k <= h
+  union all select crc.c, 1, k, role, text from crc join numbered n on n.c = crc.c and k > h),
+seqs as (select crc.c, coalesce(list({'role': role, 'text': text} order by part, k) filter (k is not null), []) as s from crc left join turns using (c) group by crc.c),
+steps as (select c, s, d, s[1:d] as p from (select c, s, unnest(range(0, len(s) + 1)) as d from seqs)),
+nodes as (select d, p, min(c) as conv_id, count(*) as n_convs, coalesce(string_agg(c::varchar, ',' order by c) filter (len(s) = d), '') as ends,
+    (count(*) - 1) * coalesce(strlen(p[d].text), 0) as saved from steps group by d, p),
+kids as (select d - 1 as d, p[1:d - 1] as p, count(*) as n from nodes where d > 0 group by all),
+up as (select n.*, unnest(range(0, d + 1)) as e, coalesce(kids.n, 0) as n_children from nodes n left join kids using (d, p)),
+below as (select e as d, p[1:e] as p, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved from up group by all)
+select n.conv_id, n.d as depth, parent.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n, 0) as n_children, b.n_leaves, cast(b.saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n join below b using (d, p) left join kids using (d, p) left join nodes parent on parent.d = n.d - 1 and parent.p = n.p[1:n.d - 1]
+"""
+
+ORACLES = {"op12_prefix_trie": _TRIE, "op4_mix_sources": _MIX, "op6_exact_top_k": _TOP_K}
