@@ -1,8 +1,8 @@
 """Main text of web pages.
 
-A page is read as blocks of text with the containers that they stand in. The token streams of pages, what stands in
-marked articles apart, are the texts of a suffix array for each host: suffixes that agree in their first ``run`` tokens are
-neighbours in it, and a group of them on several distinct pages is a long repeated substring. Tokens
+A page is read as blocks of text with the containers that they stand in. The suffixes of a host's token streams, what stands in
+marked articles apart, are grouped by a hash of their first ``run`` tokens: groups are the stretches of a suffix array whose neighbours share so
+long a prefix, but suffixes aren't sorted, and no longer prefix is measured. A group of suffixes of several distinct pages is a long repeated substring. Tokens
 that repeats cover are boilerplate, unique runs stay. Marks correct what repetition can't tell: an article protects its blocks,
 as articles are reposted, and containers whose element, role or class names them as menus, headers, footers, sidebars, notices, adverts,
 forms or comments veto theirs, as adverts differ on every page.
@@ -31,8 +31,10 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs comment comments disqus respond reply header footer masthead share sharing social related recommended widget pagination pager login signup search skip".split()
 )
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
-#: Words that say of a name after them that it isn't meant, and those that a header of an article has before it.
-NOT_MEANT = frozenset("no not without has with hide hides".split())
+#: Words beside an unwanted one that name its form only, so that the whole name is unwanted.
+FORMS = frozenset("area bar block bottom box button buttons container content element group inline inner item items left link links list main outer page panel post posts primary right section site slot top unit wrap wrapper".split())
+#: Words that say of a name after them, or before them, that it isn't meant, and those that a header of an article has before it.
+NOT_MEANT, FREE = frozenset("no not without has with hide hides".split()), frozenset("free less".split())
 OF_ARTICLE = frozenset("article content entry post section story title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,33 +49,69 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _says(name: str) -> str:
-    """The unwanted kind that a class or id names: '', 'veto' or 'comment'. ``site-header`` names one; ``no-sidebar`` and ``article-header`` don't."""
-    words = ["", *_WORD.findall(_CAMEL.sub("-", name).lower())]
-    for before, word in zip(words, words[1:], strict=False):
-        if word in NAMES and before not in NOT_MEANT and not (word == "header" and before in OF_ARTICLE):
+def _says(name: str, whole: bool) -> str:
+    """The unwanted kind that a class or id names: '', 'veto' or 'comment'. ``site-header`` names one; ``no-sidebar``, ``ad-free`` and ``article-header`` don't, and with ``whole`` neither does ``notice-board``."""
+    words = ["", *_WORD.findall(_CAMEL.sub("-", name).lower()), ""]
+    if whole and not all(w in NAMES or w in FORMS or len(w) < 2 for w in words):
+        return ""
+    for before, word, after in zip(words, words[1:], words[2:], strict=False):
+        if word in NAMES and before not in NOT_MEANT and after not in FREE and not (word == "header" and before in OF_ARTICLE):
             return "comment" if word in COMMENTS else "veto"
     return ""
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> str:
-    """'', 'veto' or 'comment' for a container."""
+    """'', 'veto' or 'comment' for a container. In an article, or beside a class that names one, only whole names count."""
     if tag in ("html", "body", "main"):
         return ""
     if tag in DROPPED and not (tag == "header" and in_article):
         return "veto"
     said = set()
-    for name, *values in _NAMED.findall(attributes) if attributes else ():
-        value = next(filter(None, values), "")
-        said |= {"veto" if value.lower() in ROLES else ""} if name.lower() == "role" else {_says(x) for x in value.split()}
+    named = [(name.lower(), next(filter(None, values), "").split()) for name, *values in _NAMED.findall(attributes)] if attributes else []
+    whole = in_article or any(x.lower() in OF_ARTICLE for name, values in named if name != "role" for x in values)
+    for name, values in named:
+        said |= {"veto" if x.lower() in ROLES else "" for x in values} if name == "role" else {_says(x, whole) for x in values}
     return "comment" if "comment" in said else "veto" if "veto" in said else ""
 
 
+class _Open:
+    """Containers that are open and say something of what stands in them, the innermost last. Each knows its mark from the one below, and each tag its containers."""
+
+    def __init__(self) -> None:
+        self.frames: list[list] = []  # [tag, containers of the tag that say nothing, mark, a comment or a veto at or below]
+        self.of_tag: dict[str, list[int]] = {}
+
+    @property
+    def mark(self) -> int:
+        return self.frames[-1][2] if self.frames else OPEN
+
+    def holds(self, tag: str) -> bool:
+        return bool(self.of_tag.get(tag))
+
+    def push(self, tag: str, kind: str) -> None:
+        below = self.frames[-1][3] if self.frames else ""
+        worst = "comment" if "comment" in (kind, below) else "veto" if "veto" in (kind, below) else ""
+        mark = VETOED if kind != "main" or worst == "comment" else INNER if worst else PROTECTED
+        self.of_tag.setdefault(tag, []).append(len(self.frames))
+        self.frames.append([tag, 1, mark, worst])
+
+    def nest(self, tag: str) -> None:
+        self.frames[self.of_tag[tag][-1]][1] += 1
+
+    def close(self, tag: str) -> None:
+        own = self.of_tag[tag][-1]
+        self.frames[own][1] -= 1
+        if not self.frames[own][1]:
+            for gone, *_ in self.frames[own:]:
+                self.of_tag[gone].pop()
+            del self.frames[own:]
+
+
 def marked_blocks(page: str) -> list[tuple[int, str]]:
-    """(mark, block) in page order, white space made single. Time is in proportion to the page, also where nothing is closed."""
+    """(mark, block) in page order, white space made single. Time is in proportion to the page, however deep its containers stand in each other and also where nothing is closed."""
     out: list[tuple[int, str]] = []
     text: list[str] = []
-    frames: list[list] = []  # [tag, depth, kind] of containers that are open: 'main', 'veto' or 'comment'
+    open_ = _Open()
     at, mark = 0, OPEN
 
     def close() -> None:
@@ -92,22 +130,18 @@ def marked_blocks(page: str) -> list[tuple[int, str]]:
         if tag == "br":
             text.append(" ")
         unwanted = "" if m[2] or tag in VOID else _unwanted(tag, m[4], mark == PROTECTED)
-        if tag not in INLINE or unwanted or any(f[0] == tag for f in frames):
+        if tag not in INLINE or unwanted or open_.holds(tag):
             close()
-        own = next((i for i in range(len(frames) - 1, -1, -1) if frames[i][0] == tag), None)
         if m[2]:
-            if own is not None:
-                frames[own][1] -= 1
-                if not frames[own][1]:
-                    del frames[own:]
+            if open_.holds(tag):
+                open_.close(tag)
         elif tag in VOID or m[4].endswith("/"):
             continue
-        elif (unwanted or tag in MAIN) and len(frames) < 64:
-            frames.append([tag, 1, unwanted or "main"])
-        elif own is not None:
-            frames[own][1] += 1
-        kinds = [f[2] for f in frames]
-        mark = OPEN if not kinds else VETOED if kinds[-1] != "main" or "comment" in kinds else INNER if "veto" in kinds else PROTECTED
+        elif unwanted or tag in MAIN:
+            open_.push(tag, unwanted or "main")
+        elif open_.holds(tag):
+            open_.nest(tag)
+        mark = open_.mark
     text.append(page[at:])
     close()
     # An article in an unwanted container is the article after all if there is no other: the container was never closed, or its name misleads.
