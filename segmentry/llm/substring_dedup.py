@@ -3,9 +3,9 @@
 Every window of ``window`` words picks one anchor, the smallest hash of ``seed``
 words in turn (the last of equal ones), so equal windows pick equal anchors
 and no repeat of that length goes unseen. Anchors that occur once only are dropped.
-Around the others the match is extended both ways, up to all windows that
-pick the anchor, and compared by 96-bit hashes; overlapping matches
-merge into maximal repeats.
+Around the others all windows that pick the anchor, to both sides of it, are compared by 96-bit hashes; overlapping matches
+merge into maximal repeats. That is the result of extending every match word by word, without a pair of
+documents for each match: a passage that many documents share would make the square of their number.
 
 Both exchanges are pre-aggregated in the tasks: of a key seen in several documents
 of a task one witness travels, and a document sends a key once with all its places; so a key has a few rows per task at most however many
@@ -90,7 +90,7 @@ def _anchors(window: int, seed: int):
             [
                 pa.array(np.concatenate((keys, witnesses)).view(np.int64)),
                 pa.array(np.concatenate((doc, pad)), mask=mask),
-                pa.array(np.concatenate((fp, pad)).astype(np.int32)),
+                pa.array(np.concatenate((fp, pad))),
                 pa.array(np.concatenate((place, pad)).astype(np.int32)),
                 pa.concat_arrays([more, pa.nulls(n, more.type)]),
                 pa.array(np.concatenate((shared, np.zeros(n, bool)))),
@@ -108,7 +108,7 @@ def _anchors(window: int, seed: int):
                 place = np.unique(place)
                 row = np.repeat(np.arange(hi - lo), counts)[place]
                 begin = np.concatenate(([0], np.cumsum(counts)))[row]
-                parts.append((g[place], ids[lo:hi][row], fps[lo:hi][row].astype(np.int64), place - begin))
+                parts.append((g[place], ids[lo:hi][row], fps[lo:hi][row], place - begin))
                 held += place.size
                 if held >= FLUSH:
                     yield flush(parts)
@@ -147,7 +147,7 @@ def _windows(window: int, seed: int):
                 cat(h1.view(np.int64), mix(kd[run_at].view(np.uint64)).view(np.int64), np.int64),
                 cat(h2.view(np.int64) >> 32, ks[run_at], np.int32),
                 cat(doc, kd[run_at], np.int64),
-                cat(fp, kf[run_at], np.int32),
+                cat(fp, kf[run_at], np.int64),
                 cat(start, ks[run_at], np.int32),
                 pa.array(np.concatenate((np.ones(one.size, np.int32), length.astype(np.int32)))),
                 pa.concat_arrays([more, pa.nulls(run_at.size, more.type)]),
@@ -173,7 +173,7 @@ def _windows(window: int, seed: int):
                 mark[spots[spots < h.size]] = True
                 at = at[mark[place]]
                 row = np.repeat(np.arange(hi - lo), counts)[at]
-                parts.append((gram_hashes(h, window, 1)[at], gram_hashes(hash_words(data, offs, other)[0], window, 2)[at], ids[lo:hi][row], fps[lo:hi][row].astype(np.int64), at - begin[row]))
+                parts.append((gram_hashes(h, window, 1)[at], gram_hashes(hash_words(data, offs, other)[0], window, 2)[at], ids[lo:hi][row], fps[lo:hi][row], at - begin[row]))
                 held += at.size
                 if held >= FLUSH:
                     yield flush(parts)
@@ -225,23 +225,23 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, spaced: boo
     in a document with a smaller id; windows are those of the input. The kept words
     are joined by one space; with ``spaced`` each keeps the white space before it, and texts that lose nothing stay as they are. Null, empty and blank texts give an empty text and 0
     words; texts shorter than a window stay whole. Rows that repeat an id are never
-    held against each other. A row with a null id stays whole and is no
+    held against each other; they are told apart by a 64-bit hash of the text. A row with a null id stays whole and is no
     one's earlier document. An empty table gives no rows. Texts are hashed in blocks of a few megabytes or one longer text. Other
     columns, of whatever names, are not looked at.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(text_col), F.lit(65536)).cast("int").alias("fp"), F.col(text_col).cast("binary").alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("binary").alias("text"))
     named = base.where("id is not null")
 
-    seeds = named.mapInArrow(_anchors(window, seed), "key long, id long, fp int, pos int, more array<int>, known boolean")
+    seeds = named.mapInArrow(_anchors(window, seed), "key long, id long, fp long, pos int, more array<int>, known boolean")
     counted = seeds.withColumn("seen", F.sum(F.when(F.col("known") | F.col("id").isNull(), 2).otherwise(1)).over(Window.partitionBy("key")))
     places = stored(counted.where("seen > 1 and id is not null").groupBy("id", "fp").agg(F.concat(F.collect_list("pos"), F.flatten(F.collect_list("more"))).alias("places")), "places")
 
     # Both joins below read this one exchange; the filter is the one that an inner join adds.
     dealt = named.where("fp is not null").repartition(n, "id", "fp")
     runs = dealt.join(places, ["id", "fp"]).select("id", "fp", "text", "places").mapInArrow(
-        _windows(window, seed), "h1 long, h2 int, id long, fp int, start int, length int, more array<int>, known boolean"
+        _windows(window, seed), "h1 long, h2 int, id long, fp long, start int, length int, more array<int>, known boolean"
     )
     first = F.min("id").over(Window.partitionBy("h1", "h2"))
     gone = runs.withColumn("first", first).where("known or id > first")
