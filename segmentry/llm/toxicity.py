@@ -1,8 +1,8 @@
 """Toxicity of documents by weak supervision.
 
-Voters are a seed lexicon, mined patterns (whole words and word beginnings that are far more
-frequent in labelled toxic texts than in others) and thresholds on how many words of a
-text, and how large a part of it, the patterns match. A generative label model estimates by EM how often
+Voters are the words of a seed lexicon, families of mined patterns (whole words and word beginnings that are far more
+frequent in labelled toxic texts than in others; a family are those of one kind, one band of the frequencies' ratio and one band of the texts that hold them) and thresholds on how many words of a
+text, and how large a part of it, the patterns match. So every pattern votes, and the number of voters doesn't grow with them. A generative label model estimates by EM how often
 each voter speaks in toxic and in other texts, how far the given labels can be believed, and how voters are correlated within the classes,
 so that the same evidence isn't counted twice. Its posteriors are
 the labels of a linear classifier over the voters, which scores every text.
@@ -25,14 +25,16 @@ from segmentry.shared import stored
 SEEDS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "garbage", "filth", "dumb", "retard", "imbecile", "vermin", "jerk")
 #: Lengths in bytes of the word beginnings that are tried as patterns.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Labelled ids that label model and classifier are fitted on at most, and mined units with a voter of their own at most (the driver holds their votes on the sample).
-SAMPLE, VOTERS = 40_000, 512
+#: Labelled rows that label model and classifier are fitted on at most.
+SAMPLE = 40_000
+#: Patterns that driver and tasks hold at most (some 17 bytes each); more raise an error.
+MOST_PATTERNS = 5_000_000
 #: Bits of the filter that keeps most texts without a label out of the join; bounds its memory, not the result.
 FILTER_BITS = 1 << 23
 #: A pattern is sure or likely from these ratios of its frequencies in toxic and other texts.
 SURE, LIKELY = 30.0, 5.0
-#: One text counts as so many uses of a pattern at most, when patterns are mined.
-USES = 4
+#: Lower ends of the bands of ratios, and of those of toxic texts that hold the pattern, by which patterns make families.
+RATIOS, HELD = (3.0, LIKELY, 10.0, SURE, 100.0), (0, 8, 24, 72)
 #: Voters on matched words: (likely ones count, words at least, part of the text at least).
 DENSITIES = tuple((wide, least, part) for wide in (False, True) for least in (1, 2, 3) for part in (0.0, 0.004, 0.007, 0.01, 0.014, 0.03))
 
@@ -72,13 +74,14 @@ def _read(texts: pa.Array, packed: bool) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _counted(labelled: DataFrame) -> DataFrame:
-    """unit, toxic texts that hold it, uses in toxic and in other texts. Counted in each task before the shuffle."""
+    """unit, kind (0 for words, then the beginnings by length), toxic texts that hold it, weight in toxic and in other texts (the logarithm of uses and one, by text). Counted in each task before the shuffle."""
 
     def flush(held: list) -> pa.RecordBatch:
-        units, texts, toxic, other = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, at = np.unique(units, return_inverse=True)
-        sums = [np.bincount(at, weights=x, minlength=keys.size).astype(np.int64) for x in (texts, toxic, other)]
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["unit", "texts", "toxic", "other"])
+        units, kinds, y, uses = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, first, at = np.unique(units, return_index=True, return_inverse=True)
+        sums = [np.bincount(at, weights=x, minlength=keys.size) for x in (y, y * uses, (1 - y) * uses)]
+        sums[0] = sums[0].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds[first].astype(np.int32)), *map(pa.array, sums)], ["unit", "kind", "texts", "toxic", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = _table(), [], 0
@@ -86,13 +89,14 @@ def _counted(labelled: DataFrame) -> DataFrame:
             y = batch.column(1).to_numpy()
             for lo, hi, data, offs in _read(batch.column(0), True):
                 row, _, units = _units(data, offs, table)
-                own = y[lo:hi]
-                rows, units = np.tile(row, len(units))[units.ravel() != 0], units.ravel()[units.ravel() != 0]
-                order = np.lexsort((units, rows))
-                rows, units = rows[order], units[order]
+                kinds, rows = np.repeat(np.arange(len(units)), row.size), np.tile(row, len(units))
+                units = units.ravel()
+                own = units != 0
+                rows, units, kinds = rows[own], units[own], kinds[own]
+                order = np.lexsort((kinds, units, rows))
+                rows, units, kinds = rows[order], units[order], kinds[order]
                 new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (units[1:] != units[:-1])))) if rows.size else np.zeros(0, int)
-                uses, toxic = np.minimum(np.diff(np.append(new, rows.size)), USES), own[rows[new]]
-                held.append((units[new], toxic, uses * toxic, uses * (1 - toxic)))
+                held.append((units[new], kinds[new], y[lo:hi][rows[new]], np.log2(1 + np.diff(np.append(new, rows.size)))))
                 size += new.size
                 if size > 2_000_000:
                     yield flush(held)
@@ -100,8 +104,8 @@ def _counted(labelled: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    parts = labelled.select("text", "y").mapInArrow(run, "unit long, texts long, toxic long, other long")
-    return parts.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "other")))
+    parts = labelled.select("text", "y").mapInArrow(run, "unit long, kind int, texts long, toxic double, other double")
+    return parts.groupBy("unit").agg(F.min("kind").alias("kind"), *(F.sum(c).alias(c) for c in ("texts", "toxic", "other")))
 
 
 def _maybe_labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -130,22 +134,20 @@ def _maybe_labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
     return texts.where("id is not null").mapInArrow(keep, "id long, text binary, words long")
 
 
-def _votes(texts: DataFrame, units: np.ndarray, sure: np.ndarray, own: np.ndarray, kept: str, kind: str, packed: bool = False) -> DataFrame:
-    """Columns ``kept``, ``hits`` (places among the ``own`` of the sorted ``units`` of those in a text), its words that match a sure unit, any unit, and all."""
+def _votes(texts: DataFrame, patterns: "Patterns", kept: str, kind: str, packed: bool = False) -> DataFrame:
+    """Columns ``kept``, ``hits`` (voters that speak in a text), its words that match a sure pattern, a likely one, and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = _table(), int(own.sum())
-        place = np.cumsum(own) - 1
+        table, n = _table(), patterns.n
         for batch in batches:
             for lo, hi, data, offs in _read(batch.column(1), packed):
                 row, counts, found = _units(data, offs, table)
-                at = np.minimum(np.searchsorted(units, found), units.size - 1)
-                ok = units[at] == found
-                voted = ok & own[at]
-                pairs = np.unique(np.broadcast_to(row, found.shape)[voted] * n + place[at[voted]])
+                at = np.minimum(np.searchsorted(patterns.units, found), patterns.units.size - 1)
+                ok = patterns.units[at] == found
+                pairs = np.unique(np.broadcast_to(row, found.shape)[ok] * n + patterns.voter[at[ok]])
                 edge = np.searchsorted(pairs, np.arange(hi - lo + 1) * n)
                 hits = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((pairs % n).astype(np.int32)))
-                matched = [np.bincount(row[m.any(axis=0)], minlength=hi - lo) for m in (ok & sure[at], ok)]
+                matched = [np.bincount(row[m.any(axis=0)], minlength=hi - lo) for m in (ok & patterns.sure[at], ok & patterns.likely[at])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), hits, *(pa.array(x.astype(np.int32)) for x in (*matched, counts))], [kept, "hits", "sure", "any", "words"]
                 )
@@ -225,26 +227,50 @@ def linear(votes: np.ndarray, goal: np.ndarray, rounds: int = 600) -> tuple[np.n
     return w, b
 
 
-def mine(labelled: DataFrame, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(units, whether each is sure): all with an excess among toxic texts, the surest first.
+@dataclass
+class Patterns:
+    """Sorted units, the voter of each, and whether each is sure, and likely; ``n`` voters: a word of the lexicon each, then the families."""
+
+    units: np.ndarray
+    voter: np.ndarray
+    sure: np.ndarray
+    likely: np.ndarray
+    n: int
+
+    @staticmethod
+    def of(mined: np.ndarray, kind: np.ndarray, ratio: np.ndarray, texts: np.ndarray) -> "Patterns":
+        """A mined pattern that the lexicon has is the lexicon's."""
+        seeds = np.unique(seed_units())
+        family = (kind * len(RATIOS) + np.searchsorted(RATIOS, ratio, "right") - 1) * len(HELD) + np.searchsorted(HELD, texts, "right") - 1
+        new = ~np.isin(mined, seeds)
+        units = np.concatenate([seeds, mined[new]])
+        voter, odds = np.concatenate([np.arange(seeds.size), seeds.size + family[new]]), np.concatenate([np.full(seeds.size, SURE), ratio[new]])
+        order = np.argsort(units)
+        return Patterns(units[order], voter[order].astype(np.int64), odds[order] >= SURE, odds[order] >= LIKELY, seeds.size + (1 + len(PREFIXES)) * len(RATIOS) * len(HELD))
 
-    The frequency among toxic texts is taken lower, and the other higher, by a deviation.
+
+def mine(labelled: DataFrame, least: int = 3, most: int = MOST_PATTERNS) -> Patterns:
+    """All units with an excess among toxic texts, and the lexicon.
+
+    A unit's frequency is its weight for each word of the class; among toxic texts it is taken lower, and among the others higher, by a deviation.
     """
     words = {r.y: r.n for r in labelled.groupBy("y").agg(F.sum("words").alias("n")).collect()}
     toxic, other = max(words.get(1, 0), 1), max(words.get(0, 0), 1)
     ratio = ((F.col("toxic") - F.sqrt("toxic")) / toxic) / ((F.col("other") + F.sqrt("other") + 1) / other)
-    odds = _counted(labelled).where(F.col("texts") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= LIKELY)
-    rows = odds.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "unit").select("unit", "ratio").collect()
-    return np.array([r.unit for r in rows], np.int64).view(np.uint64), np.array([r.ratio >= SURE for r in rows], bool)
+    odds = stored(_counted(labelled).where(F.col("texts") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= RATIOS[0]), "patterns")
+    if (n := odds.count()) > most:
+        raise ValueError(f"{n} patterns are more than driver and tasks may hold ({most})")
+    found = odds.toArrow()
+    unit, kind, texts, ratio = (found[c].to_numpy() for c in ("unit", "kind", "texts", "ratio"))
+    return Patterns.of(unit.view(np.uint64), kind.astype(np.int64), ratio, texts)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, voters: int = VOTERS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = MOST_PATTERNS) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` (0 to 1), ``predicted``.
 
     Patterns are counted in all labelled rows of the training part; label model and classifier are
-    fitted on at most ``sample`` of their ids, chosen by a hash; every text is scored whole, in blocks of a few megabytes or one longer text. The ``voters`` best
-    mined units vote each on its own, as the driver holds their votes on the sample; the sure ones of the others count in the votes on matched words. One text counts for a unit's
-    frequency with at most ``USES`` uses, so that no text alone makes a pattern. Null and empty texts have no votes. Null
+    fitted on at most ``sample`` of these rows, chosen by a hash; every text is scored whole, in blocks of a few megabytes or one longer text. A unit
+    counts if three toxic texts hold it. Every pattern is held and votes in its family; more than ``most`` raise an error. Null and empty texts have no votes. Null
     labels teach nothing; ids that repeat are scored row by row; a null id is scored and
     not held out. Without labelled rows only the seed lexicon speaks; an empty table gives no rows. Other columns, of whatever names, are not looked at.
     """
@@ -253,18 +279,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     # The join is the same at every size: what is exchanged follows the labelled texts.
     known = stored(_maybe_labelled(texts, marks).hint("merge").join(marks, "id").select("id", "text", "words", "y"), "labelled")
-    seeds = np.unique(seed_units())
-    mined, sure = mine(known)
-    own = np.arange(mined.size) < voters
-    mined, sure, own = (x[own | sure] for x in (mined, sure, own))
-    units = np.concatenate([seeds, mined[~np.isin(mined, seeds)]])
-    order = np.argsort(units)
-    sure, own = (np.concatenate([np.ones(seeds.size, bool), x[~np.isin(mined, seeds)]])[order] for x in (sure, own))
-    units, n = units[order], int(own.sum())
-
-    # At most ``sample`` ids, so their broadcast is bounded.
+    patterns = mine(known, most=most)
+    n = patterns.n
+
+    # At most ``sample`` ids, so their broadcast is bounded; of ids that repeat, no more rows than that either.
     chosen = marks.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = _votes(known.join(F.broadcast(chosen), "id", "left_semi"), units, sure, own, "y", "int", True).collect()
+    rows = _votes(known.join(F.broadcast(chosen), "id", "left_semi"), patterns, "y", "int", True).orderBy("y", "words", "any", "sure", "hits").limit(sample).collect()
     y = np.array([r.y for r in rows], np.float64)
     votes = np.zeros((len(rows), n + len(DENSITIES)), np.float32)
     for i, r in enumerate(rows):
@@ -286,7 +306,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, flag_at: float = 0.3, id
             z = z + density_votes(*(batch.column(i).to_numpy() for i in (2, 3, 4))) @ weights[n:-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["id", "score"])
 
-    scored = _votes(texts, units, sure, own, "id", "long").mapInArrow(score, "id long, score double")
+    scored = _votes(texts, patterns, "id", "long").mapInArrow(score, "id long, score double")
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(~training_part(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= flag_at).cast("int").alias("predicted")
     )

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from segmentry.llm import toxicity
 from segmentry.llm.ann import nearest
 from segmentry.llm.html_extract import OPEN, PROTECTED, VETOED, main_text, marked_blocks
 from segmentry.llm.mixing import mixed
@@ -277,6 +278,23 @@ def test_marks():
         assert time.time() - began < 2, piece
 
 
+@pytest.mark.parametrize("depth", [1, 3, 63, 64, 1_000])
+def test_depth_changes_no_mark(depth):
+    of = lambda page: [b for m, b in marked_blocks(page) if m == PROTECTED]
+    assert of("<main>" * depth + "<nav>Home About</nav><p>story one</p>") == ["story one"]
+    assert of('<div class="ad">' * depth + "<article><p>the story</p></article>") == ["the story"]
+    assert of("<article>" * depth + "a" + "</article>" * depth + "<div class='menu'>m</div>") == ["a"]
+    assert of("<article><section class='comments'>" * depth + "c" + "</section></article>" * depth + "<article>b</article>") == ["b"]
+
+
+def test_names_that_are_partly_unwanted_stay_in_an_article(spark):
+    kept = '<p>a</p><p class="notice-board">The town board met.</p><div class="share-price">Shares rose.</div><section id="related-work"><p>We follow.</p></section><div class="ad-free">x</div><div class="header-image article">y</div>'
+    page = f'<article>{kept}<div class="share-buttons">no</div><aside>no</aside><div role="search">no</div><div id="comments">no</div></article>'
+    row = main_text(spark.createDataFrame([(1, "http://a.com", page)], "page_id long, url string, html string")).first()
+    assert row.text == "a\nThe town board met.\nShares rose.\nWe follow.\nx\ny"
+    assert [b for m, b in marked_blocks('<div class="ad-free">z</div><div class="header-image article">w</div>') if m == OPEN] == ["z", "w"]
+
+
 def test_repeats_of_hosts(spark):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choices("abcdefg", k=5))
@@ -428,6 +446,58 @@ def test_quality_of_whole_query_against_numpy(spark):
         assert r.score == pytest.approx(model.scores(x[i][None])[0], abs=1e-6) and r.predicted == int(r.score >= 0.7)
 
 
+def test_toxicity_of_whole_query_against_plain_votes(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    split = re.compile(rb"[a-z\x80-\xff]+")
+    words = {i: split.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), t)) for i, t in texts.items()}
+    told = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and crc32(str(r.doc_id).encode()) % 4 != 2}
+    units = lambda w: [(0, w), *((k, w[:n]) for k, n in enumerate((4, 5, 6, 7, 8), 1) if len(w) >= n)]
+    held, weight, total = Counter(), {0: Counter(), 1: Counter()}, Counter()
+    for i, y in told.items():
+        total[y] += len(words[i])
+        for u, n in Counter(u for w in words[i] for u in units(w)).items():
+            held[u] += y
+            weight[y][u] += np.log2(1 + n)
+    ratio = {u: ((weight[1][u] - weight[1][u] ** 0.5) / total[1]) / ((weight[0][u] + weight[0][u] ** 0.5 + 1) / total[0]) for u in held if held[u] >= 3}
+    found = [(u, r) for u, r in ratio.items() if r >= toxicity.RATIOS[0]]
+    band = lambda edges, x: sum(x >= e for e in edges) - 1
+    seeds = {s.encode(): k for k, s in enumerate(sorted(toxicity.SEEDS, key=lambda s: int(toxicity.hash_words(np.frombuffer(s.encode(), np.uint8), np.array([0, len(s)]), toxicity._table())[0][0])))}
+    voter = {(0, s): k for s, k in seeds.items()}
+    odds = {(0, s): toxicity.SURE for s in seeds}
+    for (kind, u), r in found:
+        if u not in seeds or kind:
+            voter[kind, u] = len(seeds) + (kind * len(toxicity.RATIOS) + band(toxicity.RATIOS, r)) * len(toxicity.HELD) + band(toxicity.HELD, held[kind, u])
+            odds[kind, u] = r
+    n = len(seeds) + 6 * len(toxicity.RATIOS) * len(toxicity.HELD)
+
+    def votes(i: int) -> np.ndarray:
+        hits = [[u for u in units(w) if u in voter] for w in words[i]]
+        v = np.zeros(n)
+        v[[voter[u] for h in hits for u in h]] = 1
+        sure, likely = (sum(any(odds[u] >= least for u in h) for h in hits) for least in (toxicity.SURE, toxicity.LIKELY))
+        return np.append(v, [(k := likely if wide else sure) >= least and k >= part * len(words[i]) for wide, least, part in toxicity.DENSITIES])
+
+    known = np.array([votes(i) for i in told], np.float32)
+    y = np.array(list(told.values()), float)
+    weights, bias = toxicity.linear(known, LabelModel.fit(known, y).posterior(known, y))
+    for r in toxicity_scores(docs, labels).collect():
+        v = votes(r.doc_id)
+        z = v @ weights[:-1] + bias + weights[-1] * v[:n].any()
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -50, 50))), abs=1e-4), r.doc_id
+
+
+def test_patterns_over_the_bound_raise_and_repeated_ids_stay_in_the_sample(spark):
+    rows = [(i % 3, f"word{i % 5} same text idiot", i % 2) for i in range(400)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (3, 1)], "doc_id long, toxic int")
+    assert toxicity_scores(known, labels, sample=2).count() == 400
+    many = spark.createDataFrame([(i, "bad worse worst" if i % 2 else "fine day") for i in range(60)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="more than driver and tasks may hold"):
+        toxicity_scores(many, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"), most=1)
+
+
 def test_toxic_words_are_counted_beyond_the_sample(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choices("bcdfgklmnprst", k=9))
@@ -463,6 +533,13 @@ def test_clashing_names_nulls_ties_and_long_texts(spark):
     assert near_duplicates(wide, id_col="key", text_col="body").count() == 6 and remove_repeats(wide, id_col="key", text_col="body").count() == 6
 
 
+def test_texts_of_one_id_whose_short_fingerprints_agree(spark):
+    # 16 bits of their hashes are equal, which used to mix up their places
+    rows = [(1, " ".join(f"w{i}" for i in range(60))), (5, " ".join(f"w{i}" for i in range(60))), (5, "short 58789"), *((7, f"short {i}") for i in range(300))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == sorted([(1, 60, 0), (5, 60, 60), (5, 2, 0), *((7, 2, 0) for _ in range(300))])
+
+
 def test_digest(docs):
     row = remove_repeats(docs).where("doc_id = 3").select("kept_text", F.sha2(F.col("kept_text").cast("binary"), 256).alias("h")).first()
     assert row.h == hashlib.sha256(row.kept_text.encode()).hexdigest()
