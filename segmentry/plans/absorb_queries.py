@@ -38,16 +38,6 @@ def agg_merge_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(gone, "path_id", "left_anti").join(n, "path_id", "left").select("path_id", (F.coalesce("n", F.lit(0)) + 1).alias("merge_factor"))
 
 
-@query(f"""with raw as ({A.NODES}), n as (select node_id as node, chrom, strand, min(e_start) as a, max(e_end) as b, count(*) as weight from raw group by 1, 2, 3),
- l as (select x.node as n1, y.node as n2 from n x join n y on x.chrom = y.chrom and x.strand = y.strand and x.node <> y.node and abs(x.a - y.a) <= 10 and abs(x.b - y.b) <= 10),
- w as (select node, node as reach from n union select w.node, l.n2 from w join l on l.n1 = w.reach), r as (select w.node, reach, weight from w join n on n.node = w.reach)
- select node, reach as "primary" from (select *, row_number() over (partition by node order by weight desc, reach) as k from r) where k = 1""".replace("with ", "with recursive ", 1))
-def refine_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes whose spans are within 10 at both ends, and the one of most exons that they become."""
-    n = A.nodes(spark, sf_dir).select(F.col("node_id").alias("node"), "chrom", "strand", F.col("exons")[0]["start"].alias("n_start"), F.element_at("exons", -1)["end"].alias("n_end"), F.size("exons").alias("weight"))
-    return absorb.refined(n, ["chrom", "strand"], 10)
-
-
 @query(f"""{_SEG}, {_PATHS}, reads as ({A.READS.replace("as string", "as varchar")}), l as (select path_id, unnest(string_split(bases, '')) as base, unnest(range(0, q_len)) as place from p join s using (path) join reads using (read_id)),
  c as (select path_id, place, base, row_number() over (partition by path_id, place order by count(*) desc, base) as r from l group by 1, 2, 3) select path_id, string_agg(base, '' order by place) as consensus from c where r = 1 group by 1""")
 def agg_consensus_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,15 +96,6 @@ def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("place", F.row_number().over(Window.partitionBy("read_id").orderBy("off", "seg_ord")))
 
 
-@query(_recursive(f"""{_WAYS}, w as (select distinct src as last, [src] as way, false as circle from e where src not in (select dst from e)
- union all select e.dst, list_append(way, e.dst), list_contains(way, e.dst) from w join e on e.src = w.last where not circle)
- select way[1] as start, bool_or(circle) as has_circle, count(*) as ways from w where circle or last in (select node from ends) group by 1"""))
-def detect_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a way from a start node come back to one of its nodes?"""
-    w = paths.enumerate_paths(graph.edges_of(_segments(spark, sf_dir)), 2)
-    return w.groupBy(F.split("path", r"\|")[0].alias("start")).agg(F.bool_or("circle").alias("has_circle"), F.count("*").alias("ways"))
-
-
 _FAM = f"{_GRAPH}, f as (select distinct fam, node2 as node from n2), fe as (select fam, src, dst, sr from edges join f on f.node = src)"
 
 

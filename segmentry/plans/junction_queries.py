@@ -93,14 +93,6 @@ def payload_orient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("read_id", "seg_ord1", stranded(F.expr("substring(payload, 2)"), F.col("strand1")).alias("bases"))
 
 
-@query(f"{_HOP}, g as (select *, q_len - (case when strand1 = '+' then lt1 else rt1 end) - (case when strand2 = '+' then rt2 else lt2 end) - q_match1 - q_match2 as gap from hop), v as (select fam, gap, count(distinct read_id) as sr, case when gap = 0 then 2 when gap < 0 then 1 else 0 end as pref from g group by all) select fam, gap, sr from (select *, row_number() over (partition by fam order by sr desc, pref desc, gap) as r from v) where r = 1")
-def agg_payload_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each family's payload of most reads; of equal ones none before shared bases before inserted ones, then the smallest gap."""
-    v = paths.with_payload(_hops(spark, sf_dir)).groupBy("fam", "gap", "payload_score").agg(F.count_distinct("read_id").alias("sr"))
-    best = F.max_by(F.struct("gap", "sr"), F.struct("sr", "payload_score", -F.col("gap"))).alias("b")
-    return v.groupBy("fam").agg(best).select("fam", "b.gap", "b.sr")
-
-
 @F.pandas_udf(StringType())
 def _digits(digest: pd.Series) -> pd.Series:
     """The first ten digits of a digest as a number of 256 bits."""

@@ -112,18 +112,6 @@ def filter_circle_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("path", path("node_id")).join(circles, "path", "left_anti").select("node_id", "fam")
 
 
-@query((f"""{_N}, l as (select node1, node2 from pairs where {_ORDER} and {_MERGED}), w as (select node_id as node, node_id as reach from nodes
- union select w.node, case when l.node1 = w.reach then l.node2 else l.node1 end from w join l on w.reach in (l.node1, l.node2)),
- c as (select node as node_id, min(reach) as merged from w group by 1)
- select merged, count(distinct node_id) as nodes, min(least(e_start, e_end)) as m_start, max(e_end) as m_end from c join raw using (node_id) group by 1""").replace("with ", "with recursive ", 1))
-def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes merged along the compatibility rules: the smallest id, how many, and their span."""
-    n = A.nodes(spark, sf_dir)
-    parts = connected_components(compat.compatible(n), "node1", "node2").select(F.col("node").alias("node_id"), "component")
-    x = n.join(parts, "node_id", "left").withColumn("merged", F.coalesce("component", "node_id"))
-    return x.groupBy("merged").agg(F.count("*").alias("nodes"), F.min(F.element_at("exons", 1)["start"]).alias("m_start"), F.max(F.element_at("exons", -1)["end"]).alias("m_end"))
-
-
 @query(f"""with raw as ({A.NODES}), l as (select node_id, chrom, strand, ident, list(e_end order by i)[1] as p1, list(e_start order by i)[2] as p2 from raw group by all having count(*) > 1)
  select a.chrom, a.strand, a.ident, a.node_id as node1, b.node_id as node2 from l a join l b on a.chrom = b.chrom and a.strand = b.strand and a.ident = b.ident and a.node_id < b.node_id and abs(a.p1 - b.p1) <= 10 and abs(a.p2 - b.p2) <= 10""")
 def compat_edge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,32 +129,6 @@ def sort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy("n_nodes", "path")
 
 
-@query(f"""{_SEG}, {_GENE}, n as (select distinct fam, chrom, ref_start, ref_end from seg), h as (select fam, gene, count(*) as votes from n join genes g on n.chrom = g.chrom and n.ref_start < g_end and g_start < n.ref_end group by 1, 2)
- select fam, gene, votes from (select *, row_number() over (partition by fam order by votes desc, gene) as r from h) where r = 1""")
-def agg_majority_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gene over most nodes of a family."""
-    nodes = _segments(spark, sf_dir).select("fam", "chrom", "ref_start", "ref_end").distinct()
-    spans = A.genes(spark, sf_dir).withColumnRenamed("chrom", "g_chrom")
-    on = (F.col("ref_start") < F.col("g_end")) & (F.col("g_start") < F.col("ref_end"))
-    hit = ranges.range_join(nodes, spans, on, ("chrom", "g_chrom"), ("ref_start", "ref_end"), ("g_start", "g_end"))
-    return paths.most_voted(hit, ["fam"], "gene")
-
-
-@query(f"{_HOP}, v as (select fam, chrom1, strand1, pos1, count(*) as votes from link group by all) select fam, chrom1, strand1, pos1, votes from (select *, row_number() over (partition by fam, chrom1, strand1 order by votes desc, pos1) as r from v) where r = 1")
-def agg_breakpoint_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.most_voted(_links(spark, sf_dir), ["fam", "chrom1", "strand1"], "pos1")
-
-
-@query(f"{_HOP} select fam, kind, chrom1, strand1, chrom2, strand2, case when strand1 = '+' then max(pos1) else min(pos1) end as pos1, case when strand2 = '+' then min(pos2) else max(pos2) end as pos2, count(distinct read_id) as sr from link group by fam, kind, chrom1, strand1, chrom2, strand2")
-def agg_edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of a family that agree in type, chromosomes and strands as one, with the outermost breakpoints."""
-    x = _links(spark, sf_dir).groupBy("fam", "kind", "chrom1", "strand1", "chrom2", "strand2").agg(
-        F.min("pos1").alias("lo1"), F.max("pos1").alias("hi1"), F.min("pos2").alias("lo2"), F.max("pos2").alias("hi2"), F.count_distinct("read_id").alias("sr")
-    )
-    one, two = F.when(F.col("strand1") == "+", F.col("hi1")).otherwise(F.col("lo1")), F.when(F.col("strand2") == "+", F.col("lo2")).otherwise(F.col("hi2"))
-    return x.select("fam", "kind", "chrom1", "strand1", "chrom2", "strand2", one.alias("pos1"), two.alias("pos2"), "sr")
-
-
 _VCF = f"""{_HOP}, {_PATHS}, l as (select link, chrom1, pos1, chrom2, pos2, count(distinct link.read_id) as sr, string_agg(distinct s.path_id, ',' order by s.path_id) as paths,
  string_agg(distinct link.read_id, ',' order by link.read_id) as sr_ids from link join p using (read_id) join s using (path) group by all)"""
 
@@ -200,13 +174,6 @@ def _recursive(sql: str) -> str:
     return sql.replace("with ", "with recursive ", 1)
 
 
-@query(_recursive(f"""{_WAYS}, w as (select distinct src as last, [src] as way, false as circle from e where src not in (select dst from e)
- union all select e.dst, list_append(way, e.dst), list_contains(way, e.dst) from w join e on e.src = w.last where not circle)
- select array_to_string(way, '|') as path, cast(len(way) as int) as n_nodes, circle from w where circle or last in (select node from ends)"""))
-def enumerate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.enumerate_paths(graph.edges_of(_segments(spark, sf_dir)), 2)
-
-
 # Nodes of a family follow each other by edges, of which one in eleven is missing.
 @query(_recursive(f"""with n as (select p_partkey as node, cast(floor(p_partkey / 8) as bigint) as fam from part), e as (select a.node as src, b.node as dst, a.fam from n a join n b on a.fam = b.fam and b.node = a.node + 1 where a.node % 11 > 0),
  w as (select node, node as reach, fam from n union select w.node, case when e.src = w.reach then e.dst else e.src end, w.fam from w join e on w.reach in (e.src, e.dst)),

@@ -124,3 +124,28 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spark.sql(NODES.replace("from part)", "from {part})"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
     exon = F.struct(F.col("e_start").alias("start"), F.col("e_end").alias("end"))
     return x.groupBy("node_id", "fam", "chrom", "strand", "ident", "genuine").agg(F.array_sort(F.collect_list(exon)).alias("exons"))
+
+
+# Three nodes in turn, a head, a middle and a tail, are a path; at the end of every second family one is cut in two. A line item is a read along the path of its part.
+PATH_READS = "select l_orderkey * 8 + l_linenumber as read_id, cast(floor(l_partkey / 3) as bigint) as three, cast(floor(l_partkey / 16) as bigint) as two from lineitem"
+PATH_EDGES = """
+select a.node_id as src, b.node_id as dst, case when a.strand = '+' then a.hi else a.lo end as pos1, case when b.strand = '+' then b.lo else b.hi end as pos2, cast((a.node_id * 7) % 5 - 2 as int) as gap
+from spans a join spans b on b.node_id = a.node_id + 1 and floor(b.node_id / 3) = floor(a.node_id / 3) and floor(b.node_id / 16) = floor(a.node_id / 16)
+"""
+
+
+def path_graph(spark: SparkSession, sf_dir: str):
+    """(nodes with identity, graph of the reads' paths before anything is merged, read_id and node_id of nodes in the middle of a read's path)."""
+    from pyspark.sql import functions as F
+
+    from segmentry.operators.contraction import Graph
+    from segmentry.shared import stored
+
+    n = stored(nodes(spark, sf_dir), "nodes")
+    spans = n.select("node_id", "strand", F.element_at("exons", 1)["start"].alias("lo"), F.element_at("exons", -1)["end"].alias("hi"))
+    edges = spark.sql(PATH_EDGES.replace("spans", "{spans}"), spans=spans)
+    reads = stored(spark.sql(PATH_READS.replace("from lineitem", "from {l}"), l=spark.read.parquet(f"{sf_dir}/lineitem.parquet")), "reads")
+    place = lambda c: (F.floor(F.col(c) / 3).alias("three"), F.floor(F.col(c) / 16).alias("two"))
+    edge_reads = stored(edges.select("src", "dst", *place("src")).join(reads, ["three", "two"]).select("src", "dst", "read_id"), "edge_reads")
+    mids = n.where("ident = 'MID'").select("node_id", *place("node_id")).join(reads, ["three", "two"]).select("read_id", "node_id")
+    return n, Graph(n.select("node_id", "chrom", "strand", "exons"), edges.join(edge_reads.select("src", "dst").distinct(), ["src", "dst"], "left_semi"), edge_reads), mids

@@ -9,6 +9,7 @@ import pytest
 from segmentry.plans import (  # noqa: F401  (they add to the tables of queries)
     absorb_queries,
     cluster_queries,
+    graph_queries,
     junction_queries,
     node_queries,
     path_queries,
