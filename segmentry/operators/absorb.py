@@ -1,41 +1,100 @@
-"""Paths within longer paths, nodes that are nearly equal, consensus of reads."""
+"""Paths within longer paths and what takes them in, consensus of reads."""
+
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.operators.components import connected_components
-from segmentry.operators.ranges import near_pairs
+from segmentry.functions.cigar import gaps
+from segmentry.operators.compat import compatible
+from segmentry.shared import stored
+
+
+#: Identities of a path's node and of the container's node that it may be.
+WITHIN = (("HEAD", "HEAD"), ("HEAD", "MID"), ("MID", "MID"), ("TAIL", "MID"), ("TAIL", "TAIL"))
 
 
-def contained_paths(paths: DataFrame) -> DataFrame:
-    """Pairs (path_id, container): the nodes of a path are a run of the nodes of a longer one.
+@dataclass
+class Paths:
+    """Tables of paths.
 
-    Every run of a path is a row with a digest of its nodes, met by an equi-join; so no
-    group of paths is paired within itself. Rows are path_id and nodes, an array.
+    ``steps``: path_id, place (from 0), n (steps of the path), node_id (each in one step), chrom, strand, ident, genuine and exons; gap, pos1 and pos2 of the hop to the next step, null for the
+    last. ``hop_reads``: path_id, place and read_id, a row for each read of a hop.
     """
-    n = F.size("nodes")
-    runs = paths.where(n > 1).select(F.col("path_id").alias("container"), "nodes", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    runs = runs.select("container", F.explode(F.transform(F.sequence(F.lit(1), F.least(n - F.col("i") + 1, n - 1)), lambda k: F.slice("nodes", F.col("i"), k))).alias("nodes")).distinct()
-    return paths.select("path_id", "nodes").join(runs, "nodes").select("path_id", "container")
 
+    steps: DataFrame
+    hop_reads: DataFrame
 
-def absorbed_paths(paths: DataFrame) -> DataFrame:
-    """path_id and absorber of each contained path: its longest container, of those that with most reads, then the smallest id. A longest container is in no other path."""
-    c = contained_paths(paths).join(paths.select(F.col("path_id").alias("container"), F.size("nodes").alias("n"), "reads"), "container")
-    best = F.min_by("container", F.struct(-F.col("n"), -F.col("reads"), F.col("container"))).alias("absorber")
-    return c.groupBy("path_id").agg(best)
 
+def contained_paths(steps: DataFrame, tolerance: int = 10) -> DataFrame:
+    """path_id, container and shift: the steps of a path are, one by one, steps of another one of its length or more, from place ``shift`` on.
+
+    Nodes must have the same introns and count as one by the rule of their identities, hops the same payload. Each pair of such nodes votes for the paths and the shift that it
+    stands for, and a shift with as many votes as the path has steps is a containment; so rows grow with the pairs of nodes. Of several shifts the first counts.
+    """
+    pairs = compatible(steps.select("node_id", "chrom", "strand", "ident", "genuine", "exons"), tolerance, list(WITHIN))
+    both = pairs.select(F.col("node1").alias("inner"), F.col("node2").alias("outer")).unionByName(pairs.where("kind1 = kind2").select(F.col("node2").alias("inner"), F.col("node1").alias("outer")))
+    x = steps.select("path_id", "place", "n", "node_id", "gap", gaps(F.col("exons")).alias("introns"))
+    as_ = lambda side, prefix: x.select(*(F.col(c).alias(f"{prefix}_{c}") for c in x.columns)).withColumnRenamed(f"{prefix}_node_id", side)
+    met = both.join(as_("inner", "p"), "inner").join(as_("outer", "q"), "outer")
+    met = met.where("p_path_id <> q_path_id and q_n >= p_n and p_introns = q_introns and (p_gap is null or p_gap = q_gap)")
+    votes = met.groupBy("p_path_id", "q_path_id", (F.col("q_place") - F.col("p_place")).alias("shift"), "p_n").agg(F.count("*").alias("votes"))
+    return votes.where("votes = p_n").groupBy(F.col("p_path_id").alias("path_id"), F.col("q_path_id").alias("container")).agg(F.min("shift").alias("shift"))
 
-def refined(nodes: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
-    """node and primary: nodes of equal keys with both ends within ``tolerance``, directly or through others, get the heaviest of them, then the smallest.
 
-    Rows are keys, node, n_start, n_end and weight.
+def _ranks(steps: DataFrame) -> DataFrame:
+    """path_id and rank: longer paths rank higher, then those with the larger texts of their nodes, then larger ids."""
+    node = F.concat_ws(":", "chrom", F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"))), ";"), "strand")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", node.alias("node")))), lambda s: s["node"]), "|")
+    return steps.groupBy("path_id").agg(F.first("n").alias("n"), text.alias("text")).select("path_id", F.struct("n", "text", "path_id").alias("rank"))
+
+
+def absorbers(found: DataFrame, ranks: DataFrame) -> DataFrame:
+    """path_id, absorber and shift of each path that goes, as if paths took in what they contain one after the other, the highest rank first.
+
+    A path goes if a container of higher rank stays, and stays if all of them go. What is decided in a round decides those below in the next; rounds are
+    as many as the longest chain of containers.
+    """
+    above = found.join(ranks, "path_id").withColumnRenamed("rank", "own").join(ranks.select(F.col("path_id").alias("container"), "rank"), "container").where("rank > own")
+    above = stored(above.select("path_id", "container", "shift", "rank"), "above")
+    status = stored(above.select(F.col("container").alias("path_id")).join(above.select("path_id"), "path_id", "left_anti").distinct().withColumn("stays", F.lit(True)), "status")
+    while True:
+        left = above.join(status.select("path_id"), "path_id", "left_anti").join(status.withColumnRenamed("path_id", "container"), "container", "left")
+        seen = left.groupBy("path_id").agg(F.max(F.coalesce("stays", F.lit(False))).alias("taken"), F.count_if(F.col("stays").isNull()).alias("open"))
+        new = stored(seen.where("taken or open = 0").select("path_id", (~F.col("taken")).alias("stays")), "decided")
+        if new.isEmpty():
+            break
+        status = stored(status.unionByName(new), "status")
+    gone, staying = status.where("not stays").select("path_id"), status.where("stays").select(F.col("path_id").alias("container"))
+    best = above.join(gone, "path_id", "left_semi").join(staying, "container", "left_semi").groupBy("path_id").agg(F.max_by(F.struct("container", "shift"), "rank").alias("b"))
+    return best.select("path_id", F.col("b.container").alias("absorber"), F.col("b.shift").alias("shift"))
+
+
+def absorb(paths: Paths, tolerance: int = 10) -> tuple[Paths, DataFrame]:
+    """The paths that stay, with all that they took in, and path_id and absorber of every path (of those that stay, themselves).
+
+    A node that took in others spans them all; a hop has the reads of all, and the outermost breakpoints. As nodes grow, a path may come to contain another
+    that it didn't before, so the fold is repeated until no path contains another.
     """
-    pairs = near_pairs(nodes, keys, "node", "n_start", "n_end", tolerance)
-    parts = connected_components(pairs.select("node1", "node2"), "node1", "node2")
-    x = nodes.select("node", "weight").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = x.groupBy("component").agg(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))).alias("primary"))
-    return x.join(best, "component").select("node", "primary")
+    steps, reads = stored(paths.steps, "steps"), stored(paths.hop_reads, "hop_reads")
+    names = stored(steps.select("path_id", F.col("path_id").alias("absorber")).distinct(), "names")
+    while True:
+        found = stored(contained_paths(steps, tolerance), "contained")
+        if found.isEmpty():
+            return Paths(steps, reads), names
+        gone = stored(absorbers(found, _ranks(steps)), "absorbers")
+        moved = lambda x: x.join(gone, "path_id", "left").withColumn("place", F.col("place") + F.coalesce("shift", F.lit(0)).cast("int")).withColumn("path_id", F.coalesce("absorber", "path_id"))
+        lo, hi = F.min(F.element_at("exons", 1)["start"]).alias("lo"), F.max(F.element_at("exons", -1)["end"]).alias("hi")
+        grown = moved(steps).groupBy("path_id", "place").agg(lo, hi, *(getattr(F, f)(c).alias(f"{f}_{c}") for f in ("min", "max") for c in ("pos1", "pos2")))
+        last = F.size("exons") - 1
+        exons = F.transform("exons", lambda e, i: F.struct(F.when(i == 0, F.col("lo")).otherwise(e["start"]).alias("start"), F.when(i == last, F.col("hi")).otherwise(e["end"]).alias("end")))
+        kept = steps.join(gone.select("path_id"), "path_id", "left_anti").join(grown, ["path_id", "place"])
+        following = F.lead("strand").over(Window.partitionBy("path_id").orderBy("place"))
+        one, two = F.when(F.col("strand") == "+", F.col("max_pos1")).otherwise(F.col("min_pos1")), F.when(following == "+", F.col("min_pos2")).otherwise(F.col("max_pos2"))
+        kept = kept.withColumns({"exons": exons, "_one": one, "_two": two}).withColumns({"pos1": F.when(F.col("gap").isNotNull(), F.col("_one")), "pos2": F.when(F.col("gap").isNotNull(), F.col("_two"))})
+        steps, reads = stored(kept.select(*steps.columns), "steps"), stored(moved(reads).select("path_id", "place", "read_id").distinct(), "hop_reads")
+        to = gone.select(F.col("path_id").alias("absorber"), F.col("absorber").alias("_to"))
+        names = stored(names.join(to, "absorber", "left").select("path_id", F.coalesce("_to", "absorber").alias("absorber")), "names")
 
 
 def consensus(reads: DataFrame, key: str, bases: str) -> DataFrame:

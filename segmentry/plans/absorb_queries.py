@@ -5,37 +5,65 @@ from pyspark.sql import functions as F
 
 from segmentry.operators import absorb, graph, paths
 from segmentry.operators.ranges import range_join
-from segmentry.plans.path_queries import _PATHS, _WAYS, _hops, _recursive
+from segmentry.plans.graph_queries import _BASE
+from segmentry.plans.node_queries import _MERGED, _ORDER
+from segmentry.plans.path_queries import _PATHS, _hops
 from segmentry.plans.queries import _GRAPH, _HOP, _SEG, _WITH, _segments, query
+from segmentry.shared import stored
 from segmentry.sources import adapters as A
 from segmentry.sources import sinks
 
 
-def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.structures(_segments(spark, sf_dir)).select("path_id", "reads", F.split("path", r"\|").alias("nodes"))
-
-
-_IN = f"""{_SEG}, {_PATHS}, c as (select a.path_id, b.path_id as container, len(string_split(b.path, '|')) as n, b.reads from s a join s b on a.fam = b.fam and a.path_id <> b.path_id and contains(concat('|', b.path, '|'), concat('|', a.path, '|'))),
- ab as (select path_id, container as absorber from (select *, row_number() over (partition by path_id order by n desc, reads desc, container) as r from c) where r = 1)"""
-
-
-@query(f"{_IN} select path_id, container from c")
+_STEPS = f"""{_BASE}, st as (select least_id as path_id, cast(row_number() over (partition by least_id order by node_id) - 1 as int) as place, count(*) over (partition by least_id) as n, node_id, ident, chrom, strand, genuine, t, lo, hi
+   from (select nodes.node_id, nodes.ident, nodes.chrom, nodes.strand, nodes.genuine, nodes.t, lo, hi, min(nodes.node_id) over (partition by floor(nodes.node_id / 3), floor(nodes.node_id / 16)) as least_id from nodes join spans using (node_id))),
+ sp as (select st.*, gap, pos1, pos2 from st left join ({A.PATH_EDGES}) x on x.src = node_id),
+ dp as (select node1 as i, node2 as o from pairs where {_ORDER} and {_MERGED} and t1 = t2 and concat(kind1, kind2) <> 'HEADTAIL' union all select node2, node1 from pairs where {_ORDER} and {_MERGED} and t1 = t2 and kind1 = kind2),
+ cv as (select p.path_id, q.path_id as container, q.place - p.place as shift, count(*) as votes, p.n from dp join sp p on p.node_id = i join sp q on q.node_id = o
+   where p.path_id <> q.path_id and q.n >= p.n and (p.gap is null or p.gap = q.gap) group by all),
+ ct as (select path_id, container, cast(min(shift) as int) as shift from cv where votes = n group by all)"""
+# Ranks as texts; the fold is unrolled as often as the data need.
+_FOLD = f"""{_STEPS}, xt as (select node_id, string_agg(concat(e_start, '-', e_end), ';' order by i) as exons from raw group by 1),
+ rk as (select path_id, row_number() over (order by max(n), string_agg(concat(chrom, ':', exons, ':', strand), '|' order by place), path_id) as r from sp join xt using (node_id) group by 1),
+ ab as (select ct.*, b.r from ct join rk a on a.path_id = ct.path_id join rk b on b.path_id = container where b.r > a.r),
+ s1 as (select path_id from rk where path_id not in (select path_id from ab)), g1 as (select distinct path_id from ab where container in (from s1)),
+ s2 as (select path_id from rk where path_id not in (from s1) and path_id not in (from g1) and path_id not in (select path_id from ab where container not in (from g1))),
+ g2 as (select distinct path_id from ab where container in (from s1) or container in (from s2)), s3 as (select path_id from rk where path_id not in (from g2) and path_id not in (select path_id from ab where container not in (from g2))),
+ g3 as (select distinct path_id from ab where container in (from s3)),
+ gone as (select path_id, container as absorber, shift from (select ab.*, row_number() over (partition by path_id order by r desc) as k from ab where container in (from s3)) where k = 1 and path_id in (from g3)),
+ mv as (select coalesce(absorber, sp.path_id) as path_id, place + coalesce(shift, 0) as place, sp.path_id as origin, place as origin_place, lo, hi, pos1, pos2, strand from sp left join gone using (path_id)),
+ hr as (select mv.path_id, mv.place, count(distinct read_id) as sr from mv join sp on sp.path_id = origin and sp.place = origin_place join er on er.src = sp.node_id group by all),
+ gr as (select path_id, place, min(lo) as lo, max(hi) as hi, min(pos1) as a1, max(pos1) as b1, min(pos2) as a2, max(pos2) as b2 from mv group by all),
+ fin as (select sp.path_id, sp.place, gr.lo as n_start, gr.hi as n_end, sp.gap, case when sp.gap is null then null when strand = '+' then b1 else a1 end as pos1,
+   case when sp.gap is null then null when lead(strand) over (partition by sp.path_id order by sp.place) = '+' then a2 else b2 end as pos2 from sp join gr using (path_id, place) where sp.path_id not in (select path_id from gone))"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> absorb.Paths:
+    nodes, graph, _ = A.path_graph(spark, sf_dir)
+    own = Window.partitionBy(F.floor(F.col("node_id") / 3), F.floor(F.col("node_id") / 16))
+    steps = nodes.select("*", F.min("node_id").over(own).alias("path_id"), (F.row_number().over(own.orderBy("node_id")) - 1).alias("place"), F.count("*").over(own).alias("n"))
+    steps = stored(steps.join(graph.edges.withColumnRenamed("src", "node_id").drop("dst"), "node_id", "left").drop("fam"), "steps")
+    hops = graph.edge_reads.select(F.col("src").alias("node_id"), "read_id").join(steps.select("node_id", "path_id", "place"), "node_id").select("path_id", "place", "read_id")
+    return absorb.Paths(steps, hops)
+
+
+@query(f"{_STEPS} select path_id, container, shift from ct")
 def join_path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return absorb.contained_paths(_structures(spark, sf_dir))
+    """Paths that are, node by node and hop by hop, within another, and from which place on."""
+    return absorb.contained_paths(_paths(spark, sf_dir).steps).select("path_id", "container", F.col("shift").cast("int").alias("shift"))
 
 
-@query(f"{_IN} select path_id, absorber from ab")
+@query(f"{_FOLD} select path_id, place, n_start, n_end, gap, pos1, pos2, sr from fin left join hr using (path_id, place)")
 def absorb_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return absorb.absorbed_paths(_structures(spark, sf_dir))
+    """The steps of the paths that stay: what their nodes span, and the breakpoints and reads of their hops with those of the paths taken in."""
+    kept, _ = absorb.absorb(_paths(spark, sf_dir))
+    steps = kept.steps.select("path_id", "place", F.element_at("exons", 1)["start"].alias("n_start"), F.element_at("exons", -1)["end"].alias("n_end"), "gap", "pos1", "pos2")
+    return steps.join(kept.hop_reads.groupBy("path_id", "place").agg(F.count_distinct("read_id").alias("sr")), ["path_id", "place"], "left")
 
 
-@query(f"{_IN} select path_id, 1 + (select count(*) from ab where absorber = s.path_id) as merge_factor from s where path_id not in (select path_id from ab)")
+@query(f"{_FOLD} select coalesce(absorber, path_id) as path_id, count(*) as merge_factor from rk left join gone using (path_id) group by 1")
 def agg_merge_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One and the number of paths that a remaining path took in."""
-    s = _structures(spark, sf_dir)
-    gone = absorb.absorbed_paths(s)
-    n = gone.groupBy(F.col("absorber").alias("path_id")).agg(F.count("*").alias("n"))
-    return s.join(gone, "path_id", "left_anti").join(n, "path_id", "left").select("path_id", (F.coalesce("n", F.lit(0)) + 1).alias("merge_factor"))
+    """How many paths one that stays stands for, itself included."""
+    return absorb.absorb(_paths(spark, sf_dir))[1].groupBy(F.col("absorber").alias("path_id")).agg(F.count("*").alias("merge_factor"))
 
 
 @query(f"""{_SEG}, {_PATHS}, reads as ({A.READS.replace("as string", "as varchar")}), l as (select path_id, unnest(string_split(bases, '')) as base, unnest(range(0, q_len)) as place from p join s using (path) join reads using (read_id)),
