@@ -1,11 +1,12 @@
 """Parts of reads that are placed on the reference again, and what becomes of their alignments."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmentry.functions import cigar as C
 from segmentry.operators.genome import genome_slice, stranded
 from segmentry.operators.junctions import affix_length, insertion_flanks
+from segmentry.shared import stored
 
 
 def _seeds(df: DataFrame, key: str, bases: str, k: int, at: str) -> DataFrame:
@@ -14,17 +15,92 @@ def _seeds(df: DataFrame, key: str, bases: str, k: int, at: str) -> DataFrame:
     return x.withColumn("seed", F.substring(F.col(bases), F.col(at) + 1, F.lit(k))).drop(bases)
 
 
-def seed_hits(queries: DataFrame, reference: DataFrame, k: int = 14, band: int = 16, least: int = 20) -> DataFrame:
-    """Where queries (query, bases) lie on the contigs of ``reference`` (contig, bases), on either strand, by the seeds that they share.
+def turned(queries: DataFrame) -> DataFrame:
+    """query, strand and bases: each query as it is and reverse-complemented."""
+    both = F.array(F.struct(F.lit("+").alias("strand"), "bases"), F.struct(F.lit("-").alias("strand"), C.reverse_complement(F.col("bases")).alias("bases")))
+    return queries.select("query", F.explode(both).alias("q")).select("query", "q.*")
 
-    Shared seeds of a query, contig, strand and band of diagonals are one hit: its ``score`` is the number of the query's seeds in it, ``least`` at least. Only
-    the queries are turned, so the reference is cut into seeds once; seeds meet by an equi-join, and counts are partial before their exchange.
+
+def seed_blocks(queries: DataFrame, reference: DataFrame, k: int = 14, most: int = 64, least: int = 20) -> DataFrame:
+    """Where bases of queries (query, bases) and of contigs (contig, bases) agree: query, strand, contig, q0, q1, p0, p1 and n, the query's seeds in the block.
+
+    Blocks are runs of shared seeds of ``k`` bases on one diagonal, each seed next to the one before or overlapping it. Only the queries are turned, so the reference is cut into seeds once. A seed
+    that stands at more than ``most`` places of the reference doesn't make blocks, so rows are at most ``most`` times the queries' seeds. A query
+    the rest of whose seeds are fewer than ``least`` is looked up whole instead, by its rarest seed, at the first and the last place of each run of it: a stretch of one
+    base is one row, however long it is.
+    """
+    both = stored(turned(queries), "turned")
+    asked = stored(_seeds(both, "query", "bases", k, "i"), "asked")
+    there = stored(_seeds(reference, "contig", "bases", k, "pos").join(asked.select("seed").distinct(), "seed", "left_semi"), "there")
+    counts = stored(there.groupBy("seed").agg(F.count("*").alias("n")), "counts")
+    # Each of these seeds has few places.
+    few = asked.join(counts.where(F.col("n") <= most).select("seed"), "seed").join(there, "seed").select("query", "strand", "contig", "i", "pos")
+    line = Window.partitionBy("query", "strand", "contig", (F.col("pos") - F.col("i"))).orderBy("i")
+    few = few.withColumn("new", (F.col("i") - F.lag("i", 1, -2 * k).over(line) > k).cast("int")).withColumn("run", F.sum("new").over(line))
+    runs = few.groupBy("query", "strand", "contig", (F.col("pos") - F.col("i")).alias("d"), "run").agg(F.min("i").alias("q0"), (F.max("i") + k).alias("q1"), F.count("*").alias("n"))
+    blocks = runs.select("query", "strand", "contig", "q0", "q1", (F.col("q0") + F.col("d")).alias("p0"), (F.col("q1") + F.col("d")).alias("p1"), "n")
+
+    seen = asked.join(counts, "seed", "left").groupBy("query", "strand").agg(
+        F.count("*").alias("seeds"), F.count_if(F.col("n") > most).alias("many"), F.min(F.when(F.col("n") > most, F.struct("n", "i", "seed"))).alias("rarest"), F.count_if(F.col("n").isNull()).alias("absent")
+    )
+    whole = seen.where((F.col("many") > 0) & (F.col("seeds") - F.col("many") < least) & (F.col("absent") == 0)).select("query", "strand", "seeds", "rarest.i", "rarest.seed")
+    own = there.join(whole.select("seed").distinct(), "seed", "left_semi")
+    step = Window.partitionBy("contig", "seed").orderBy("pos")
+    own = own.withColumn("run", F.col("pos") - F.row_number().over(step)).groupBy("contig", "seed", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    places = own.select("contig", "seed", F.explode(F.array_distinct(F.array("first", "last"))).alias("pos"))
+    tried = whole.join(places, "seed").join(both, ["query", "strand"]).withColumn("p0", F.col("pos") - F.col("i")).where("p0 >= 0")
+    tried = tried.join(reference.select("contig", F.col("bases").alias("own")), "contig").where(F.substring("own", F.col("p0") + 1, F.length("bases")) == F.col("bases"))
+    exact = tried.select("query", "strand", "contig", F.lit(0).alias("q0"), F.length("bases").alias("q1"), "p0", (F.col("p0") + F.length("bases")).alias("p1"), F.col("seeds").alias("n")).distinct()
+    # What few places gave such a query is part of these.
+    return blocks.join(whole.select("query", "strand"), ["query", "strand"], "left_anti").unionByName(exact)
+
+
+def chained(blocks: DataFrame, reach: int = 1000, shift: int = 100, least: int = 20) -> DataFrame:
+    """``blocks`` with ``hit``, the number of the chain that they are in among those of the query, strand and contig, ``score`` (its seeds), ``hit_start`` and ``hit_end``; chains of ``least`` seeds and more.
+
+    Along the contig, a block goes on from the one before if it ends later in both, lies within ``reach`` of its end and has at most ``shift`` more of the query than of the contig between them; so a deletion
+    or an intron up to ``reach`` and an insertion up to ``shift`` stay within a hit.
+    """
+    w = Window.partitionBy("query", "strand", "contig").orderBy("p0", "q0", "p1")
+    last = lambda c: F.lag(c).over(w)
+    on = (F.col("q0") > last("q0")) & (F.col("q1") > last("q1")) & (F.col("p0") > last("p0")) & (F.col("p1") > last("p1")) & (F.col("p0") - last("p1") <= reach)
+    on = on & (F.col("p0") - F.col("q0") - last("p0") + last("q0") >= -shift)
+    x = blocks.withColumn("new", F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).withColumn("hit", F.sum("new").over(w)).drop("new")
+    h = Window.partitionBy("query", "strand", "contig", "hit")
+    x = x.withColumns({"score": F.sum("n").over(h), "hit_start": F.min("p0").over(h), "hit_end": F.max("p1").over(h)})
+    return x.where(F.col("score") >= least)
+
+
+def seed_hits(queries: DataFrame, reference: DataFrame, k: int = 14, most: int = 64, reach: int = 1000, shift: int = 100, least: int = 20) -> DataFrame:
+    """Where queries lie on contigs, on either strand: query, strand, contig, hit_start, hit_end, score and n_blocks of each chain of ``seed_blocks``."""
+    x = chained(seed_blocks(queries, reference, k, most, least), reach, shift, least)
+    return x.groupBy("query", "strand", "contig", "hit", "hit_start", "hit_end", "score").agg(F.count("*").alias("n_blocks")).drop("hit")
+
+
+def hit_alignments(hits: DataFrame, queries: DataFrame, reference: DataFrame, intron: int = 70) -> DataFrame:
+    """``chained`` blocks as alignments: query, strand, contig, pos, cigar and nm of each hit.
+
+    Where blocks overlap the later one begins later. Between blocks the bases that both have are aligned one by one, and the rest is an insertion, a deletion, or from ``intron`` bases on an
+    intron; what stands outside of the first and the last block is clipped. ``nm`` counts inserted, deleted and unequal bases.
     """
-    turned = queries.select("query", F.explode(F.array(F.struct(F.lit("+").alias("strand"), "bases"), F.struct(F.lit("-").alias("strand"), C.reverse_complement(F.col("bases")).alias("bases")))).alias("q")).select("query", "q.*")
-    met = _seeds(turned, "query", "bases", k, "i").join(_seeds(reference, "contig", "bases", k, "pos"), "seed")
-    met = met.withColumn("band", F.floor((F.col("pos") - F.col("i")) / band))
-    hits = met.groupBy("query", "contig", "strand", "band").agg(F.count_distinct("i").alias("score"), F.min("pos").alias("hit_start"), (F.max("pos") + k).alias("hit_end"))
-    return hits.where(F.col("score") >= least)
+    w = Window.partitionBy("query", "strand", "contig", "hit").orderBy("p0")
+    end_q, end_p = F.lag("q1").over(w), F.lag("p1").over(w)
+    x = hits.withColumn("cut", F.greatest(F.coalesce(end_q - F.col("q0"), F.lit(0)), F.coalesce(end_p - F.col("p0"), F.lit(0)), F.lit(0)))
+    x = x.withColumns({"q0": F.col("q0") + F.col("cut"), "p0": F.col("p0") + F.col("cut"), "end_q": end_q, "end_p": end_p})
+    x = x.withColumns({"both": F.least(F.col("q0") - F.col("end_q"), F.col("p0") - F.col("end_p")), "more": F.col("p0") - F.col("end_p") - F.col("q0") + F.col("end_q")})
+    x = x.join(turned(queries), ["query", "strand"]).join(reference.select("contig", F.col("bases").alias("own")), "contig")
+    part = lambda c, at: F.substring(c, F.col(at) + 1, F.col("both"))
+    x = x.withColumns({"a": part("bases", "end_q"), "b": part("own", "end_p"), "q_len": F.length("bases")}).drop("bases", "own")
+    unequal = F.expr("size(filter(sequence(1, greatest(both, 1)), i -> i <= both and substring(a, i, 1) <> substring(b, i, 1)))")
+    x = x.withColumn("off", F.coalesce(unequal, F.lit(0)) + F.when(F.col("more") >= intron, 0).otherwise(F.coalesce(F.abs("more"), F.lit(0))))
+    gap = F.when(F.col("more") >= intron, F.concat("more", F.lit("N"))).when(F.col("more") > 0, F.concat("more", F.lit("D"))).when(F.col("more") < 0, F.concat(-F.col("more"), F.lit("I"))).otherwise("")
+    text = F.concat(F.when(F.col("both") > 0, F.concat("both", F.lit("M"))).otherwise(""), F.coalesce(gap, F.lit("")), F.concat(F.col("q1") - F.col("q0"), F.lit("M")))
+    rows = x.groupBy("query", "strand", "contig", "hit").agg(
+        F.min("p0").alias("pos"), F.min("q0").alias("lead"), (F.max("q_len") - F.max("q1")).alias("tail"), F.sum("off").cast("int").alias("nm"), F.array_sort(F.collect_list(F.struct("p0", text.alias("t")))).alias("ts")
+    )
+    clip = lambda c: F.when(F.col(c) > 0, F.concat(c, F.lit("S"))).otherwise("")
+    cigar = C.normalized(F.concat(clip("lead"), F.array_join(F.transform("ts", lambda t: t["t"]), ""), clip("tail")))
+    return rows.select("query", "strand", "contig", "pos", cigar.alias("cigar"), "nm")
 
 
 def clip_alignment(clips: DataFrame, genome: DataFrame, most_shared: int = 10, max_nm: int = 100) -> DataFrame:

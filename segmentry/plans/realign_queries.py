@@ -41,16 +41,44 @@ _SEEDS = f"""with contigs as ({_CONTIGS.replace('GLOBAL', ", 'g'")}),
  t as (select query, '+' as strand, bases from q union all select query, '-', {_rc('bases')} from q),
  qs as (select query, strand, i, substr(bases, cast(i + 1 as int), 14) as seed from (select *, unnest(range(0, length(bases) - 13)) as i from t)),
  rs as (select contig, pos, substr(bases, cast(pos + 1 as int), 14) as seed from (select *, unnest(range(0, length(bases) - 13)) as pos from contigs where length(bases) >= 14)),
- hits as (select query, contig, strand, cast(floor((pos - i) / 16.0) as bigint) as band, count(distinct i) as score, cast(min(pos) as int) as hit_start, cast(max(pos) + 14 as int) as hit_end from qs join rs using (seed) group by 1, 2, 3, 4 having count(distinct i) >= 20)"""
+ th as (select * from rs semi join qs using (seed)), fr as (select seed, count(*) as n from th group by 1),
+ few as (select query, strand, contig, i, pos from qs join (select seed from fr where n <= 64) using (seed) join th using (seed)),
+ rn as (select *, sum(new) over (partition by query, strand, contig, pos - i order by i rows unbounded preceding) as run from (select *, case when i - lag(i, 1, -28) over (partition by query, strand, contig, pos - i order by i) > 14 then 1 else 0 end as new from few)),
+ bl as (select query, strand, contig, min(i) as q0, max(i) + 14 as q1, min(pos) as p0, max(pos) + 14 as p1, count(*) as n from rn group by query, strand, contig, pos - i, run),
+ wh as (select query, strand, count(*) as seeds, first({{'i': i, 'seed': seed}} order by n, i) filter (n > 64) as r from qs left join fr using (seed) group by 1, 2 having count(*) filter (n > 64) > 0 and count(*) - count(*) filter (n > 64) < 20 and count(*) filter (n is null) = 0),
+ isl as (select contig, seed, min(pos) as first, max(pos) as last from (select *, pos - row_number() over (partition by contig, seed order by pos) as run from th where seed in (select r.seed from wh)) group by contig, seed, run),
+ ex as (select distinct query, strand, contig, 0 as q0, length(t.bases) as q1, pos - r.i as p0, pos - r.i + length(t.bases) as p1, seeds as n from wh join (select contig, seed, unnest([first, last]) as pos from isl) s on s.seed = r.seed
+   join t using (query, strand) join contigs c using (contig) where pos >= r.i and substr(c.bases, cast(pos - r.i + 1 as int), length(t.bases)) = t.bases),
+ ab as (select * from bl anti join wh using (query, strand) union all select * from ex),
+ ch as (select *, sum(new) over (partition by query, strand, contig order by p0, q0, p1 rows unbounded preceding) as hit from (select *, case when q0 > lag(q0) over w and q1 > lag(q1) over w and p0 > lag(p0) over w and p1 > lag(p1) over w
+   and p0 - lag(p1) over w <= 1000 and p0 - q0 - lag(p0) over w + lag(q0) over w >= -100 then 0 else 1 end as new from ab window w as (partition by query, strand, contig order by p0, q0, p1))),
+ hits as (select * from (select *, sum(n) over h as score, min(p0) over h as hit_start, max(p1) over h as hit_end from ch window h as (partition by query, strand, contig, hit)) where score >= 20)"""
+
+
+def _contigs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, contigs)."""
+    contigs = spark.sql(_CONTIGS.replace("GLOBAL", "").replace("from documents", "from {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    part = F.substring(F.col("bases"), (F.col("contig") * 37 % (F.length("bases") - 59) + 1).cast("int"), F.lit(60))
+    return contigs.where(F.length("bases") >= 60).select(F.col("contig").alias("query"), F.when(F.col("contig") % 2 == 1, C.reverse_complement(part)).otherwise(part).alias("bases")), contigs
 
 
-@query(f"{_SEEDS} select * from hits")
+@query(f"{_SEEDS} select query, strand, contig, cast(hit_start as int) as hit_start, cast(hit_end as int) as hit_end, cast(score as bigint) as score, count(*) as n_blocks from hits group by query, strand, contig, hit, hit_start, hit_end, score")
 def realign_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where sixty bases of each contig are found in all contigs."""
-    contigs = spark.sql(_CONTIGS.replace("GLOBAL", "").replace("from documents", "from {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    part = F.substring(F.col("bases"), (F.col("contig") * 37 % (F.length("bases") - 59) + 1).cast("int"), F.lit(60))
-    q = contigs.where(F.length("bases") >= 60).select(F.col("contig").alias("query"), F.when(F.col("contig") % 2 == 1, C.reverse_complement(part)).otherwise(part).alias("bases"))
-    return realign.seed_hits(q, contigs)
+    return realign.seed_hits(*_contigs(spark, sf_dir))
+
+
+@query(f"""{_SEEDS}, g as (select *, greatest(coalesce(lag(q1) over w - q0, 0), coalesce(lag(p1) over w - p0, 0), 0) as cut, lag(q1) over w as eq, lag(p1) over w as ep from hits window w as (partition by query, strand, contig, hit order by p0)),
+ m as (select query, strand, contig, hit, q0 + cut as q0, p0 + cut as p0, q1, least(q0 + cut - eq, p0 + cut - ep) as common, p0 - ep - q0 + eq as more, eq, ep from g),
+ o as (select m.*, length(t.bases) as q_len, coalesce(len(list_filter(range(1, common + 1), lambda i: substr(t.bases, cast(eq + i as int), 1) <> substr(c.bases, cast(ep + i as int), 1))), 0) as off from m join t using (query, strand) join contigs c using (contig)),
+ a as (select *, q1 - q0 + coalesce(lead(common) over w, 0) as matched, lead(more) over w as next, sum(case when more = 0 then 0 else 1 end) over (w rows unbounded preceding) as part from o window w as (partition by query, strand, contig, hit order by p0)),
+ b as (select query, strand, contig, hit, part, min(p0) as p0, min(q0) as q0, max(q1) as q1, max(q_len) as q_len, sum(matched) as matched, last(next order by p0) as next, sum(off + case when more >= 70 then 0 else abs(coalesce(more, 0)) end) as off from a group by all)
+ select query, strand, contig, cast(min(p0) as int) as pos, concat(case when min(q0) > 0 then concat(min(q0), 'S') else '' end, string_agg(concat(matched, 'M', case when next >= 70 then concat(next, 'N') when next > 0 then concat(next, 'D') when next < 0 then concat(-next, 'I') else '' end), '' order by p0),
+   case when max(q_len) > max(q1) then concat(max(q_len) - max(q1), 'S') else '' end) as cigar, cast(sum(off) as int) as nm from b group by query, strand, contig, hit""")
+def hit_to_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits as alignments with their unequal bases."""
+    queries, contigs = _contigs(spark, sf_dir)
+    return realign.hit_alignments(realign.chained(realign.seed_blocks(queries, contigs)), queries, contigs)
 
 
 def _affix(a: str, b: str, side: str) -> str:
@@ -60,7 +88,7 @@ def _affix(a: str, b: str, side: str) -> str:
 
 # The clip toward the next segment is placed there; every third hit begins and ends with an operation that isn't a match. The read shares with the genome what stands before the hit, from 0 to 14 bases.
 _CLIPPED = f"""{_SEG}, genome as ({A.SITES_GENOME}), h as (select a.read_id, a.seg_ord, a.strand, a.q_len, a.nm, case when a.strand = '+' then 'MS' else 'SM' end as mode, case when a.strand = '+' then a.rt else a.lt end as clip_len,
-  b.chrom, b.ref_start as hit_start, b.ref_end as hit_end, b.strand as hit_strand, b.nm * 10 as hit_nm, case when b.nm % 3 = 0 then concat('2S', b.q_match, 'M3S') else concat(b.q_match, 'M') end as hit_cigar
+  b.chrom, b.ref_start as hit_start, b.ref_end as hit_end, b.strand as hit_strand, b.nm * 10 as hit_nm, case when b.nm % 3 = 0 then concat('2S', b.q_match, 'M3S') else concat(b.q_match, 'M') end as hit_cigar, b.ref_end - b.ref_start - b.q_match as skip
   from seg a join seg b on a.read_id = b.read_id and b.seg_ord = a.seg_ord + 1),
  x as (select *, case when (strand = hit_strand) = (mode = 'MS') then hit_start - 15 else hit_end end as a, (strand = hit_strand) = (mode = 'MS') as is_left from h),
  r as (select *, case when hit_strand = '-' then {_rc(_slice('a', 'a + 15'))} else {_slice('a', 'a + 15')} end as ref from x),
@@ -70,10 +98,12 @@ _CLIPPED = f"""{_SEG}, genome as ({A.SITES_GENOME}), h as (select a.read_id, a.s
 
 
 @query(f"""{_CLIPPED} select read_id, seg_ord, chrom, case when is_left then hit_start - shared else hit_start end as sa_start, hit_strand, cast(shared as int) as shared,
- case when is_left then concat(case when q_len - clip_len - shared > 0 then concat(q_len - clip_len - shared, 'S') else '' end, case when hit_cigar like '2S%' then '' when shared > 0 then '' else '' end) else '' end as lead_clip
+ case when hit_cigar like '2S%' and is_left then concat(q_len - clip_len + 2, substr(hit_cigar, 2)) when hit_cigar like '2S%' then concat(left(hit_cigar, len(hit_cigar) - 2), q_len - clip_len + 3, 'S')
+   when is_left then concat(case when q_len - clip_len > shared then concat(q_len - clip_len - shared, 'S') else '' end, hit_end - hit_start - skip + shared, 'M')
+   else concat(hit_end - hit_start - skip + shared, 'M', case when q_len - clip_len > shared then concat(q_len - clip_len - shared, 'S') else '' end) end as sa_cigar
  from g where shared <= 10 and hit_nm < 100""")
 def softclip_to_chimeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a read's list made of placed clips: start, the bases grown over, and the clip before the hit."""
+    """Entries of a read's list made of placed clips: start, the bases grown over, and the CIGAR of the whole read."""
     genome = A.sites_genome(_segments(spark, sf_dir))
     h = S.pair_modes(S.adjacent_segments(_segments(spark, sf_dir), ("nm",)))
     hit = F.when(F.col("nm2") % 3 == 0, F.concat(F.lit("2S"), F.col("q_match2").cast("string"), F.lit("M3S"))).otherwise(F.concat(F.col("q_match2").cast("string"), F.lit("M")))
@@ -92,9 +122,7 @@ def softclip_to_chimeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     fill = lambda n: F.repeat(F.lit("N"), n)
     bases = F.when(outer, F.concat(fill(F.col("q_len") - F.col("clip_len") - 15), own, fill(F.col("clip_len")))).otherwise(F.concat(fill(F.col("clip_len")), own, fill(F.col("q_len") - F.col("clip_len") - 15)))
     x = realign.clip_alignment(x.withColumn("bases", bases).drop("_a", "_b", "_r"), genome)
-    lead = F.when(left, F.regexp_extract("sa_cigar", "^[0-9]+S", 0)).otherwise("")
-    plain = F.when(F.col("hit_cigar").startswith("2S") & left, F.concat((F.col("q_len") - F.col("clip_len")).cast("string"), F.lit("S"))).otherwise(lead)
-    return x.select("read_id", "seg_ord", "chrom", "sa_start", "hit_strand", "shared", plain.alias("lead_clip"))
+    return x.select("read_id", "seg_ord", "chrom", "sa_start", "hit_strand", "shared", "sa_cigar")
 
 
 # An insertion of 20 and more after the first 100 bases; its hit lies up to 15 beside it, on another chromosome or strand now and then.

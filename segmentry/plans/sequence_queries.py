@@ -109,7 +109,7 @@ def join_refine_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with exons as ({A.EXONS}), b as (select *, e_start - lag(e_end) over (partition by tx order by e_start) as gap from exons)
  select tx, min(e_start) as pos, string_agg(concat(case when gap is null then '' when gap >= 690 then concat(gap, 'N') else concat(gap, 'D') end, e_end - e_start, 'M'), '' order by e_start) as cigar from b group by 1""")
-def hit_to_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exons_to_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a hit as one alignment: gaps up from a length are introns, shorter ones deletions."""
     b = A.exons(spark, sf_dir).withColumn("gap", F.col("e_start") - F.lag("e_end").over(Window.partitionBy("tx").orderBy("e_start")))
     gap = F.when(F.col("gap").isNull(), "").otherwise(F.concat(F.col("gap").cast("string"), F.when(F.col("gap") >= 690, "N").otherwise("D")))
