@@ -51,18 +51,21 @@ def supported(links: DataFrame, with_reads: bool = False) -> DataFrame:
     return links.groupBy(keys).agg(F.count_distinct("read_id").alias("support"), F.min("read_id").alias("first_read"), *([ids] if with_reads else []))
 
 
-def genes_at(points: DataFrame, genes: DataFrame, chrom: str, pos: str, name: str, margin: int = 5) -> DataFrame:
-    """Add the sorted names of the genes over a position, joined by ``&``; INTERGENIC if there is none.
+def genes_at(points: DataFrame, genes: DataFrame, *at: tuple[str, str, str], margin: int = 5) -> DataFrame:
+    """For each (chromosome, position, name) add as ``name`` the sorted names of the genes over the position, joined by ``&``; INTERGENIC if there is none.
 
-    Distinct positions are looked up once, then joined back. The points are stored, as both read them.
+    The distinct positions of all of them are looked up once, then joined back. The points are stored, as both read them.
     """
     points = stored(points, "points")
-    spots = points.select(F.col(chrom).alias("_c"), F.col(pos).alias("_p")).distinct()
+    spots = points.select(F.explode(F.array(*(F.struct(F.col(c).alias("_c"), F.col(p).cast("long").alias("_p")) for c, p, _ in at))).alias("s")).select("s.*").distinct()
     spans = genes.select("gene", F.col("chrom").alias("_gc"), (F.col("g_start") - margin).alias("_s"), (F.col("g_end") + margin).alias("_e"))
     hit = range_join(spots, spans, (F.col("_p") >= F.col("_s")) & (F.col("_p") < F.col("_e")), ("_c", "_gc"), ("_p", "_p"), ("_s", "_e"))
-    names = hit.groupBy("_c", "_p").agg(F.array_join(F.array_sort(F.collect_set("gene")), "&").alias(name))
-    out = points.join(names, (F.col(chrom) == F.col("_c")) & (F.col(pos) == F.col("_p")), "left").drop("_c", "_p")
-    return out.withColumn(name, F.coalesce(name, F.lit("INTERGENIC")))
+    names = hit.groupBy("_c", "_p").agg(F.array_join(F.array_sort(F.collect_set("gene")), "&").alias("_names"))
+    names = stored(names, "names") if len(at) > 1 else names
+    for c, p, name in at:
+        found = names.select(F.col("_c").alias(f"_c_{name}"), F.col("_p").alias(f"_p_{name}"), F.col("_names").alias(name))
+        points = points.join(found, (F.col(c) == F.col(f"_c_{name}")) & (F.col(p) == F.col(f"_p_{name}")), "left").drop(f"_c_{name}", f"_p_{name}").withColumn(name, F.coalesce(name, F.lit("INTERGENIC")))
+    return points
 
 
 def filter_same_exon(links: DataFrame, exons: DataFrame, boundary: int = 5) -> DataFrame:

@@ -10,8 +10,8 @@ CHUNK, SHIFT = 5000, 100
 CANONICAL = ("GT-AG", "GC-AG", "AT-AC")
 
 
-def genome_slice(spans: DataFrame, genome: DataFrame, chrom: str, start: str, end: str, name: str) -> DataFrame:
-    """Add the bases of [start, end) of ``chrom``; null where a chunk is missing.
+def genome_slice(spans: DataFrame, genome: DataFrame, chrom: str, start: str, end: str, name: str, pad: bool = False) -> DataFrame:
+    """Add the bases of [start, end) of ``chrom``; where a chunk is missing null, or with ``pad`` as many N.
 
     Distinct spans are looked up once. A span goes to the chunks it touches, one or two for motifs,
     and its pieces are put together in their order.
@@ -23,8 +23,10 @@ def genome_slice(spans: DataFrame, genome: DataFrame, chrom: str, start: str, en
     chunks = genome.select(F.col("chrom").alias("_c"), "chunk_no", "seq")
     begin = F.col("chunk_no") * CHUNK - SHIFT
     left = F.greatest(F.col("_s") - begin, F.lit(0))
-    piece = F.substring(F.col("seq"), (left + 1).cast("int"), (F.least(F.col("_e") - begin, F.lit(CHUNK)) - left).cast("int"))
-    pieces = touched.join(chunks, ["_c", "chunk_no"]).groupBy("_c", "_s", "_e", "_n").agg(F.array_sort(F.collect_list(F.struct("chunk_no", piece.alias("p")))).alias("ps"))
+    length = (F.least(F.col("_e") - begin, F.lit(CHUNK)) - left).cast("int")
+    piece = F.substring(F.col("seq"), (left + 1).cast("int"), length)
+    piece = F.coalesce(piece, F.repeat(F.lit("N"), length)) if pad else piece
+    pieces = touched.join(chunks, ["_c", "chunk_no"], "left" if pad else "inner").groupBy("_c", "_s", "_e", "_n").agg(F.array_sort(F.collect_list(F.struct("chunk_no", piece.alias("p")))).alias("ps"))
     whole = pieces.where(F.size("ps") == F.col("_n")).select("_c", "_s", "_e", F.array_join(F.transform("ps", lambda p: p["p"]), "").alias(name))
     on = (F.col(chrom) == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))
     return spans.join(whole, on, "left").drop("_c", "_s", "_e")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from segmentry.operators.genome import genome_slice
 from segmentry.operators.paths import with_donor
 from segmentry.operators.ranges import range_join
+from segmentry.shared import stored
 
 #: Bases at a donor and at an acceptor on either strand.
 DONOR, ACCEPTOR = {"+": "GT", "-": "AC"}, {"+": "AG", "-": "CT"}
@@ -59,13 +60,19 @@ def corrected(hops: DataFrame, genome: DataFrame, motif_required: bool = True) -
     plus = lambda side: F.col(f"{side}_strand") == "+"
     x = x.withColumn("do_border", F.when(plus("do"), F.col("do_last_exon")).otherwise(F.col("do_first_exon")))
     x = x.withColumn("ac_border", F.when(plus("ac"), F.col("ac_first_exon")).otherwise(F.col("ac_last_exon")))
-    t = x.withColumn("d", F.explode(F.sequence(F.lit(0), "h"))).withColumn("a", F.col("h") - F.col("d"))
-    t = t.where((F.col("d") < F.col("do_border")) & (F.col("a") < F.col("ac_border")))
-    t = t.withColumn("_d", F.when(plus("do"), F.col("do_pos") - F.col("d")).otherwise(F.col("do_pos") + F.col("d") - 2)).withColumn("_de", F.col("_d") + 2)
-    t = t.withColumn("_a", F.when(plus("ac"), F.col("ac_pos") + F.col("a") - 2).otherwise(F.col("ac_pos") - F.col("a"))).withColumn("_ae", F.col("_a") + 2)
-    t = genome_slice(genome_slice(t, genome, "do_chrom", "_d", "_de", "_dm"), genome, "ac_chrom", "_a", "_ae", "_am")
-    best = t.where("_dm = do_target and _am = ac_target").groupBy("read_id", "seg_ord1").agg(F.min("d").alias("best"))
-    x = x.join(best, ["read_id", "seg_ord1"], "left")
+    # One window a side holds all its motifs: h + 2 bases, which begin 2 before the position or h before it.
+    ahead = {"do": ~plus("do"), "ac": plus("ac")}
+    x = stored(x, "overlaps")
+    for side, from_2 in ahead.items():
+        x = x.withColumn("_a", F.col(f"{side}_pos") - F.when(from_2, 2).otherwise(F.col("h"))).withColumn("_b", F.col("_a") + F.col("h") + 2)
+        x = genome_slice(x, genome, f"{side}_chrom", "_a", "_b", f"{side}_window", pad=True).drop("_a", "_b")
+    first_at = lambda d: F.when(ahead["do"], d).otherwise(F.col("h") - d)
+    second_at = lambda d: F.when(ahead["ac"], F.col("h") - d).otherwise(d)
+    fits = lambda d: (
+        (d < F.col("do_border")) & (F.col("h") - d < F.col("ac_border"))
+        & (F.substring("do_window", first_at(d) + 1, F.lit(2)) == F.col("do_target")) & (F.substring("ac_window", second_at(d) + 1, F.lit(2)) == F.col("ac_target"))
+    )
+    x = x.withColumn("best", F.array_min(F.filter(F.sequence(F.lit(0), "h"), fits)))
     keeps = (F.col("do_border") > 0) & (F.col("ac_border") > F.col("h"))
     x = x.withColumn("d", F.coalesce("best", F.when(keeps, 0).otherwise(F.col("h")))).withColumn("a", F.col("h") - F.col("d"))
     first, canonical = F.col("donor") == 1, F.col("best").isNotNull()

@@ -269,7 +269,7 @@ _GENES_AT = "(select string_agg(distinct gene, '&' order by gene) from genes g w
 @query(f"{_HOP}, {_GENE}, p as (select distinct chrom1, pos1 from link) select chrom1, pos1, coalesce({_GENES_AT.format(1)}, 'INTERGENIC') as gene1 from p l")
 def join_breakpoint_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _links(spark, sf_dir).select("chrom1", "pos1").distinct()
-    return events.genes_at(points, A.genes(spark, sf_dir), "chrom1", "pos1", "gene1")
+    return events.genes_at(points, A.genes(spark, sf_dir), ("chrom1", "pos1", "gene1"))
 
 
 @query(f"""{_HOP}, {_GENE}, s as (select kind, link, chrom1, pos1, strand1, chrom2, pos2, strand2, count(distinct read_id) as support, min(read_id) as first_read from link group by all)
@@ -277,7 +277,7 @@ def join_breakpoint_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supported_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: links with their type, support and genes."""
     links, spans = events.supported(_links(spark, sf_dir)), A.genes(spark, sf_dir)
-    return events.genes_at(events.genes_at(links, spans, "chrom1", "pos1", "gene1"), spans, "chrom2", "pos2", "gene2")
+    return events.genes_at(links, spans, ("chrom1", "pos1", "gene1"), ("chrom2", "pos2", "gene2"))
 
 
 @query(f"{_SEG}, n as (select distinct chrom, ref_start, ref_end from seg), {_GENE} select n.*, gene from n join genes g on n.chrom = g.chrom and n.ref_start < g_end and g_start < n.ref_end")
