@@ -64,14 +64,30 @@ def node_sequences(nodes: DataFrame, genome: DataFrame) -> DataFrame:
     return rows.select("node", stranded(F.array_join(F.transform("bs", lambda b: b["b"]), ""), F.col("strand")).alias("bases"))
 
 
-def squeezed(links: DataFrame) -> DataFrame:
-    """Runs of deletions as one node: a read's segments are numbered by the other hops before them.
+def united(intervals: Column, touch: int = 0) -> Column:
+    """The union of an array of intervals (start, end): the next joins if it starts at the largest end so far plus ``touch`` at most."""
+    kind = "array<struct<start:bigint,end:bigint>>"
 
-    Rows are hops (read_id, seg_ord1, kind and both sides); gives read_id, island, segments, chrom and span.
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joins = F.coalesce(x["start"] <= last["end"] + touch, F.lit(False))
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x))).cast(kind)
+
+    return F.aggregate(F.array_sort(intervals.cast(kind)), F.array().cast(kind), add)
+
+
+def squeezed(segments: DataFrame, links: DataFrame) -> DataFrame:
+    """Paths of reads without deletions: the segments on both sides of one are a node, with the union of their exons; other hops stay between nodes.
+
+    ``segments``: read_id, seg_ord, chrom, strand, ref_start, ref_end and exons; ``links``: the read's hops with seg_ord1 and kind. Gives read_id, place (from 0), segments, chrom, strand, exons
+    (adjacent ones are united), n_start and n_end, and ident: the first node is HEAD, the last TAIL, others MID; a read that becomes one node is a HEAD.
     """
+    before = links.select("read_id", (F.col("seg_ord1") + 1).alias("seg_ord"), (F.col("kind") != "DEL").cast("long").alias("stays"))
     w = Window.partitionBy("read_id").orderBy("seg_ord")
-    side = lambda i, kind: F.struct(F.col(f"seg_ord{i}").alias("seg_ord"), F.col(f"chrom{i}").alias("chrom"), F.col(f"ref_start{i}").alias("s"), F.col(f"ref_end{i}").alias("e"), kind.alias("kind"))
-    first = F.when(F.col("seg_ord1") == 0, F.array(side(1, F.lit("DEL")))).otherwise(F.array().cast("array<struct<seg_ord:int,chrom:string,s:bigint,e:bigint,kind:string>>"))
-    x = links.select("read_id", F.explode(F.concat(first, F.array(side(2, F.col("kind"))))).alias("x")).select("read_id", "x.*")
-    x = x.withColumn("island", F.sum((F.col("kind") != "DEL").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("read_id", "island").agg(F.count("*").alias("segments"), F.min("chrom").alias("chrom"), F.min("s").alias("u_start"), F.max("e").alias("u_end"))
+    x = segments.join(before, ["read_id", "seg_ord"], "left").withColumn("place", F.sum(F.coalesce("stays", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("last", F.max("place").over(Window.partitionBy("read_id")))
+    exons = united(F.flatten(F.collect_list("exons")), 1).alias("exons")
+    x = x.groupBy("read_id", "place", "last").agg(F.count("*").alias("segments"), F.min("chrom").alias("chrom"), F.min("strand").alias("strand"), exons, F.min("ref_start").alias("n_start"), F.max("ref_end").alias("n_end"))
+    ident = F.when(F.col("place") == 0, "HEAD").when(F.col("place") == F.col("last"), "TAIL").otherwise("MID")
+    return x.withColumn("ident", ident).drop("last")

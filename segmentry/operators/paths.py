@@ -76,16 +76,20 @@ def most_voted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def links_with_paths(links: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each link with its reads counted and listed, and the ids of its paths, joined by commas. A read has one path, so lists of different paths are disjoint."""
-    paths = nodes_of(segments).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("seg_ord", "node"))).alias("steps"))
-    paths = paths.withColumn("path", F.xxhash64(F.transform("steps", lambda s: s["node"]))).select("read_id", "path")
+    """Each link with its reads counted and listed, the ids of its paths and the nodes on both sides, joined by commas. A read has one path, so lists of different paths are disjoint."""
+    nodes = nodes_of(segments).select("read_id", "seg_ord", "node")
+    paths = nodes.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("seg_ord", "node"))).alias("steps"))
+    paths = paths.withColumn("path", F.xxhash64(F.transform("steps", lambda s: s["node"]))).select("read_id", "path", "steps")
     ids = paths.groupBy("path").agg(F.min("read_id").alias("path_id"))
     keys = ["link", "chrom1", "pos1", "chrom2", "pos2"]
+    of = lambda i: F.filter("steps", lambda s: s["seg_ord"] == F.col(f"seg_ord{i}"))[0]["node"].alias(f"node{i}")
     # Reads are counted per link and path first, so a link has one row for each of its paths.
-    per = links.join(paths, "read_id").groupBy(*keys, "path").agg(F.collect_set("read_id").alias("own")).join(ids, "path")
+    per = links.join(paths, "read_id").select(*keys, "path", "read_id", of(1), of(2)).groupBy(*keys, "path").agg(F.collect_set("read_id").alias("own"), F.collect_set("node1").alias("own1"), F.collect_set("node2").alias("own2")).join(ids, "path")
     text = lambda c: F.array_join(F.transform(F.array_sort(c), lambda p: p.cast("string")), ",")
-    out = per.groupBy(*keys).agg(F.flatten(F.collect_list("own")).alias("own"), text(F.collect_set("path_id")).alias("paths"))
-    return out.select(*keys, F.size("own").cast("long").alias("sr"), "paths", text("own").alias("sr_ids"))
+    every = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    out = per.groupBy(*keys).agg(every("own"), text(F.collect_set("path_id")).alias("paths"), every("own1"), every("own2"))
+    sides = (text(F.array_distinct(f"own{i}")).alias(f"segments{i}") for i in (1, 2))
+    return out.select(*keys, F.size("own").cast("long").alias("sr"), "paths", text("own").alias("sr_ids"), *sides)
 
 
 def enumerate_paths(edges: DataFrame, least: int = 1) -> DataFrame:

@@ -151,4 +151,4 @@ def sink_nodelink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_tsg(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _families(spark, sf_dir)
     s = graph.structures(_segments(spark, sf_dir)).withColumn("node", F.split("path", r"\|")[0]).join(nodes, "node")
-    return sinks.tsg_lines(nodes, edges, s, "fam")
+    return sinks.tsg_lines(nodes, edges, s, "fam").select("line")

@@ -205,10 +205,18 @@ def classify_translocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("read_id", "seg_ord1", swap(c1, c2).alias("c1"), swap(pos(1), pos(2)).alias("bp1"), swap(c2, c1).alias("c2"), swap(pos(2), pos(1)).alias("bp2"))
 
 
-@query(f"""{_HOP}, h as (select read_id, seg_ord1 + 1 as seg_ord, kind from link), y as (select seg.*, sum(case when h.kind <> 'DEL' then 1 else 0 end) over (partition by seg.read_id order by seg.seg_ord) as island from seg left join h on h.read_id = seg.read_id and h.seg_ord = seg.seg_ord where nseg > 1)
- select read_id, cast(island as bigint) as island, count(*) as segments, min(chrom) as chrom, min(ref_start) as u_start, max(ref_end) as u_end from y group by 1, 2""")
+@query(f"""{_HOP}, h as (select read_id, seg_ord1 + 1 as seg_ord, kind from link),
+ y as (select seg.*, cast(sum(case when h.kind <> 'DEL' then 1 else 0 end) over (partition by seg.read_id order by seg.seg_ord) as bigint) as place from seg left join h on h.read_id = seg.read_id and h.seg_ord = seg.seg_ord where nseg > 1),
+ x as (select read_id, place, cast(split_part(e, '-', 1) as bigint) as s, cast(split_part(e, '-', 2) as bigint) as e from (select read_id, place, unnest(string_split(exons, ';')) as e from y)),
+ o as (select *, max(e) over (partition by read_id, place order by s, e rows between unbounded preceding and 1 preceding) as top from (select distinct * from x)),
+ g as (select *, sum(case when s <= top + 1 then 0 else 1 end) over (partition by read_id, place order by s, e rows unbounded preceding) as g from o),
+ u as (select read_id, place, string_agg(concat(s, '-', e), ';' order by s) as exons from (select read_id, place, g, min(s) as s, max(e) as e from g group by all) group by all)
+ select read_id, place, segments, chrom, strand, exons, n_start, n_end, case when place = 0 then 'HEAD' when place = max(place) over (partition by read_id) then 'TAIL' else 'MID' end as ident
+ from (select read_id, place, count(*) as segments, min(chrom) as chrom, min(strand) as strand, min(ref_start) as n_start, max(ref_end) as n_end from y group by all) join u using (read_id, place)""")
 def squeeze_del_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return junctions.squeezed(_links(spark, sf_dir))
+    """Nodes of reads' paths once deletions are no hops of their own."""
+    x = junctions.squeezed(_segments(spark, sf_dir).where("nseg > 1"), _links(spark, sf_dir))
+    return x.withColumn("exons", F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"))), ";"))
 
 
 @query(_recursive(f"""{_WAYS}, w as (select distinct src as last, [src] as way, false as circle from e where src not in (select dst from e)

@@ -130,7 +130,8 @@ def sort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VCF = f"""{_HOP}, {_PATHS}, l as (select link, chrom1, pos1, chrom2, pos2, count(distinct link.read_id) as sr, string_agg(distinct s.path_id, ',' order by s.path_id) as paths,
- string_agg(distinct link.read_id, ',' order by link.read_id) as sr_ids from link join p using (read_id) join s using (path) group by all)"""
+ string_agg(distinct link.read_id, ',' order by link.read_id) as sr_ids, string_agg(distinct n1.node, ',' order by n1.node) as segments1, string_agg(distinct n2.node, ',' order by n2.node) as segments2
+ from link join p using (read_id) join s using (path) join node n1 on n1.read_id = link.read_id and n1.seg_ord = seg_ord1 join node n2 on n2.read_id = link.read_id and n2.seg_ord = seg_ord2 group by all)"""
 
 
 @query(f"{_VCF} select * from l")
@@ -138,11 +139,16 @@ def agg_links_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.links_with_paths(_links(spark, sf_dir), _segments(spark, sf_dir))
 
 
-@query(f"""{_VCF} select concat_ws(chr(9), chrom1, pos1, '.', 'N', concat('<', link, '>'), '.', 'PASS', concat('SVTYPE=', link, ';CHR2=', chrom2, ';SVEND=', pos2, ';SR=', sr, ';OSR=', sr, ';SR_ID=', sr_ids, ';TRANSCRIPT_ID=', paths)) as line from l
+@query(f"""{_VCF} select concat_ws(chr(9), chrom1, pos1, '.', 'N', concat('<', link, '>'), '.', 'PASS', concat('SVTYPE=', link, ';CHR2=', chrom2, ';SVEND=', pos2, ';SR=', sr, ';OSR=', sr, ';SR_ID=', sr_ids, ';TRANSCRIPT_ID=', paths, ';SEGMENT1=', replace(segments1, ';', '&'), ';SEGMENT2=', replace(segments2, ';', '&'))) as line from l
  union all select concat('##contig=<ID=', chrom, '>') from (select distinct chrom from alignments) union all select concat('##ALT=<ID=', link, ',Description="Link">') from (select distinct link from l)
- union all select '##fileformat=VCFv4.2' union all select concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO')""")
+ union all select '##fileformat=VCFv4.2' {"".join(f" union all select '##INFO=<ID={name},Number={n},Type={kind},Description={chr(34)}{about}{chr(34)}>'" for name, n, kind, about in sinks.INFO)} union all select concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO')""")
 def sink_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header lines and a record of each link."""
+    return vcf_file(spark, sf_dir).select("line")
+
+
+def vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and places, for ``sinks.write_lines``."""
     return sinks.vcf_lines(paths.links_with_paths(_links(spark, sf_dir), _segments(spark, sf_dir)), A.alignments(spark, sf_dir).select("chrom").distinct())
 
 
@@ -159,7 +165,7 @@ def sink_gtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = _segments(spark, sf_dir)
     nodes = graph.nodes_of(segs).select("node", "chrom", "strand", "exons").distinct()
     steps = paths.path_steps(segs).join(nodes, "node").join(agg_traversal(spark, sf_dir), "node")
-    return sinks.gtf_lines(paths.path_support(segs, graph.edges_of(segs)).select("path_id", "sr"), steps)
+    return sinks.gtf_lines(paths.path_support(segs, graph.edges_of(segs)).select("path_id", "sr"), steps).select("line")
 
 
 @query(f"""{_GRAPH} select concat('{{"src":"', src, '","edges":[', string_agg(concat('{{"dst":"', dst, '","sr":', sr, '}}'), ',' order by dst), ']}}') as line from edges group by src""")
