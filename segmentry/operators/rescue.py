@@ -18,7 +18,7 @@ def rebased(source: tuple[Column, Column, Column], left: Column, source_strand:
     return {"lt": new_lt, "rt": new_rt, "cigar": C.normalized(F.concat(clip(new_lt), cigar, clip(new_rt)))}
 
 
-def rescue_reads(links: DataFrame, segments: DataFrame, mapq: int = 30, tolerance: int = 10) -> DataFrame:
+def rescue_reads(links: DataFrame, segments: DataFrame, mapq: int = 20, tolerance: int = 10) -> DataFrame:
     """Segments like the first side of a link: strand, lengths of introns, both ends within ``tolerance``, and quality.
 
     ``candidate`` is whether the segment's read is none of the link's own. A segment meets

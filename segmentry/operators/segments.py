@@ -33,7 +33,7 @@ def filter_contig(a: DataFrame, unwanted: str = "_|^chrM$|MT") -> DataFrame:
     return _by_read(a, ~F.col("chrom").rlike(unwanted))
 
 
-def filter_complete_chain(a: DataFrame, mapq: int = 22) -> DataFrame:
+def filter_complete_chain(a: DataFrame, mapq: int = 20) -> DataFrame:
     """Reads that kept all their segments, the worst of a quality of at least ``mapq``."""
     ok = a.groupBy("read_id").agg(F.count("*").alias("c"), F.max("nseg").alias("n"), F.min("mapq").alias("q")).where((F.col("c") == F.col("n")) & (F.col("q") >= mapq))
     return a.join(ok.select("read_id"), "read_id", "left_semi")
@@ -50,7 +50,7 @@ def filter_min_node_len(a: DataFrame, least: int = 10) -> DataFrame:
     return a.groupBy("read_id").agg(F.min(length).alias("least")).where(F.col("least") > least)
 
 
-def filter_nm(a: DataFrame, most: int = 8) -> DataFrame:
+def filter_nm(a: DataFrame, most: int = 100) -> DataFrame:
     """First segments with at most ``most`` mismatches, the others with fewer."""
     return a.where(F.when(F.col("seg_ord") == 0, F.col("nm") <= most).otherwise(F.col("nm") < most))
 

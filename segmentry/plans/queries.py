@@ -189,7 +189,7 @@ def filter_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WITH} select read_id, seg_ord, nm from alignments where case when seg_ord = 0 then nm <= 8 else nm < 8 end")
 def filter_nm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.filter_nm(A.alignments(spark, sf_dir)).select("read_id", "seg_ord", "nm")
+    return S.filter_nm(A.alignments(spark, sf_dir), 8).select("read_id", "seg_ord", "nm")
 
 
 @query(f"{_WITH} select read_id, seg_ord, chrom from alignments where read_id not in (select read_id from alignments where regexp_matches(chrom, '_|^chrM$|MT|2$'))")
@@ -200,7 +200,7 @@ def filter_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WITH} select read_id, seg_ord from alignments where read_id in (select read_id from alignments group by 1 having count(*) = max(nseg) and min(mapq) >= 22)")
 def filter_complete_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.filter_complete_chain(A.alignments(spark, sf_dir)).select("read_id", "seg_ord")
+    return S.filter_complete_chain(A.alignments(spark, sf_dir), 22).select("read_id", "seg_ord")
 
 
 @query(f"""{_SEG}, near as (select * exclude (ref_start, ref_end), ref_start - case when read_id % 4 = 0 then 5000 * seg_ord - read_id % 50 * seg_ord * 5 else 0 end as ref_start,

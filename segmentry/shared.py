@@ -1,5 +1,6 @@
 """Intermediate tables in the folder that driver and executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, as in tests on one machine, a local one; on a cluster its executors would not share it, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-segmentry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
