@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segmentry.operators import graph, paths, ranges
+from segmentry.operators import graph, pathnodes, paths, ranges
 from segmentry.operators import segments as S
 from segmentry.operators.components import connected_components
 from segmentry.plans.queries import _GENE, _GRAPH, _HOP, _SEG, _WITH, _links, _segments, query
@@ -35,9 +35,36 @@ def order_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.order_transcription(_hops(spark, sf_dir)).select("read_id", "up", "down", "hop_ord")
 
 
-@query(f"{_GAPS} select read_id, seg_ord1, case when gap > 0 then 'NovelInsertion' when gap < 0 then 'MicroHomology' else 'none' end as payload, abs(gap) as payload_len from gaps")
+def _kind(one: str, two: str) -> str:
+    """The type of a hop between two sides, given by the prefixes of their columns."""
+    c = lambda side, name: f"{side}_{name}"
+    before, after = (f"case when {c(one, 'strand')} = '+' then {c(x, e)} else {c(y, e)} end" for x, y, e in ((one, two, "e"), (two, one, "s")))
+    out1, in2 = f"case when {c(one, 'strand')} = '+' then {c(one, 'e')} else {c(one, 's')} end", f"case when {c(two, 'strand')} = '+' then {c(two, 's')} else {c(two, 'e')} end"
+    return f"case when {c(one, 'chrom')} <> {c(two, 'chrom')} then 'TRA' when {c(one, 'strand')} = {c(two, 'strand')} then case when ({before}) - ({after}) <= 0 then 'DEL' else 'TDUP' end when ({out1}) = ({in2}) then 'IDUP' else 'INV' end"
+
+
+# Insertions of 2 bases and more are placed 2,000 after the upstream segment, on the other strand in odd reads, or over the downstream one in every third.
+_NODES = f"""{_GAPS}, o as (select read_id, seg_ord1, (strand1 || mode1) in ('+MS', '-SM') as f from hop where {_FITS}),
+ d as (select read_id, seg_ord1, case when f then seg_ord1 else seg_ord1 + 1 end as up, case when f then seg_ord1 + 1 else seg_ord1 end as down, row_number() over (partition by read_id order by seg_ord1) - 1 as i, count(*) over (partition by read_id) as n from o),
+ b as (select x.read_id from d x join d y on x.read_id = y.read_id and x.i = 0 and y.i = 1 where x.down <> y.up),
+ x as (select d.read_id, case when d.read_id in (select read_id from b) then n - 1 - i else i end as hop_ord, link.kind, gap, u.chrom as u_chrom, u.strand as u_strand, u.ref_start as u_s, u.ref_end as u_e, w.chrom as d_chrom, w.strand as d_strand, w.ref_start as d_s, w.ref_end as d_e,
+   link.chrom1, link.strand1, link.ref_end1, link.chrom2, link.ref_start2 from d join seg u on u.read_id = d.read_id and u.seg_ord = up join seg w on w.read_id = d.read_id and w.seg_ord = down join gaps g on g.read_id = d.read_id and g.seg_ord1 = d.seg_ord1 join link on link.read_id = d.read_id and link.seg_ord1 = d.seg_ord1),
+ y as (select *, case when read_id % 3 = 0 then chrom2 else chrom1 end as i_chrom, case when read_id % 2 = 0 then strand1 when strand1 = '+' then '-' else '+' end as i_strand, case when read_id % 3 = 0 then ref_start2 else ref_end1 + 2000 end as i_s from x),
+ z as (select *, i_s + gap as i_e from y), k as (select *, {_kind('u', 'i')} as k1, {_kind('i', 'd')} as k2 from z), sp as (select *, gap >= 2 and k1 in ('DEL', 'TDUP', 'TRA') and k2 in ('DEL', 'TDUP', 'TRA') as split, max(hop_ord) over (partition by read_id) as last from k),
+ nd as (select read_id, 2 * hop_ord as key, u_chrom as chrom, u_strand as strand, u_s as n_start, u_e as n_end, 'segment' as source, case when split then k1 else kind end as kind, case when split then 'Insertion' when gap > 0 then 'NovelInsertion' when gap < 0 then 'MicroHomology' else 'none' end as payload, cast(abs(gap) as int) as payload_len from sp
+  union all select read_id, 2 * hop_ord + 1, i_chrom, i_strand, i_s, i_e, 'insertion', k2, 'none', 0 from sp where split union all select read_id, 2 * hop_ord + 2, d_chrom, d_strand, d_s, d_e, 'segment', null, null, null from sp where hop_ord = last),
+ pl as (select *, cast(row_number() over (partition by read_id order by key) - 1 as int) as place, count(*) over (partition by read_id) as n from nd)"""
+
+
+@query(f"{_NODES} select read_id, place, chrom, strand, n_start, n_end, source, kind, payload, payload_len, case when place = 0 then 'HEAD' when place = n - 1 then 'TAIL' else 'MID' end as ident from pl")
 def build_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.with_payload(_hops(spark, sf_dir)).select("read_id", "seg_ord1", "payload", "payload_len")
+    """Nodes of each read's path in the direction of transcription, with those that its placed insertions make."""
+    hops = paths.with_payload(_links(spark, sf_dir))
+    far, odd = F.col("read_id") % 3 == 0, F.col("read_id") % 2 == 1
+    turned = F.when(odd, F.when(F.col("strand1") == "+", "-").otherwise("+")).otherwise(F.col("strand1"))
+    start = F.when(far, F.col("ref_start2")).otherwise(F.col("ref_end1") + 2000)
+    placed = hops.where("gap >= 2").select("read_id", "seg_ord1", F.when(far, F.col("chrom2")).otherwise(F.col("chrom1")).alias("chrom"), turned.alias("strand"), start.alias("ref_start"), (start + F.col("gap")).alias("ref_end"))
+    return pathnodes.path_nodes(hops, placed, ("DEL", "TDUP", "TRA"))
 
 
 @query(f"{_GAPS} select read_id, cast(sum(case when gap = 0 then 2 when gap < 0 then 1 else 0 end) as bigint) as score from gaps group by 1")
