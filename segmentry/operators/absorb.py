@@ -97,6 +97,19 @@ def absorb(paths: Paths, tolerance: int = 10) -> tuple[Paths, DataFrame]:
         names = stored(names.join(to, "absorber", "left").select("path_id", F.coalesce("_to", "absorber").alias("absorber")), "names")
 
 
+def sorted_paths(paths: Paths, names: DataFrame, clusters: DataFrame) -> DataFrame:
+    """path_id, cluster_id and place of each path that stays: in its cluster longer ones come first, then those that stand for more paths, with the higher score of payloads (2 for a blunt hop, 1 for shared bases),
+    the larger text of spans, the smaller id. ``names`` are path_id and absorber, ``clusters`` node_id and cluster_id; the first node's cluster is the path's.
+    """
+    factor = names.groupBy(F.col("absorber").alias("path_id")).agg(F.count("*").alias("factor"))
+    score = F.when(F.col("gap") == 0, 2).when(F.col("gap") < 0, 1).otherwise(0)
+    span = F.concat("chrom", F.lit(":"), F.element_at("exons", 1)["start"].cast("string"), F.lit("-"), F.element_at("exons", -1)["end"].cast("string"), F.lit(":"), "strand")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", span.alias("t")))), lambda s: s["t"]), "|")
+    x = paths.steps.groupBy("path_id").agg(F.first("n").alias("n"), F.sum(score).alias("score"), whole.alias("text"), F.min_by("node_id", "place").alias("node_id"))
+    w = Window.partitionBy("cluster_id").orderBy(F.desc("n"), F.desc("factor"), F.desc("score"), F.desc("text"), "path_id")
+    return x.join(factor, "path_id").join(clusters, "node_id").select("path_id", "cluster_id", F.row_number().over(w).alias("place"))
+
+
 def consensus(reads: DataFrame, key: str, bases: str) -> DataFrame:
     """The most frequent base of each place over the reads of a key; of equal ones the first letter. Reads are aligned at their start.
 

@@ -68,11 +68,11 @@ def genes_at(points: DataFrame, genes: DataFrame, *at: tuple[str, str, str], mar
     return points
 
 
-def filter_same_exon(links: DataFrame, exons: DataFrame, boundary: int = 5) -> DataFrame:
-    """Links without those, but for translocations and deletions, both of whose breakpoints lie in one exon, ``boundary`` within its ends."""
+def filter_same_exon(links: DataFrame, exons: DataFrame, boundary: int = 5, least: int = 30) -> DataFrame:
+    """Links without those, but for translocations and deletions, both of whose breakpoints lie in one exon of ``least`` bases or more, ``boundary`` within its ends."""
     inside = lambda p: (F.col(p) >= F.col("e_start") + boundary) & (F.col(p) < F.col("e_end") - boundary)
     asked = links.where("kind not in ('TRA', 'DEL') and chrom1 = chrom2")
     spots = asked.select("chrom1", "pos1", "pos2").distinct()
-    hit = range_join(spots, exons.select("chrom", "e_start", "e_end"), inside("pos1") & inside("pos2"), ("chrom1", "chrom"), ("pos1", "pos1"), ("e_start", "e_end"), width=1000).select("chrom1", "pos1", "pos2").distinct()
+    hit = range_join(spots, exons.where(F.col("e_end") - F.col("e_start") >= least).select("chrom", "e_start", "e_end"), inside("pos1") & inside("pos2"), ("chrom1", "chrom"), ("pos1", "pos1"), ("e_start", "e_end"), width=1000).select("chrom1", "pos1", "pos2").distinct()
     bad = asked.join(hit, ["chrom1", "pos1", "pos2"], "left_semi").select("read_id", "seg_ord1")
     return links.join(bad, ["read_id", "seg_ord1"], "left_anti")

@@ -109,3 +109,19 @@ def segment_identity(a: DataFrame) -> DataFrame:
     w = Window.partitionBy("read_id")
     identity = F.when(F.col("seg_ord") == F.min("seg_ord").over(w), "HEAD").when(F.col("seg_ord") == F.max("seg_ord").over(w), "TAIL").otherwise("MID")
     return a.withColumn("identity", identity)
+
+
+def candidates(a: DataFrame) -> DataFrame:
+    """read_id, seg_ord, off and rank of each segment of a read but the one that its chain starts with: how far its clip toward the start is from what is matched there.
+
+    The chain starts with the segment of the shortest clip, then of the smaller number. What is matched reaches from its longer clip to the read's end; the other segments must
+    have it in their clip on the same side of the read, which on the other strand is the other side of the alignment. Where the start's clips are equally long, the nearer of both clips counts.
+    """
+    first = F.min_by(F.struct("lt", "rt", "strand", "q_match", "seg_ord"), F.struct(F.least("lt", "rt"), F.col("seg_ord"))).over(Window.partitionBy("read_id"))
+    x = a.withColumn("s", first).where(F.col("seg_ord") != F.col("s.seg_ord"))
+    same, behind = F.col("strand") == F.col("s.strand"), F.col("s.lt") > F.col("s.rt")  # is the start's longer clip before it?
+    held = F.col("s.q_match") + F.least("s.lt", "s.rt")
+    off = lambda c: F.abs(F.col(c) - held)
+    either = F.least(F.abs(F.col("lt") - F.col("s.q_match")), F.abs(F.col("rt") - F.col("s.q_match")))
+    x = x.withColumn("off", F.when(F.col("s.lt") == F.col("s.rt"), either).when(behind == same, off("rt")).otherwise(off("lt")))
+    return x.select("read_id", "seg_ord", "off", F.row_number().over(Window.partitionBy("read_id").orderBy("off", "seg_ord")).alias("place"))

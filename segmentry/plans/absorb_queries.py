@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segmentry.operators import absorb, graph, paths
+from segmentry.operators import absorb, contraction, graph, paths
+from segmentry.operators import segments as S
 from segmentry.operators.ranges import range_join
-from segmentry.plans.graph_queries import _BASE
+from segmentry.plans.graph_queries import _BASE, _CLUSTERS, _folded, _merged
 from segmentry.plans.node_queries import _MERGED, _ORDER
 from segmentry.plans.path_queries import _PATHS, _hops
 from segmentry.plans.queries import _GRAPH, _HOP, _SEG, _WITH, _segments, query
@@ -117,11 +118,23 @@ def join_hop_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("read_id", "seg_ord1").agg(pick(1).alias("found1"), pick(2).alias("found2"))
 
 
-@query(f"{_WITH}, r as (select read_id, seg_ord, abs(greatest(lt, rt) - q_match) as off from alignments) select read_id, seg_ord, off, cast(row_number() over (partition by read_id order by off, seg_ord) as int) as place from r")
+@query(f"""{_WITH}, s as (select * from (select read_id, lt as slt, rt as srt, strand as sstrand, q_match as sm, seg_ord as s_ord, row_number() over (partition by read_id order by least(lt, rt), seg_ord) as r from alignments) where r = 1),
+ r as (select read_id, seg_ord, cast(case when slt = srt then least(abs(lt - sm), abs(rt - sm)) when (slt > srt) = (strand = sstrand) then abs(rt - sm - least(slt, srt)) else abs(lt - sm - least(slt, srt)) end as int) as off from alignments join s using (read_id) where seg_ord <> s_ord)
+ select read_id, seg_ord, off, cast(row_number() over (partition by read_id order by off, seg_ord) as int) as place from r""")
 def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of a read by how far the longer clip is from what is matched."""
-    x = A.alignments(spark, sf_dir).select("read_id", "seg_ord", F.abs(F.greatest("lt", "rt") - F.col("q_match")).alias("off"))
-    return x.withColumn("place", F.row_number().over(Window.partitionBy("read_id").orderBy("off", "seg_ord")))
+    """Segments of a read by how well what its chain starts with fits into their clips."""
+    return S.candidates(A.alignments(spark, sf_dir)).withColumn("off", F.col("off").cast("int"))
+
+
+@query(f"""{_FOLD}, {_folded('c')}, {_CLUSTERS}, mf as (select coalesce(absorber, path_id) as path_id, count(*) as factor from rk left join gone using (path_id) group by 1),
+ fx as (select fin.path_id, max(sp.n) as n, sum(case when fin.gap is null then 0 when fin.gap = 0 then 2 when fin.gap < 0 then 1 else 0 end) as score, string_agg(concat(sp.chrom, ':', fin.n_start, '-', fin.n_end, ':', sp.strand), '|' order by fin.place) as text, first(sp.node_id order by fin.place) as head from fin join sp using (path_id, place) group by 1)
+ select path_id, cluster_id, cast(row_number() over (partition by cluster_id order by n desc, factor desc, score desc, text desc, path_id) as int) as place from fx join mf using (path_id) join c on c.node_id = head join cl on cl.node = c.merged""")
+def sort_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that stay after absorption, in their order within a cluster: longest first, then by what they took in, their payloads and the spans of their nodes."""
+    made, merged, _, _ = _merged(spark, sf_dir)
+    kept, names = absorb.absorb(_paths(spark, sf_dir))
+    of = merged.join(contraction.clusters(made).withColumnRenamed("node_id", "merged"), "merged").select("node_id", "cluster_id")
+    return absorb.sorted_paths(kept, names, of)
 
 
 _FAM = f"{_GRAPH}, f as (select distinct fam, node2 as node from n2), fe as (select fam, src, dst, sr from edges join f on f.node = src)"

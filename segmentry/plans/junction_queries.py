@@ -137,12 +137,12 @@ _KIND = "kind in ('TRA', 'DEL')"
 
 
 @query(f"""{_HOP}, l as (select * exclude (pos2), case when read_id % 3 = 0 and chrom1 = chrom2 then pos1 - 30 else pos2 end as pos2 from link)
- select read_id, seg_ord1, kind from l where {_KIND} or not exists (select 1 from exons e where e.chrom = l.chrom1 and e.chrom = l.chrom2 and pos1 >= e_start + 5 and pos1 < e_end - 5 and pos2 >= e_start + 5 and pos2 < e_end - 5)""")
+ select read_id, seg_ord1, kind from l where {_KIND} or not exists (select 1 from exons e where e.chrom = l.chrom1 and e.chrom = l.chrom2 and pos1 >= e_start + 5 and pos1 < e_end - 5 and pos2 >= e_start + 5 and pos2 < e_end - 5 and e_end - e_start >= 110)""")
 def filter_same_exon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second breakpoints of every third read are moved to 30 before the first, as the data have none that close."""
+    """Second breakpoints of every third read are moved to 30 before the first, as the data have none that close; their exons have 100 bases at least, so 110 stands for the limit."""
     near = (F.col("read_id") % 3 == 0) & (F.col("chrom1") == F.col("chrom2"))
     x = _links(spark, sf_dir).withColumn("pos2", F.when(near, F.col("pos1") - 30).otherwise(F.col("pos2")))
-    return events.filter_same_exon(x, A.exons(spark, sf_dir)).select("read_id", "seg_ord1", "kind")
+    return events.filter_same_exon(x, A.exons(spark, sf_dir), least=110).select("read_id", "seg_ord1", "kind")
 
 
 @query(f"""{_WITH}, sa as (select read_id, seg_ord, strand, lt, rt, nm from alignments where seg_ord > 0),

@@ -141,15 +141,6 @@ def agg_path_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("path_id", F.size(F.split("path", r"\|")).alias("n_nodes"), F.replace("path", F.lit("|"), F.lit(">")).alias("elements"))
 
 
-@query(f"{_SEG}, {_PATHS}, c as (select *, min(path_id) over (partition by fam) as cluster_id, len(string_split(path, '|')) as n from s) select path_id, cluster_id, cast(row_number() over (partition by cluster_id order by n desc, reads desc, path_id) as int) as place from c")
-def sort_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of a cluster, longest first, then by reads."""
-    segs = _segments(spark, sf_dir)
-    n = graph.structures(segs).select("path_id", F.size(F.split("path", r"\|")).alias("n"))
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("n"), F.desc("reads"), "path_id")
-    return graph.cluster_paths(segs).join(n, "path_id").select("path_id", "cluster_id", F.row_number().over(w).alias("place"))
-
-
 @query(f"{_SEG}, {_PATHS} select path_id, cast(len(string_split(path, '|')) as int) as n_nodes, path from s order by 2, 3")
 def sort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = graph.structures(_segments(spark, sf_dir)).select("path_id", F.size(F.split("path", r"\|")).alias("n_nodes"), "path")

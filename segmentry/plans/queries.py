@@ -69,6 +69,7 @@ def scan_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = A.alignments(spark, sf_dir).select(F.concat_ws("\t", *fields, F.concat(F.lit("NM:i:"), text("nm")), F.concat(F.lit("ZO:i:"), text("seg_ord"))).alias("line"))
     head = lines.limit(1).select(F.explode(F.array(F.lit("@HD\tVN:1.6\tSO:coordinate"), F.lit("cut\tshort"))).alias("line"))
     tag = lambda name: F.col("tags")[name].cast("int")
+    sam.check_header(head)
     return sam.parse_sam(lines.unionByName(head)).select(F.col("name").cast("bigint").alias("read_id"), tag("ZO").alias("seg_ord"), "chrom", "ref_start", "strand", "mapq", tag("NM").alias("nm"), "cigar")
 
 

@@ -3,11 +3,12 @@
 import re
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from segmentry.operators.junctions import squeezed, united
 from segmentry.plans import absorb_queries, path_queries
-from segmentry.sources import sinks
+from segmentry.sources import sam, sinks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -76,3 +77,13 @@ def test_squeezed_paths(spark):
     }
     odd = spark.createDataFrame([([(5, 6), (1, 9), (9, 9), (20, 30), (31, 40)],), ([],)], "x array<struct<start:long,end:long>>")
     assert [[tuple(e) for e in r.u] for r in odd.select(united(F.col("x"), 1).alias("u")).collect()] == [[(1, 9), (20, 40)], []]
+
+
+def test_headers_and_repeated_tags(spark):
+    lines = lambda *x: spark.createDataFrame([(y,) for y in x], "line string")
+    sam.check_header(lines("@HD\tVN:1.6\tSO:coordinate", "@SQ\tSN:c"))
+    for wrong in (("@SQ\tSN:c",), ("@HD\tVN:1.6",), ("@HD\tVN:1.6\tSO:queryname",)):
+        with pytest.raises(ValueError, match="SO:coordinate"):
+            sam.check_header(lines(*wrong))
+    row = sam.parse_sam(lines("r\t0\tc\t5\t60\t4M\t*\t0\t0\tACGT\tIIII\tNM:i:3\tSA:Z:a:b\tNM:i:7")).first()
+    assert row.tags == {"NM": "3", "SA": "a:b"} and row.ref_start == 4
