@@ -61,7 +61,8 @@ def mixed(
     lost and smaller sources are repeated; with a budget of tokens each source gets its weight's
     part of it, and large sources may be cut. A null source is the source ''. Documents without
     words are used as often as whole epochs, at least once, and cost nothing. Rows that
-    repeat an id are documents of their own. A source without words has no quota but epoch 0.
+    repeat an id are documents of their own. A source without words has no quota but epoch 0, and its documents are spread over the blocks by
+    their hash. An empty table gives no rows. A text is counted as a whole by Spark's own functions, so the longest one bounds what a task holds. Other columns, of whatever names, are not looked at.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(source_col, F.lit("")).alias("source"), token_count(F.col(text_col)).alias("n_tokens"))
     base = stored(base, "tokens")
@@ -87,6 +88,8 @@ def mixed(
     taken = run.where((F.col("epoch") < F.col("full")) | (F.col("start") < F.col("quota")))
 
     blocks = max(1, -(-int(quotas.agg(F.sum("quota")).first()[0] or 0) // block_tokens))
-    taken = taken.withColumn("block", F.least(F.expr(f"(start * {blocks}) div greatest(quota, 1)"), F.lit(blocks - 1)))
+    # A source without a word has no quota to be dealt along; its documents go by the range of their hash.
+    along = F.least(F.expr(f"(start * {blocks}) div greatest(quota, 1)"), F.lit(blocks - 1))
+    taken = taken.withColumn("block", F.when(F.col("t") == 0, F.expr(f"(cast(range as bigint) * {blocks}) div {RANGES}")).otherwise(along))
     position = F.row_number().over(Window.partitionBy("block").orderBy(F.reverse("key"), "id", "n_tokens"))
     return taken.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "epoch", "block", position.alias("position"))

@@ -102,7 +102,7 @@ uses as (select b.*, q.t, q.n_full, q.quota, e.epoch, md5(concat_ws(':', coalesc
   from base b join q using (source) join (select unnest(range(0, 1000)) as epoch) e on e.epoch <= q.n_full),
 run as (select *, epoch * t + coalesce(sum(n_tokens) over (partition by source, epoch order by k, doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0) as start from uses),
 n as (select greatest(1, cast(ceil(sum(quota) / 100000.0) as bigint)) as blocks from q),
-taken as (select run.*, cast(least((start * n.blocks) // greatest(quota, 1), n.blocks - 1) as bigint) as block from run cross join n
+taken as (select run.*, cast(case when t = 0 then cast(('0x' || substr(k, 1, 3)) as bigint) * n.blocks // 4096 else least((start * n.blocks) // greatest(quota, 1), n.blocks - 1) end as bigint) as block from run cross join n
   where epoch < n_full or start < quota)
 select doc_id, source, cast(n_tokens as bigint) as n_tokens, epoch, block,
   cast(row_number() over (partition by block order by reverse(k), doc_id, n_tokens) as int) as position from taken

@@ -254,6 +254,14 @@ def test_mixed(docs, empty):
     assert mixed(docs, budget=1000).toPandas().n_tokens.sum() < got.n_tokens.sum()
 
 
+def test_sources_without_words_are_spread_over_blocks(spark):
+    rows = [(i, "a b c d" * 5, "s") for i in range(200)] + [(1000 + i, (None, "", " \n")[i % 3], "blank") for i in range(300)]
+    got = mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=200).toPandas()
+    blank = got[got.source == "blank"]
+    assert sorted(blank.doc_id) == [1000 + i for i in range(300)] and set(blank.block) <= set(got[got.source == "s"].block)
+    assert blank.groupby("block").size().max() < 60 and (got.groupby("block").position.max() == got.groupby("block").size()).all()
+
+
 def test_main_text(spark):
     shared = "<p>Subscribe to our weekly letter now and get nine free gifts today</p>"
     pages = [(i, f"http://a.com/{i}", f"<div>{shared}<p>n{i} own words here</p></div>") for i in range(4)]
