@@ -21,13 +21,13 @@ def oriented(nodes: DataFrame) -> DataFrame:
     return x.withColumn("introns", C.gaps(F.col("o"))).withColumn("start", F.element_at("o", 1)["start"]).withColumn("end", F.element_at("o", -1)["end"])
 
 
-def near_node_pairs(nodes: DataFrame, tolerance: int) -> DataFrame:
-    """Pairs (a, b) of different nodes of a strand whose spans come within ``tolerance``, both ways round; a and b are structs."""
-    x = oriented(nodes)
-    one = x.select(F.struct("*").alias("a"), F.concat("chrom", "strand").alias("_k1"), (F.col("start") - tolerance).alias("_s1"), (F.col("end") + tolerance).alias("_e1"))
-    two = x.select(F.struct("*").alias("b"), F.concat("chrom", "strand").alias("_k2"), F.col("start").alias("_s2"), F.col("end").alias("_e2"))
-    on = (F.col("a.node_id") != F.col("b.node_id")) & (F.col("_s1") <= F.col("_e2")) & (F.col("_s2") <= F.col("_e1"))
-    return range_join(one, two, on, ("_k1", "_k2"), ("_s1", "_e1"), ("_s2", "_e2"), width=2000).select("a", "b")
+def sharing_intron(nodes: DataFrame, last_only: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes of a strand with a common intron, a with the smaller id; with ``last_only`` their last introns are the same. Nodes meet by the intron, so those of a locus that share none don't."""
+    x = stored(oriented(nodes).where(F.size("introns") > 0), "spliced")
+    keys = x.select("chrom", "strand", "node_id", (F.element_at("introns", -1) if last_only else F.explode("introns")).alias("_intron"))
+    pairs = keys.withColumnRenamed("node_id", "_a").join(keys.withColumnRenamed("node_id", "_b"), ["chrom", "strand", "_intron"]).where("_a < _b").select("_a", "_b").distinct()
+    one, two = (x.select(F.col("node_id").alias(f"_{side}"), F.struct("*").alias(side)) for side in "ab")
+    return pairs.join(one, "_a").join(two, "_b").select("a", "b")
 
 
 @dataclass

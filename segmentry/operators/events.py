@@ -44,11 +44,13 @@ def filter_sv_types(links: DataFrame, kinds: tuple[str, ...] = SV_TYPES) -> Data
     return links.where(F.col("kind").isin(*kinds))
 
 
-def supported(links: DataFrame, with_reads: bool = False) -> DataFrame:
-    """Reads behind each link, on wish their ids in order as a text; partial sums before the shuffle, so a hot link is no hot task."""
-    keys = ["kind", "link", "chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2"]
-    ids = F.array_join(F.transform(F.array_sort(F.collect_set("read_id")), lambda r: r.cast("string")), ",").alias("reads")
-    return links.groupBy(keys).agg(F.count_distinct("read_id").alias("support"), F.min("read_id").alias("first_read"), *([ids] if with_reads else []))
+#: What a link is told by.
+LINK = ("kind", "link", "chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2")
+
+
+def supported(links: DataFrame) -> DataFrame:
+    """Number and smallest of the reads behind each link; partial sums before the shuffle, so a hot link is no hot task."""
+    return links.groupBy(*LINK).agg(F.count_distinct("read_id").alias("support"), F.min("read_id").alias("first_read"))
 
 
 def genes_at(points: DataFrame, genes: DataFrame, *at: tuple[str, str, str], margin: int = 5) -> DataFrame:

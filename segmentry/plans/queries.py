@@ -257,10 +257,16 @@ def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.segment_identity(A.alignments(spark, sf_dir)).select("read_id", "seg_ord", "identity")
 
 
-@query(f"{_HOP} select kind, link, chrom1, pos1, strand1, chrom2, pos2, strand2, count(distinct read_id) as support, min(read_id) as first_read, string_agg(distinct read_id, ',' order by read_id) as reads from link group by all")
+@query(f"{_HOP} select kind, link, chrom1, pos1, strand1, chrom2, pos2, strand2, count(distinct read_id) as support, min(read_id) as first_read from link group by all")
 def agg_link_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support of each link with the list of its reads."""
-    return events.supported(_links(spark, sf_dir), with_reads=True)
+    """Reads behind each link, counted; ``agg_link_reads`` lists them."""
+    return events.supported(_links(spark, sf_dir))
+
+
+@query(f"{_HOP} select distinct kind, link, chrom1, pos1, strand1, chrom2, pos2, strand2, read_id from link")
+def agg_link_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads behind each link, a row for each, so that a link of many reads is no long row."""
+    return _links(spark, sf_dir).select(*events.LINK, "read_id").distinct()
 
 
 _GENE = "genes as (select gene, chrom, min(e_start) as g_start, max(e_end) as g_end from exons group by gene, chrom, floor(e_start / 5000))"
