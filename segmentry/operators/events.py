@@ -36,6 +36,14 @@ def classify(hops: DataFrame) -> DataFrame:
     return x.withColumn("link", C.link_type(F.col("kind"), F.col("mode1"), F.col("mode2")))
 
 
+def between(hops: DataFrame, segments: DataFrame) -> DataFrame:
+    """Hops both of whose sides are among ``segments`` (read_id, seg_ord), as those whose introns have been found canonical."""
+    good = stored(segments.select("read_id", "seg_ord"), "good")
+    for i in (1, 2):
+        hops = hops.join(good.withColumnRenamed("seg_ord", f"seg_ord{i}"), ["read_id", f"seg_ord{i}"], "left_semi")
+    return hops
+
+
 #: Types of links that are events.
 SV_TYPES = ("TDUP", "INV", "TRA", "DEL", "IDUP")
 

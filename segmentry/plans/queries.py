@@ -153,11 +153,6 @@ def microhomology_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.microhomology(S.adjacent_segments(_segments(spark, sf_dir))).select("read_id", "seg_ord1", "gap")
 
 
-@query(f"{_HOP} select read_id, seg_ord1, kind, pos1, pos2 from link")
-def classify_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(spark, sf_dir).select("read_id", "seg_ord1", "kind", "pos1", "pos2")
-
-
 @query(f"{_HOP} select link, count(*) as hops from link group by 1")
 def link_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).groupBy("link").agg(F.count("*").alias("hops"))

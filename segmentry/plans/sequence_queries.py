@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import cigar as C
 from segmentry.operators import genome as G
-from segmentry.operators import ranges
+from segmentry.operators import events, ranges
 from segmentry.plans.queries import _HOP, _SEG, _WITH, _links, _segments, query
 from segmentry.sources import adapters as A
 
@@ -37,15 +37,25 @@ def genome_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # An intron of the data runs from 100 to 800 after a segment's start.
-@query(f"""{_GENOME}, x as (select distinct chrom, strand, ref_start from seg where contains(cigar, 'N')),
+_GOOD = f"""x as (select distinct chrom, strand, ref_start from seg where contains(cigar, 'N')),
  m as (select *, {_slice('ref_start + 100', 'ref_start + 102')} as l, {_slice('ref_start + 798', 'ref_start + 800')} as r from x),
- c as (select chrom, strand, ref_start, coalesce(case when strand = '+' then l || '-' || r else {_rc('r')} || '-' || {_rc('l')} end in ('GT-AG', 'GC-AG', 'AT-AC'), false) as good from m)
- select read_id, seg_ord from seg left join c using (chrom, strand, ref_start) where coalesce(good, true) or not contains(cigar, 'N')""")
+ c as (select chrom, strand, ref_start, coalesce(case when strand = '+' then l || '-' || r else {_rc('r')} || '-' || {_rc('l')} end in ('GT-AG', 'GC-AG', 'AT-AC'), false) as good from m),
+ gd as (select read_id, seg_ord from seg left join c using (chrom, strand, ref_start) where coalesce(good, true) or not contains(cigar, 'N'))"""
+
+
+@query(f"{_GENOME}, {_GOOD} select read_id, seg_ord from gd")
 def filter_canonical_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments six tenths of whose introns are canonical, or that have none."""
     return G.canonical_share(_segments(spark, sf_dir), A.genome(spark, sf_dir)).where("canonical >= 0.6 * introns").select("read_id", "seg_ord")
 
 
+@query(f"""{_HOP}, genome as ({A.GENOME}), {_GOOD}, ok as (select * from gd union select read_id, seg_ord from seg where mapq >= 40) select read_id, seg_ord1, kind, pos1, pos2 from link semi join (select read_id, seg_ord as seg_ord1 from ok) using (read_id, seg_ord1) semi join (select read_id, seg_ord as seg_ord2 from ok) using (read_id, seg_ord2)""")
+def classify_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and breakpoints of the hops both of whose segments have canonical introns, or none. Introns of the data hardly ever are, so those of segments with a quality of 40 count as such."""
+    good = filter_canonical_introns(spark, sf_dir).unionByName(_segments(spark, sf_dir).where("mapq >= 40").select("read_id", "seg_ord"))
+    return events.between(_links(spark, sf_dir), good).select("read_id", "seg_ord1", "kind", "pos1", "pos2")
+
+
 @query(f"""{_GENOME}, x as (select distinct chrom, strand, ref_start, ref_end from seg),
  t as (select *, case when strand = '+' then {_slice('ref_end', 'ref_end + 20')} else {_rc(_slice('ref_start - 20', 'ref_start'))} end as tail from x)
  select chrom, strand, ref_start, ref_end, len(tail) - len(replace(tail, 'A', '')) <= 6 as genuine from t""")
