@@ -164,13 +164,16 @@ def mixtures(ll: np.ndarray, words: np.ndarray, prior: np.ndarray, per_word: flo
         doc, edge = np.repeat(np.arange(open_.size), n), np.cumsum(n) - n
         new = share[open_] * 0.9
         new[np.arange(open_.size), add] = 0.1
+        # Each text stops by itself, so its result doesn't depend on those beside it.
+        moving = np.ones(open_.size, bool)
         for _ in range(rounds):
             r = q * new[doc]
             r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
             step = np.add.reduceat(r, edge, axis=0) / n[:, None]
-            done = np.abs(step - new).max() < 1e-3
-            new = step
-            if done:
+            settled = np.abs(step - new).max(axis=1) < 1e-3
+            new[moving] = step[moving]
+            moving &= ~settled
+            if not moving.any():
                 break
         rise = np.add.reduceat(np.log(np.maximum((q * new[doc]).sum(axis=1), 1e-300)) - now, edge)
         taken = rise > cost[go]

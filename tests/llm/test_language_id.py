@@ -90,6 +90,17 @@ def test_mixture_of_two_is_the_best_of_a_grid():
     assert share[0, 0] == pytest.approx(best[1], abs=0.04)
 
 
+def test_a_text_is_judged_alike_whatever_stands_beside_it():
+    rng = np.random.default_rng(8)
+    words = rng.integers(1, 80, 60)
+    ll = rng.normal(-9, 2, (int(words.sum()), 4))
+    prior, start = np.log(np.ones(4) / 4), np.cumsum(words) - words
+    share, posterior = lid.mixtures(ll, words, prior)
+    for i, (a, n) in enumerate(zip(start, words, strict=True)):
+        alone = lid.mixtures(ll[a : a + n], np.array([n]), prior)
+        assert np.allclose(alone[0][0], share[i], atol=1e-9) and np.allclose(alone[1][0], posterior[i], atol=1e-9)
+
+
 def test_cases_that_must_be_borne(spark):
     en, fr = "the house and the garden with of this that", "la maison et le jardin avec de cette une où été"
     rows = [(i, en if i % 2 else fr, "en" if i % 2 else "fr", "x", 1) for i in range(40)]
