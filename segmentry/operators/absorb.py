@@ -1,9 +1,14 @@
 """Paths within longer paths and what takes them in, consensus of reads."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmentry.functions.cigar import gaps
 from segmentry.operators.compat import compatible
@@ -110,15 +115,63 @@ def sorted_paths(paths: Paths, names: DataFrame, clusters: DataFrame) -> DataFra
     return x.join(factor, "path_id").join(clusters, "node_id").select("path_id", "cluster_id", F.row_number().over(w).alias("place"))
 
 
+#: Places in a piece of a read, and counts that are held at a time while pieces are counted.
+PIECE, COUNTS = 256, 2**24
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent letter of each place for pieces (key, piece, part) that come in order of key and piece; what the last key and piece have so far is kept for the next rows."""
+    names, held = None, None  # held: key, piece, letters and counts (place, letter)
+
+    def rows(keys, pieces, letters: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        sizes = (counts.sum(axis=2) > 0).sum(axis=1)
+        text = letters[counts.argmax(axis=2)].astype("<u4").tobytes().decode("utf-32-le") if len(letters) else ""
+        return pa.RecordBatch.from_arrays([keys, pieces, pa.array([text[i * PIECE : i * PIECE + n] for i, n in enumerate(sizes)], pa.string())], names=names)
+
+    for whole in batches:
+        names, at = whole.schema.names, 0
+        while at < whole.num_rows:
+            # The letters of a batch are few; rows that are counted at a time follow from them.
+            codes = np.frombuffer("".join(whole.column(2).slice(at).to_pylist()).encode("utf-32-le"), "<u4")
+            step = max(1, COUNTS // (PIECE * max(1, len(np.unique(codes[:10_000])))))
+            batch, at = whole.slice(at, step), at + step
+            key, piece, part = batch.columns
+            lengths = pc.utf8_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = codes[: lengths.sum()]
+            letters = np.flatnonzero(np.bincount(codes)).astype(np.uint32)
+            n = batch.num_rows
+            changes = pc.or_(pc.not_equal(key.slice(1), key.slice(0, n - 1)), pc.not_equal(piece.slice(1), piece.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
+            goes_on = held is not None and held[0][0] == key[0] and held[1][0] == piece[0]
+            if held is not None and not goes_on:
+                yield rows(*held[:3], held[3][None])
+            if goes_on:
+                letters = np.union1d(letters, held[2])
+            group = np.repeat(np.searchsorted(starts, np.arange(n), side="right") - 1, lengths)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            index = (group * PIECE + place) * len(letters) + np.searchsorted(letters, codes)
+            counts = np.bincount(index, minlength=len(starts) * PIECE * len(letters)).reshape(len(starts), PIECE, len(letters))
+            if goes_on:
+                counts[0][:, np.searchsorted(letters, held[2])] += held[3]
+            keys, pieces = key.take(pa.array(starts)), piece.take(pa.array(starts))
+            if len(starts) > 1:
+                yield rows(keys.slice(0, len(starts) - 1), pieces.slice(0, len(starts) - 1), letters, counts[:-1])
+            held = keys.slice(len(starts) - 1), pieces.slice(len(starts) - 1), letters, counts[-1].copy()
+    if held is not None:
+        yield rows(*held[:3], held[3][None])
+
+
 def consensus(reads: DataFrame, key: str, bases: str) -> DataFrame:
     """The most frequent base of each place over the reads of a key; of equal ones the first letter. Reads are aligned at their start.
 
-    Counts are partial before the shuffle: what a key sends is its length, not its reads.
+    Reads travel once, cut into pieces of ``PIECE`` places; the pieces of a key and a piece number come in turn and are counted as they come, so neither a row for each base is made nor all reads of a key held.
     """
-    letters = reads.select(key, F.posexplode(F.split(bases, "")).alias("place", "base")).groupBy(key, "place", "base").agg(F.count("*").alias("n"))
-    best = letters.groupBy(key, "place").agg(F.min_by("base", F.struct(-F.col("n"), F.col("base"))).alias("base"))
-    rows = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "base"))).alias("bs"))
-    return rows.select(key, F.array_join(F.transform("bs", lambda b: b["base"]), "").alias("consensus"))
+    last = F.floor((F.greatest(F.length(bases), F.lit(1)) - 1) / PIECE).cast("int")
+    pieces = reads.select(key, bases, F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(key, "piece", F.substring(F.col(bases), F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("part"))
+    schema = T.StructType([T.StructField(key, reads.schema[key].dataType), T.StructField("piece", T.IntegerType()), T.StructField("part", T.StringType())])
+    best = pieces.repartition(F.col(key), F.col("piece")).sortWithinPartitions(key, "piece").mapInArrow(_votes, schema)
+    rows = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("piece", "part"))).alias("bs"))
+    return rows.select(key, F.array_join(F.transform("bs", lambda b: b["part"]), "").alias("consensus"))
 
 
 def best_annotated(exons: DataFrame, annotated: DataFrame, margin: int = 10) -> DataFrame:
