@@ -56,9 +56,13 @@ def filter_sv_types(links: DataFrame, kinds: tuple[str, ...] = SV_TYPES) -> Data
 LINK = ("kind", "link", "chrom1", "pos1", "strand1", "chrom2", "pos2", "strand2")
 
 
-def supported(links: DataFrame) -> DataFrame:
-    """Number and smallest of the reads behind each link; partial sums before the shuffle, so a hot link is no hot task."""
-    return links.groupBy(*LINK).agg(F.count_distinct("read_id").alias("support"), F.min("read_id").alias("first_read"))
+def supported(links: DataFrame, with_reads: bool = False) -> DataFrame:
+    """Number and smallest of the reads behind each link, on wish their ids in order as a text; partial sums before the shuffle, so a hot link is no hot task."""
+    if not with_reads:
+        return links.groupBy(*LINK).agg(F.count_distinct("read_id").alias("support"), F.min("read_id").alias("first_read"))
+    found = links.groupBy(*LINK).agg(F.array_sort(F.collect_set("read_id")).alias("ids"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(*LINK, F.size("ids").cast("bigint").alias("support"), F.element_at("ids", 1).alias("first_read"), ids.alias("reads"))
 
 
 def genes_at(points: DataFrame, genes: DataFrame, *at: tuple[str, str, str], margin: int = 5) -> DataFrame:
