@@ -30,6 +30,13 @@ def sharing_intron(nodes: DataFrame, last_only: bool = False) -> DataFrame:
     return pairs.join(one, "_a").join(two, "_b").select("a", "b")
 
 
+def spliced_pairs(nodes: DataFrame, keys: tuple[str, ...] = ("chrom", "strand", "fam")) -> DataFrame:
+    """Pairs (a, b) of nodes with introns and equal ``keys``, a with the smaller id, whether they share an intron or not."""
+    x = stored(oriented(nodes).where(F.size("introns") > 0), "spliced")
+    one, two = (x.select(*keys, F.struct("*").alias(side)) for side in "ab")
+    return one.join(two, list(keys)).where("a.node_id < b.node_id").select("a", "b")
+
+
 @dataclass
 class Side:
     """Columns of one node of a pair."""

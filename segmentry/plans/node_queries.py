@@ -93,11 +93,11 @@ def intron_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_N}, x as (select node1, node2, n2, list_filter(range(0, n1), lambda i: list_contains(t2, t1[i + 1])) as p, list_filter(range(0, n2), lambda i: list_contains(t1, t2[i + 1])) as q from pairs where node1 < node2 and n1 > 0 and n2 > 0)
- select node1, node2, array_to_string(p, ',') as at1, array_to_string(q, ',') as at2, p = range(0, len(p)) and len(p) > 0 as from_first, len(q) > 0 and q = range(n2 - len(q), n2) as to_last from x where len(p) > 0""")
+ select node1, node2, array_to_string(p, ',') as at1, array_to_string(q, ',') as at2, p = range(0, len(p)) and len(p) > 0 as from_first, len(q) > 0 and q = range(n2 - len(q), n2) as to_last from x""")
 def shared_intron_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of nodes with a common intron, and where in both lists the common ones stand."""
+    """Pairs of a family's nodes with introns, and where in both lists the common ones stand."""
     a, b = compat.Side("a"), compat.Side("b")
-    x = compat.sharing_intron(A.nodes(spark, sf_dir)).select(a.node_id.alias("node1"), b.node_id.alias("node2"), compat.shared_at(a.introns, b.introns).alias("p"), compat.shared_at(b.introns, a.introns).alias("q"), b.n.alias("n"))
+    x = compat.spliced_pairs(A.nodes(spark, sf_dir)).select(a.node_id.alias("node1"), b.node_id.alias("node2"), compat.shared_at(a.introns, b.introns).alias("p"), compat.shared_at(b.introns, a.introns).alias("q"), b.n.alias("n"))
     text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
     return x.select("node1", "node2", text("p").alias("at1"), text("q").alias("at2"), compat.from_first(F.col("p")).alias("from_first"), compat.to_last(F.col("q"), F.col("n")).alias("to_last"))
 
