@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+from segmentry.operators import realign
 from segmentry.operators.realign import chained, hit_alignments, seed_blocks, seed_hits
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -82,3 +84,16 @@ def test_few_seeds_only_and_nothing(spark):
     assert seed_hits(q, c).count() == 0
     empty = q.limit(0)
     assert seed_hits(empty, c).count() == 0 and seed_hits(q, c.limit(0)).count() == 0
+
+
+def test_seeds_of_a_long_contig_are_cut_in_linear_time(spark):
+    rnd = random.Random(4)
+    for n in (13, 14, 255, 256, 257, 268, 269, 270, 525, 526, 1000):
+        text = bases(rnd, n)
+        rows = realign._seeds(spark.createDataFrame([(7, "+", text)], "query long, strand string, bases string"), "query", "bases", 14, "i").collect()
+        assert sorted((r.query, r.strand, r.i, r.seed) for r in rows) == [(7, "+", i, text[i : i + 14]) for i in range(n - 13)]
+    contig = bases(rnd, 500_000)
+    began = time.time()
+    got = aligned(spark, {1: contig[300_000:300_060]}, {5: contig})
+    assert got == {(1, "+", 5): (300_000, "60M", 0)}
+    assert time.time() - began < 60  # each seed was once found from the begin of the text on
