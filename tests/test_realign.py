@@ -97,3 +97,43 @@ def test_seeds_of_a_long_contig_are_cut_in_linear_time(spark):
     got = aligned(spark, {1: contig[300_000:300_060]}, {5: contig})
     assert got == {(1, "+", 5): (300_000, "60M", 0)}
     assert time.time() - began < 60  # each seed was once found from the begin of the text on
+
+
+def test_placed_clips_grow_over_shared_bases_without_a_list_of_lengths(spark):
+    r, cigars = random.Random(8), ["20M", "2S20M3S", "5M3I5M", "4M0N4M", "7S9M", "9M7S", "0M8M", "6M0S"]
+    chunk = bases(r, 5000)
+    rows = []
+    for i in range(300):
+        left, plus, at = r.random() < 0.5, r.random() < 0.5, r.randint(100, 4000)
+        near = chunk[at - 15 + 100 : at + 100] if left else chunk[at + 20 + 100 : at + 35 + 100]
+        turn = near if plus else near.translate(TURN)[::-1]
+        suffix, k = left == plus, r.randint(0, 15)
+        own = bases(r, 15 - k) + turn[15 - k :] if suffix else turn[:k] + bases(r, 15 - k)
+        read = "N" * r.choice([0, 0, 50]) + own + "N" * 30 if (strand := "+" if left == plus else "-") and left == plus else "N" * 30 + own + "N" * r.choice([0, 0, 50])
+        mode = ("MS" if left else "SM") if (strand == "+") == plus else ("SM" if left else "MS")
+        rows.append((i, strand, mode, len(read), read, 30, "chr1", at, at + 20, "+" if plus else "-", r.choice(cigars), 3))
+    x = spark.createDataFrame(rows, "i long, strand string, mode string, q_len int, bases string, clip_len int, chrom string, hit_start long, hit_end long, hit_strand string, hit_cigar string, hit_nm int")
+    genome = spark.createDataFrame([("chr1", 0, chunk)], "chrom string, chunk_no long, seq string")
+    made = realign.clip_alignment(x, genome, most_shared=10)
+    assert "array_max(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {f.i: (f.sa_start, f.shared, f.sa_cigar) for f in made.collect()}
+    want = {}
+    for i, strand, mode, n, read, clip, _, start, end, hit_strand, cigar, _ in rows:
+        outer, left = (strand == "+") == (mode == "MS"), (strand == hit_strand) == (mode == "MS")
+        first = max(n - clip - 15, 0)
+        own = read[first : n - clip] if outer else read[clip : clip + 15]
+        ref = chunk[start - 15 + 100 : start + 100] if left else chunk[end + 100 : end + 115]
+        ref = ref if hit_strand == "+" else ref.translate(TURN)[::-1]
+        lengths = [k for k in range(1, min(len(ref), len(own)) + 1) if (ref[-k:] == own[-k:] if left == (hit_strand == "+") else ref[:k] == own[:k])]
+        k = max(lengths, default=0) if left == (hit_strand == "+") or ref != own else 0
+        k = k if re.search("^[0-9]+M" if left else "[0-9]+M$", cigar) else 0
+        text = f"{n - clip - k}S{k}M{cigar}" if left else f"{cigar}{k}M{n - clip - k}S"
+        ops = []
+        for size, kind in re.findall(r"(\d+)([MIDNS])", text):
+            if int(size) and ops and ops[-1][1] == kind:
+                ops[-1] = (ops[-1][0] + int(size), kind)
+            elif int(size):
+                ops.append((int(size), kind))
+        if k <= 10:
+            want[i] = (start - k if left else start, k, "".join(f"{s}{o}" for s, o in ops))
+    assert got == want and len({k for _, k, _ in want.values()}) > 5
