@@ -15,7 +15,8 @@ class Graph:
     """Tables of a graph.
 
     ``nodes``: node_id, chrom, strand and exons (an array of start and end). ``edges``: src, dst, pos1 and pos2 (the breakpoints on either side) and gap (bases between them: over 0 inserted, under 0
-    shared). ``edge_reads``: src, dst, read_id, a row for each read of an edge, so that no list of reads has to fit into a row.
+    shared). ``edge_reads``: src, dst, read_id, a row for each read of an edge, so that no list of reads has to fit into a row. It may have ``n`` too: a row then stands for
+    ``n`` reads with the same edges, by the name of one of them, and no row is there twice.
     """
 
     nodes: DataFrame
@@ -24,7 +25,8 @@ class Graph:
 
     def support(self) -> DataFrame:
         """src, dst and sr, the different reads."""
-        return self.edge_reads.groupBy("src", "dst").agg(F.count_distinct("read_id").alias("sr"))
+        sr = F.sum("n") if "n" in self.edge_reads.columns else F.count_distinct("read_id")
+        return self.edge_reads.groupBy("src", "dst").agg(sr.alias("sr"))
 
 
 def labels(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -45,6 +47,15 @@ def edge_rank(gap: str = "gap"):
     return F.when(F.col(gap) == 0, 2).when(F.col(gap) < 0, 1).otherwise(0)
 
 
+def merged_nodes(nodes: DataFrame, merged: DataFrame) -> DataFrame:
+    """node_id, chrom, strand, members and exons of the nodes of each label, their exons united."""
+    x = nodes.join(merged, "node_id")
+    spans = union(x.select("merged", F.explode("exons").alias("e")).select("merged", "e.start", "e.end"), "merged", "start", "end")
+    exons = spans.groupBy("merged").agg(F.array_sort(F.collect_list(F.struct(F.col("u_start").alias("start"), F.col("u_end").alias("end")))).alias("exons"))
+    named = x.groupBy("merged").agg(F.min("chrom").alias("chrom"), F.min("strand").alias("strand"), F.count("*").alias("members")).join(exons, "merged")
+    return named.withColumnRenamed("merged", "node_id")
+
+
 def contract(graph: Graph, merged: DataFrame) -> Graph:
     """The graph with nodes of one label as one.
 
@@ -53,11 +64,7 @@ def contract(graph: Graph, merged: DataFrame) -> Graph:
     before shared before inserted, then the smallest gap. Every row is moved by equi-joins with the labels, and
     edges are aggregated before they are shuffled, so a node that many others merge into is no task of its own.
     """
-    x = graph.nodes.join(merged, "node_id")
-    spans = union(x.select("merged", F.explode("exons").alias("e")).select("merged", "e.start", "e.end"), "merged", "start", "end")
-    exons = spans.groupBy("merged").agg(F.array_sort(F.collect_list(F.struct(F.col("u_start").alias("start"), F.col("u_end").alias("end")))).alias("exons"))
-    nodes = x.groupBy("merged").agg(F.min("chrom").alias("chrom"), F.min("strand").alias("strand"), F.count("*").alias("members")).join(exons, "merged")
-    nodes = nodes.withColumnRenamed("merged", "node_id")
+    nodes = merged_nodes(graph.nodes, merged)
     strand = graph.nodes.select("node_id", "strand")
     own = graph.edges.join(graph.support(), ["src", "dst"])
     for i, end in ((1, "src"), (2, "dst")):
@@ -67,7 +74,10 @@ def contract(graph: Graph, merged: DataFrame) -> Graph:
     folded = rewired(own, merged).groupBy("src", "dst", "strand1", "strand2").agg(best, *ends.values())
     one, two = F.when(F.col("strand1") == "+", F.col("max1")).otherwise(F.col("min1")), F.when(F.col("strand2") == "+", F.col("min2")).otherwise(F.col("max2"))
     edges = folded.select("src", "dst", one.alias("pos1"), two.alias("pos2"), "gap")
-    return Graph(nodes, edges, rewired(graph.edge_reads, merged).select("src", "dst", "read_id").distinct())
+    # Edges are renamed first, so the reads' rows are moved once.
+    names = rewired(graph.edges.select("src", "dst", F.col("src").alias("_a"), F.col("dst").alias("_b")), merged)
+    reads = graph.edge_reads.withColumnsRenamed({"src": "_a", "dst": "_b"}).join(names, ["_a", "_b"]).drop("_a", "_b").distinct()
+    return Graph(nodes, edges, reads.select("src", "dst", *(c for c in reads.columns if c not in ("src", "dst"))))
 
 
 def clusters(graph: Graph) -> DataFrame:

@@ -99,7 +99,11 @@ def agg_breakpoint_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
  select cluster_id, gene, votes from (select *, row_number() over (partition by cluster_id order by votes desc, gene) as r from v) where r = 1""")
 def agg_majority_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gene over most nodes of a cluster."""
-    return contraction.majority_genes(_merged(spark, sf_dir)[0], A.genes(spark, sf_dir))
+    # Nodes and edges are enough: which reads an edge has makes no difference.
+    nodes, edges, reads = A.path_places(spark, sf_dir)
+    merged = stored(contraction.labels(nodes, compat.compatible(nodes)), "merged")
+    own = nodes.select("node_id", "chrom", "strand", "exons")
+    return contraction.majority_genes(Graph(stored(contraction.merged_nodes(own, merged), "nodes"), contraction.rewired(A.walked(edges, reads), merged).select("src", "dst").distinct(), reads), A.genes(spark, sf_dir))
 
 
 @query(f"{_GRAPH}, {_CLUSTERS}, {_CYCLES} select cluster_id, n_nodes, n_cyclic, n_cyclic > 0 as has_circle from circ")
