@@ -44,7 +44,7 @@ _CYCLES = f"""st as (select src, dst from me where sr >= {LEAST}), z as (select
 
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame, DataFrame, Graph]:
     """(the contracted graph, labels, middle nodes of reads under their labels, the graph before)."""
-    nodes, graph, mids = A.path_graph(spark, sf_dir)
+    nodes, graph, mids = A.path_graph(spark, sf_dir, grouped=True)
     merged = stored(contraction.labels(nodes, compat.compatible(nodes)), "merged")
     made = contraction.contract(graph, merged)
     made = Graph(stored(made.nodes, "nodes"), stored(made.edges, "edges"), stored(made.edge_reads, "edge_reads"))
