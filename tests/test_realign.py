@@ -4,6 +4,8 @@ import random
 import re
 import time
 
+import pyarrow as pa
+
 from segmentry.operators import realign
 from segmentry.operators.realign import chained, hit_alignments, seed_blocks, seed_hits
 
@@ -137,3 +139,57 @@ def test_placed_clips_grow_over_shared_bases_without_a_list_of_lengths(spark):
         if k <= 10:
             want[i] = (start - k if left else start, k, "".join(f"{s}{o}" for s, o in ops))
     assert got == want and len({k for _, k, _ in want.values()}) > 5
+
+
+def brute_blocks(queries: dict, contigs: dict, k: int, most: int) -> set:
+    """Runs of shared seeds on diagonals, of queries, strands and contigs that have 20 and more."""
+    places, found = {}, {}
+    for c, text in contigs.items():
+        for p in range(len(text) - k + 1):
+            if set(text[p : p + k]) <= set("ACGT"):
+                places.setdefault(text[p : p + k], []).append((c, p))
+    for q, text in queries.items():
+        for strand, t in (("+", text), ("-", text.translate(TURN)[::-1])):
+            for i in range(len(t) - k + 1):
+                at = places.get(t[i : i + k], [])
+                for c, p in at if len(at) <= most else []:
+                    found.setdefault((q, strand, c), []).append((p - i, i))
+    out = set()
+    for key, rows in found.items():
+        runs = []
+        for d, i in sorted(rows) if len(rows) >= 20 else []:
+            if runs and runs[-1][0] == d and i - runs[-1][2] <= k:
+                runs[-1][2:] = [i, runs[-1][3] + 1]
+            else:
+                runs.append([d, i, i, 1])
+        out |= {(*key, a, b + k, a + d, b + k + d, n) for d, a, b, n in runs}
+    return out
+
+
+def test_seeds_of_texts_put_together_are_those_of_each():
+    texts = ["ACGTTGCA", None, "", "ACG", "ACGTNACGTTT", "TTTTTTTT"]
+    want = [(i, p, t[p : p + 4]) for i, t in enumerate(texts) for p in range(len(t or "") - 3) if "N" not in t[p : p + 4]]
+    for step in (1, 3, 5, 100):
+        for whole in (pa.array(texts), pa.array(["AC", *texts, "GT"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+            got = [(row[j], place[j], seed[j]) for _, seed, good, row, place in realign._windows(whole, 4, step) for j in good.nonzero()[0]]
+            assert [(i, p, "".join("ACGT"[s >> 2 * b & 3] for b in (3, 2, 1, 0))) for i, p, s in got] == want
+
+
+def test_blocks_are_all_shared_seeds_and_only_those_are_exchanged(spark, monkeypatch):
+    rnd = random.Random(9)
+    words = [bases(rnd, rnd.randint(3, 9)) for _ in range(60)]
+    contigs = {i: "".join(rnd.choices(words, k=rnd.randint(1, 200))) for i in range(60)} | {60: "", 61: "ACGTNACGT" * 20, 62: None}
+    queries = {i: (contigs[i % 60] * 5)[i % 7 : i % 7 + rnd.randint(10, 80)] for i in range(80)} | {90: None, 91: "", 92: "N" * 60}
+    real = lambda x: {i: t for i, t in x.items() if t}
+    for k, most, part in ((14, 64, 1 << 18), (11, 9, 50), (17, 5, 1000)):
+        monkeypatch.setattr(realign, "PART", part)
+        monkeypatch.setattr(realign, "BITS", 28 if k < 15 else 16)  # with few bits, others pass too
+        want = brute_blocks(real(queries), real(contigs), k, most)
+        kept, keep = {}, realign.stored
+        with monkeypatch.context() as m:
+            m.setattr(realign, "stored", lambda df, name="t", *a: kept.setdefault(name, keep(df, name, *a)))
+            q, c = frames(spark, queries, contigs)
+            got = [tuple(r) for r in realign.seed_blocks(q, c, k=k, most=most).select("query", "strand", "contig", "q0", "q1", "p0", "p1", "n").collect()]
+        whole = {(r.query, r.strand) for r in kept["whole"].collect()}
+        assert len(got) == len(set(got)) and {x for x in got if x[:2] not in whole} == {x for x in want if x[:2] not in whole} and len(want) > 30
+        assert "there" not in kept and "asked" not in kept  # places of all seeds were once stored
