@@ -44,6 +44,12 @@ def lineitem(spark, folder, reads: dict[int, int]) -> str:
     return str(folder)
 
 
+def test_links_of_all_reads_rescue(spark, tmp_path):
+    got = realign_queries.rescue_score(spark, lineitem(spark, tmp_path, {1: 3, 8: 2, 9: 1})).select("ref_start1", "read_id").collect()
+    # Once only the links of reads divisible by four were looked at: 8 has one, whose side is like the first segment of 9.
+    assert sorted(map(tuple, got)) == [(100000, 9), (105003, 8)]
+
+
 def test_segments_are_made_once_for_rescued_support(spark, tmp_path):
     made = realign_queries.agg_rescued_support(spark, lineitem(spark, tmp_path, {4: 3, 5: 2, 9: 1, 10: 3, 12: 2}))
     assert "lineitem" not in made._jdf.queryExecution().optimizedPlan().toString()  # alignments were once made anew in each branch
