@@ -193,3 +193,11 @@ def test_blocks_are_all_shared_seeds_and_only_those_are_exchanged(spark, monkeyp
         whole = {(r.query, r.strand) for r in kept["whole"].collect()}
         assert len(got) == len(set(got)) and {x for x in got if x[:2] not in whole} == {x for x in want if x[:2] not in whole} and len(want) > 30
         assert "there" not in kept and "asked" not in kept  # places of all seeds were once stored
+
+
+def test_whole_queries_are_hits_without_an_exchange(spark):
+    blocks = spark.createDataFrame([(1, "+", 3, 0, 60, p, p + 60, 47, True) for p in (5, 900, 40)], "query long, strand string, contig long, q0 int, q1 int, p0 int, p1 int, n int, alone boolean")
+    made = chained(blocks)
+    # The last branch of the union, after its last projection; each block was once put in order.
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString().rsplit("Project", 1)[1]
+    assert sorted(map(tuple, made.select("hit_start", "n_blocks", "score").collect())) == [(5, 1, 47), (40, 1, 47), (900, 1, 47)]
